@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .op2_simhash import near_duplicates
 from .op7_substrings import remove_repeats
+from .op8_decontaminate import contamination
 from .op10_lines import clean_lines
 from .shared import documents
 
@@ -21,10 +22,16 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clean_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_substrings": op7_substrings, "op10_lines": op10_lines}
-ORACLE_SQL = {"op7_substrings": oracles.OP7, "op10_lines": oracles.OP10}
+QUERIES = {"op2_simhash": op2_simhash, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op10_lines": op10_lines}
+ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10}
