@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .op1_rans import encode_documents, read_documents
 from .op2_simhash import near_duplicates
+from .op3_counts import count_tokens
 from .op7_substrings import remove_repeats
 from .op8_decontaminate import contamination
 from .op10_lines import clean_lines
 from .shared import documents
 
 
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -33,5 +45,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op10_lines": op10_lines}
+QUERIES = {"op1_rans": op1_rans, "op3_counts": op3_counts, "op2_simhash": op2_simhash, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op10_lines": op10_lines}
 ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10}

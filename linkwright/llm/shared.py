@@ -31,8 +31,9 @@ def forget(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of a plan's input as Spark's optimizer knows it (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of a plan's input as Spark's optimizer knows it (file sizes for a scan); 0 if it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 60 else size
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
