@@ -217,5 +217,5 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = label.join(groups, label.node == groups.fp)
     best = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     moved = named.select("fp", "label").join(best, "label").select("fp", "component_id")
-    own = groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    own = stored(groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return fps.join(own, "fp", "left").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
