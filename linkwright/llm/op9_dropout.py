@@ -35,8 +35,9 @@ SPACE = "▁"
 #: Up to this many characters a list beats a heap as agenda.
 SHORT = 64
 _CUT = re.compile("\n| +[^ \n]*|[^ \n]+")
-_NEVER = 1 << 60
-_M64 = (1 << 64) - 1
+_MARK, _NEVER = "\n", 1 << 60
+#: Odd multipliers of a span's start, middle and end.
+_A, _B, _C = 0x9E37, 0x85EB, 0xC2B3
 
 
 class Model:
@@ -68,78 +69,85 @@ class Model:
             if i is not None:
                 out.append(i)
             else:
-                out += [self.byte_ids[b] for b in (SPACE if s == "" else s).encode()]
+                out += [self.byte_ids[b] for b in (SPACE if s == _MARK else s).encode()]
         return out
 
 
-def skipped(salt: int, a: int, m: int, b: int, limit: int) -> bool:
-    """Whether the keyed hash drops the merge of [a, m) and [m, b)."""
-    x = (salt ^ (a * 0x9E3779B97F4A7C15 + m * 0xC2B2AE3D27D4EB4F + b * 0x165667B19E3779F9)) & _M64
-    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _M64
-    return ((x ^ (x >> 29)) * 0x94D049BB133111EB & _M64) < limit
+def dropped(seed: int, rate: float) -> list[bool]:
+    """Keyed hash values 0..65535, as whether they fall below the rate."""
+    h = tb.mix64(np.arange(1 << 16, dtype=np.uint64) + tb.mix64(np.array([seed], np.uint64)))
+    return ((h >> np.uint64(11)) < np.uint64(int(rate * 2.0**53))).tolist()
 
 
-def segment(piece: str, ranks: dict[str, int], salt: int, limit: int) -> list[str]:
-    """Symbols of a piece after the agenda is empty; a literal space mark is the symbol ''."""
-    parts = [SPACE if c == " " else "" if c == SPACE else c for c in piece]
+def segment(piece: str, ranks: dict[str, int], salt: int, drop: list[bool]) -> list[str]:
+    """Symbols of a piece after the agenda is empty; drop[keyed hash of a span] skips a candidate."""
+    # within a piece a literal space mark is stood for by a line feed, which no vocabulary piece holds
+    parts = [*piece.replace(SPACE, _MARK).replace(" ", SPACE)]
     if len(parts) > SHORT:
-        return _segment_long(parts, ranks, salt, limit)
-    starts = [*range(len(parts) + 1)]
-    rank = lambda x, y: ranks.get(x + y, _NEVER) if x and y else _NEVER
-    agenda = [rank(x, y) for x, y in zip(parts, parts[1:], strict=False)]
+        return _segment_long(parts, ranks, salt, drop)
+    get, starts = ranks.get, [*range(len(parts) + 1)]
+    agenda = [get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
     while agenda:
         best = min(agenda)
         if best == _NEVER:
             break
         i = agenda.index(best)
-        if limit and skipped(salt, starts[i], starts[i + 1], starts[i + 2], limit):
+        j = i + 1
+        if drop[(salt + starts[i] * _A + starts[j] * _B + starts[j + 1] * _C) & 0xFFFF]:
             agenda[i] = _NEVER
             continue
-        parts[i] += parts.pop(i + 1)
-        del starts[i + 1], agenda[i]
+        parts[i] += parts[j]
+        del parts[j], starts[j], agenda[i]
         if i < len(agenda):
-            agenda[i] = rank(parts[i], parts[i + 1])
+            agenda[i] = get(parts[i] + parts[j], _NEVER)
         if i:
-            agenda[i - 1] = rank(parts[i - 1], parts[i])
+            agenda[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
     return parts
 
 
-def _segment_long(parts: list[str], ranks: dict[str, int], salt: int, limit: int) -> list[str]:
+def _segment_long(parts: list[str], ranks: dict[str, int], salt: int, drop: list[bool]) -> list[str]:
     n = len(parts)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int]] = []
 
     def offer(a: int) -> None:
         m = end[a]
-        if m < n and parts[a] and parts[m] and (r := ranks.get(parts[a] + parts[m])) is not None:
+        if m < n and (r := ranks.get(parts[a] + parts[m])) is not None:
             heapq.heappush(agenda, (r, a, m, end[m]))
 
     for a in range(n - 1):
         offer(a)
     while agenda:
         _, a, m, b = heapq.heappop(agenda)
-        if parts[a] is None or end[a] != m or m >= n or end[m] != b or (limit and skipped(salt, a, m, b, limit)):
-            continue
+        if not parts[a] or end[a] != m or m >= n or end[m] != b or drop[(salt + a * _A + m * _B + b * _C) & 0xFFFF]:
+            continue  # one of its symbols has been merged since, or it is dropped
         parts[a] += parts[m]
-        parts[m] = None
+        parts[m] = ""
         end[a] = b
         if b < n:
             before[b] = a
             offer(a)
         if a:
             offer(before[a])
-    return [p for p in parts if p is not None]
+    return [p for p in parts if p]
 
 
 class Encoder:
     def __init__(self, path: str, seed: int, rate: float, variants: int):
         self.model, self.seed, self.variants = Model(path), seed, variants
-        self.limit = min(_M64, int(rate * 2.0**64))
+        self.drop = dropped(seed, rate)
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.model.ids.items()}
 
     def piece(self, variant: int, piece: str) -> bytes:
-        salt = xxhash.xxh64_intdigest(piece.encode(), self.seed * self.variants + variant)
-        return np.array(self.model.codes(segment(piece, self.model.ranks, salt, self.limit)), "<u4").tobytes()
+        if piece == "\n":
+            return self.model.byte_ids[10].to_bytes(4, "little")
+        salt = xxhash.xxh32_intdigest(piece.encode(), self.seed * self.variants + variant)
+        symbols = segment(piece, self.model.ranks, salt, self.drop)
+        try:
+            return b"".join([self.code[s] for s in symbols])
+        except KeyError:  # a character without a piece
+            return np.array(self.model.codes(symbols), "<u4").tobytes()
 
     def encode(self, doc_id: int, text: str) -> bytes:
         pieces = _CUT.findall(" " + text) if text else []
