@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
@@ -70,14 +70,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a long."""
+    """doc_id, the fingerprint as a long, and text_key (XXH64 of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.slices(batches):
-            fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1)]
+            fps = pa.array([fingerprint(x) for x in texts], pa.int64())
+            text_keys = np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array(text_keys)], names=["doc_id", "fp", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 @lru_cache
@@ -208,7 +210,7 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp (long), fingerprint (hex) and component_id of every document."""
+    """doc_id, text_key, fp (long), fingerprint (hex) and component_id of every document."""
     fps = stored(fingerprints(docs), "fingerprints")
     groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
     edges = links(groups, max_bits)
@@ -217,5 +219,24 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = label.join(groups, label.node == groups.fp)
     best = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     moved = named.select("fp", "label").join(best, "label").select("fp", "component_id")
+    # stored, so that both sides of the last join are plain shuffles and a part with many copies can be split
     own = stored(groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return fps.join(own, "fp", "left").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(own, "fp", "left").select("doc_id", "text_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents that stay when one of each component does: the row with the smallest doc_id.
+
+    Rows without a doc_id count as greater than all others; among rows of one
+    doc_id and fingerprint the least text hash stays, of equal rows one.  A null
+    text stays unless an earlier document has no words either.
+    """
+    columns = docs.columns
+    last = F.lit((1 << 63) - 1)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
+    near = near_duplicates(rows, max_bits).where("doc_id = component_id")
+    chosen = near.groupBy("doc_id", "fp").agg(F.min("text_key").alias("__key")).select(F.col("doc_id").alias("__id"), "__key").distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), last), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    order = Window.partitionBy("__id", "__key").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    kept = keyed.join(chosen, ["__id", "__key"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return kept.select(*[f"`{c}`" for c in columns])
