@@ -37,22 +37,32 @@ from .shared import forget, input_bytes, shared_dir, shuffle_partitions, stored
 
 SCALE, LANES, CHECKPOINT, BLOCK = 20, 1024, 256, 1 << 20
 #: Stored bytes of input for a file, and words that a worker remembers.
-FILE_BYTES, CACHE = 16 << 20, 600_000
+FILE_BYTES, CACHE = 16 << 20, 800_000
 _MAGIC, _LOW = b"RANS0001", np.uint64(1 << 31)
 _HEAD = struct.Struct("<8sIIQQIIIQQ")  # magic, crc of the rest, crc of the table, tokens, documents, lanes, checkpoint steps, crc of ids, words, index bytes
 
 
 # ---- tokens
 
-_PLAIN = re.compile(r"([A-Za-z]+)([^A-Za-z'\s]*)")
+#: Latin letters, whose lower case and NFC form are plain, and then signs other than letters and apostrophes.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-@\[-`{-~]*)")
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(other)) for b in range(256)]
 
 
 class WordTokens(dict):
     """word -> its ids as little-endian bytes, for a tokenizer that drops white space and never looks across it.
 
-    Every id comes from the tokenizers library.  A word of ASCII letters with
-    trailing signs splits there (the pre-tokenizer cuts between letters and
-    other characters), so its two halves are remembered apart.
+    Every id comes from the tokenizers library.  Its pre-tokenizer cuts between
+    letters and other characters, so a word of Latin letters with trailing signs
+    is two pre-tokens: the lower-cased letters go straight to the library's BPE
+    model, the signs and all other words through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,38 +70,49 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def core(self, word: str) -> bytes:
+        """Ids of one pre-token of lower-case Latin letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        size = self.kind.itemsize
+        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(word)])
+
     def learn(self, words: set[str]) -> None:
-        """Encode new words in few calls of the library."""
-        if len(self) > CACHE:
+        """Encode new words."""
+        if len(self) + len(words) > CACHE:
             self.clear()
-        halves: dict[str, tuple[str, str]] = {}
-        new: set[str] = set()
+        rest = []
         for word in words:
-            if word not in self:
-                match = word.isascii() and _PLAIN.fullmatch(word)
-                if match and (match[2] or not match[1].islower()):
-                    halves[word] = match[1].lower(), match[2]
-                    new.update(halves[word])
-                else:
-                    new.add(word)
-        todo = [x for x in new if x not in self]
-        for word, code in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            if word in self:
+                continue
+            match = _PLAIN.fullmatch(word)
+            if not match:
+                rest.append(word)
+                continue
+            low, tail = match[1].lower(), match[2]
+            code = self.get(low)
+            if code is None:
+                code = self[low] = self.core(low)
+            if tail:
+                end = self.get(tail)
+                if end is None:
+                    end = self[tail] = self.ids(tail)
+                code += end
+            self[word] = code
+        for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word] = np.array(code.ids, self.kind).tobytes()
-        for word, (a, b) in halves.items():
-            self[word] = self[a] + self[b]
 
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.ids(text)  # str.split() takes these for white space, the tokenizer does not
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-_ODD = re.compile("[\x1c-\x1f]")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split() for t in texts]
+        self.learn(set().union(*cut))
+        # str.split() takes four control characters for white space that the tokenizer doesn't
+        return [self.ids(t) if _ODD.search(t) else b"".join(map(self.__getitem__, ws)) for t, ws in zip(texts, cut, strict=True)]
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -117,11 +138,10 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         for part in tb.slices(batches):
             texts = [x.as_py() or "" for x in part.column(1)]
-            cache.learn(set().union(*(t.split() for t in texts)))
-            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            for doc_id, code in zip(part.column(0).to_pylist(), cache.encode(texts), strict=True):
                 ids.append(doc_id or 0)
                 known.append(doc_id is not None)
-                codes.append(cache.encode(text) + end)
+                codes.append(code + end)
                 n += len(codes[-1]) // size
                 if n >= BLOCK:
                     yield block()
