@@ -1,6 +1,8 @@
-"""Registry of the driver queries and their SQL."""
+"""All driver queries of the linkage engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalog_linkage, catalog_results, catalog_telemetry, catalog_text  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
