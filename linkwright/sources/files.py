@@ -64,7 +64,15 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
         data = head(spark, path)
         encoding = encoding or detect_encoding(data)
         delimiter = delimiter or detect_delimiter(data.decode(encoding, "replace").lstrip("﻿").split("\n", 1)[0])
-    return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("inferSchema", infer).csv(path)
+    known = encoding.lower() != "windows-1251"  # which Spark doesn't read: bytes are read as they are and then translated
+    df = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding if known else "ISO-8859-1").option("inferSchema", infer).csv(path)
+    if known:
+        return df
+    raw = bytes(range(0x80, 0x100))
+    text = raw.decode("cp1251", "replace")
+    names = [c.encode("latin-1").decode("cp1251", "replace") for c in df.columns]
+    cells = [F.translate(f"`{c}`", raw.decode("latin-1"), text) if k == "string" else F.col(f"`{c}`") for c, k in df.dtypes]
+    return df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
