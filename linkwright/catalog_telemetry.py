@@ -183,6 +183,21 @@ def table_delete_subquery(spark, sf_dir):
     return T.delete_where_in(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), old, "o_custkey").select("o_orderkey")
 
 
+@query("SELECT l_returnflag AS kind, count(*) AS n, round(sum(l_tax * l_extendedprice) / sum(l_extendedprice), 6) AS ratio, round(avg(l_tax), 6) AS mean_ratio FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1")
+def compression_stats(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_extendedprice > 0")
+    s = T.compression_stats(li.select(F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("raw"), (F.col("l_tax") * F.col("l_extendedprice")).alias("packed")))
+    return s.select("kind", "n", F.round("ratio", 6).alias("ratio"), F.round("mean_ratio", 6).alias("mean_ratio"))
+
+
+@query("SELECT c_custkey, CASE WHEN b < 1024 THEN printf('%.1f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%.1f MB', b / 1048576.0::DOUBLE) END AS size, CASE WHEN b >= 3600 THEN printf('%dh %dm %ds', b // 3600, b % 3600 // 60, b % 60) WHEN b >= 60 THEN printf('%dm %ds', b // 60, b % 60) ELSE printf('%ds', b) END AS took FROM (SELECT c_custkey, c_custkey * 37 + 5 AS b FROM customer)")
+def readable_sizes(spark, sf_dir):
+    from .functions.formatting import duration_text, size_text
+
+    b = F.col("c_custkey") * 37 + 5
+    return table(spark, sf_dir, "customer").select("c_custkey", size_text(b).alias("size"), duration_text(b).alias("took"))
+
+
 # ---- streams over the event table, run to the end of what is there
 
 

@@ -167,3 +167,21 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[st
 
 def delete_where_in(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return table.join(keys.select(column).distinct(), column, "left_anti").select(*table.columns)
+
+
+def compression_stats(stored: DataFrame) -> DataFrame:
+    """By kind (columns kind, raw, packed): entries, bytes, overall and mean ratio."""
+    return stored.groupBy("kind").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"), F.sum("packed").alias("packed"), (F.sum("packed") / F.sum("raw")).alias("ratio"), F.avg(F.col("packed") / F.col("raw")).alias("mean_ratio"))
+
+
+def throughput(n1: int, n2: int, seconds: float) -> float:
+    """Comparisons a second that a run of all pairs stands for."""
+    return n1 * n2 / seconds if seconds > 0 else 0.0
+
+
+def observed(df: DataFrame, name: str, *metrics: Column):
+    """df and an observation that holds the metrics once df has run."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, *(metrics or (F.count(F.lit(1)).alias("rows"),))), seen

@@ -153,6 +153,21 @@ def test_files(spark, tmp_path):
     assert found.agg(F.sum("n")).first()[0] == semi.stat().st_size + pipe.stat().st_size
 
 
+def test_protected_files(spark, tmp_path):
+    from linkwright.sources import secure
+
+    (tmp_path / "p.csv").write_text("id,mail\n1,bob@mail.example.com\n")
+    df = secure.load_protected(spark, str(tmp_path / "p.csv"))
+    assert df.first()["mail"] == "***@mail.example.com"
+    with pytest.raises(ValueError):
+        secure.load_protected(spark, str(tmp_path / "missing.csv"))
+    raw = files.read_csv(spark, str(tmp_path / "p.csv"))
+    assert spark.read.option("header", True).csv(secure.save_protected(raw, str(tmp_path / "out"))[0]).first()["mail"].startswith("***")
+    assert secure.map_chunks_protected(raw, lambda f: f[["mail"]], "mail string").first()["mail"].startswith("***")
+    seen_df, seen = telemetry.observed(raw, "rows")
+    assert seen_df.count() == 1 and seen.get["rows"] == 1
+
+
 def test_mapping_suggestions():
     got = files.suggest_mappings(["name", "region_code", "zzz"], ["full_name", "region", "qq"])
     assert [(m["source"], m["target"]) for m in got] == [("name", "full_name"), ("region_code", "region")]
