@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-SEED, RATE, VARIANTS, CACHE = 17, 0.1, 4, 300_000
+SEED, RATE, VARIANTS, CACHE = 17, 0.1, 4, 60_000
 SPACE = "▁"
 #: Up to this many characters a list beats a heap as agenda.
 SHORT = 64
 _CUT = re.compile("\n| +[^ \n]*|[^ \n]+")
-_MARK, _NEVER = "\n", 1 << 60
+_MARK, _NEVER, _LAST = "\n", 1 << 60, (1 << 31) - 1
 #: Odd multipliers of a span's start, middle and end.
 _A, _B, _C = 0x9E37, 0x85EB, 0xC2B3
 
@@ -132,40 +132,166 @@ def _segment_long(parts: list[str], ranks: dict[str, int], salt: int, drop: list
     return [p for p in parts if p]
 
 
+class Pairs:
+    """Which two symbols merge, into what and with which rank: a hash table for numpy.
+
+    Symbols are the pieces by id and, after them, characters of pieces that are
+    no pieces themselves; -1 is any other character.
+    """
+
+    BITS = 20
+
+    def __init__(self, model: Model):
+        number = dict(model.ids)
+        for c in sorted({c for p in model.ids for c in p} - model.ids.keys()):
+            number[c] = len(model.bytes) + len(number) - len(model.ids)
+        self.pieces, self.width = len(model.bytes), len(model.bytes) + len(number)
+        rows = [(number[p[:k]] * self.width + number[p[k:]], model.ranks[p], i) for p, i in model.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        key, rank, merged = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        size = 1 << self.BITS
+        self.key, self.rank, self.merged = np.full(size, -1, np.int64), np.full(size, _LAST, np.int32), np.zeros(size, np.int32)
+        left, slot = np.arange(len(key)), self.slots(key)
+        while len(left):  # what finds its place taken goes one further
+            free = left[self.key[slot[left]] < 0]
+            at, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.key[at], self.rank[at], self.merged[at] = key[placed], rank[placed], merged[placed]
+            left = np.setdiff1d(left, placed)
+            slot[left] = (slot[left] + (self.key[slot[left]] != key[left])) & (size - 1)
+        self.character = np.full(0x110000, -1, np.int32)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.character[ord(c)] = i
+        self.character[0x20], self.character[ord(SPACE)] = self.character[ord(SPACE)], -1  # a literal mark is no space
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (_LAST for no merge) and merged symbols of pairs."""
+        key = np.where((a < 0) | (b < 0), -2, a.astype(np.int64) * self.width + b)
+        slot = self.slots(key)
+        todo = np.flatnonzero((self.key[slot] != key) & (self.key[slot] >= 0) & (key >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            there = self.key[slot[todo]]
+            todo = todo[(there != key[todo]) & (there >= 0)]
+        return np.where(self.key[slot] == key, self.rank[slot], _LAST), self.merged[slot]
+
+
+def segment_many(pieces: list[str], salts: np.ndarray, pairs: Pairs, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """segment() of many pieces of 1 to SHORT characters, step by step side by side.
+
+    Gives the symbols of all pieces one after another, and their numbers.  Row r
+    keeps its symbols in the columns of their first characters; following and
+    earlier lead from one symbol to the next and back.
+    """
+    length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n, width = len(pieces), int(length.max(initial=1))
+    column = np.arange(width)
+    inside = column < length[:, None]
+    symbol = np.full((n, width), -1, np.int32)
+    symbol[inside] = pairs.character[np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    live = inside.copy()
+    following = np.broadcast_to(column + 1, (n, width)).astype(np.int64)
+    earlier = following - 2
+    rank, merged = np.full((n, width), _LAST, np.int32), np.zeros((n, width), np.int32)
+    r, c = np.nonzero(column < length[:, None] - 1)
+    rank[r, c], merged[r, c] = pairs.find(symbol[r, c], symbol[r, c + 1])
+    rows = np.arange(n)
+    while len(rows):
+        i = np.argmin(rank[rows], axis=1)  # of equal ranks the leftmost
+        some = rank[rows, i] < _LAST
+        rows, i = rows[some], i[some]
+        if not len(rows):
+            break
+        m = following[rows, i]
+        b = following[rows, m]
+        skip = drop[(salts[rows] + i * _A + m * _B + b * _C) & 0xFFFF]
+        rank[rows[skip], i[skip]] = _LAST
+        r, i, m, b = (x[~skip] for x in (rows, i, m, b))
+        symbol[r, i] = merged[r, i]
+        following[r, i] = b
+        rank[r, m], live[r, m] = _LAST, False
+        rank[r, i] = _LAST
+        more = b < length[r]
+        x, y, z = r[more], i[more], b[more]
+        earlier[x, z] = y
+        rank[x, y], merged[x, y] = pairs.find(symbol[x, y], symbol[x, z])
+        p = earlier[r, i]
+        more = p >= 0
+        x, y, z = r[more], p[more], i[more]
+        rank[x, y], merged[x, y] = pairs.find(symbol[x, y], symbol[x, z])
+    return symbol[live], live.sum(axis=1)
+
+
 class Encoder:
     def __init__(self, path: str, seed: int, rate: float, variants: int):
         self.model, self.seed, self.variants = Model(path), seed, variants
-        self.drop = dropped(seed, rate)
+        self.pairs, self.drop = Pairs(self.model), dropped(seed, rate)
+        self.drops = np.array(self.drop)
+        #: By variant the codes of pieces seen lately, and before that; pieces in use move up, others are forgotten.
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.code = {p: i.to_bytes(4, "little") for p, i in self.model.ids.items()}
+        self.before: list[dict[str, bytes]] = [{} for _ in range(variants)]
+
+    def salt(self, variant: int, piece: str) -> int:
+        return xxhash.xxh32_intdigest(piece.encode(), self.seed * self.variants + variant)
 
     def piece(self, variant: int, piece: str) -> bytes:
+        """One piece by itself: a line feed, a long one, or one with a character outside the vocabulary."""
         if piece == "\n":
             return self.model.byte_ids[10].to_bytes(4, "little")
-        salt = xxhash.xxh32_intdigest(piece.encode(), self.seed * self.variants + variant)
-        symbols = segment(piece, self.model.ranks, salt, self.drop)
-        try:
-            return b"".join([self.code[s] for s in symbols])
-        except KeyError:  # a character without a piece
-            return np.array(self.model.codes(symbols), "<u4").tobytes()
-
-    def encode(self, doc_id: int, text: str) -> bytes:
-        pieces = _CUT.findall(" " + text) if text else []
-        if self.variants > 1:
-            key = np.uint64(xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), self.seed))
-            which = (tb.mix64(key + np.arange(len(pieces), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        else:
-            which = [0] * len(pieces)
-        out = []
-        for v, p in zip(which, pieces, strict=True):
-            known = self.known[v]
-            code = known.get(p)
-            if code is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                code = known[p] = self.piece(v, p)
-            out.append(code)
-        return b"".join(out)
+        symbols = segment(piece, self.model.ranks, self.salt(variant, piece), self.drop)
+        return np.array(self.model.codes(symbols), "<u4").tobytes()
+
+    def learn(self, variant: int, wanted: set[str]) -> None:
+        """Have the codes of all wanted pieces in known."""
+        if len(self.known[variant]) + len(wanted) > CACHE:
+            self.before[variant], self.known[variant] = self.known[variant], {}
+        known, before, new = self.known[variant], self.before[variant], []
+        for p in wanted:
+            if p not in known:
+                code = before.get(p)
+                if code is not None:
+                    known[p] = code
+                elif len(p) > SHORT or p == "\n":
+                    known[p] = self.piece(variant, p)
+                else:
+                    new.append(p)
+        new.sort(key=len)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            salts = np.fromiter((self.salt(variant, p) for p in some), np.int64, len(some))
+            symbols, n = segment_many(some, salts, self.pairs, self.drops)
+            odd = (symbols < 0) | (symbols >= self.pairs.pieces)
+            ends = np.cumsum(n)
+            strange = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
+            codes = symbols.astype("<u4").tobytes()
+            for k, (p, a, b) in enumerate(zip(some, (4 * (ends - n)).tolist(), (4 * ends).tolist(), strict=True)):
+                known[p] = self.piece(variant, p) if k in strange else codes[a:b]
+
+    def encode_all(self, doc_ids: list[int | None], texts: list[str | None]) -> list[bytes]:
+        cut = [_CUT.findall(" " + t) if t else [] for t in texts]
+        flat = [p for pieces in cut for p in pieces]
+        numbers = [np.zeros(0, np.uint64)]
+        for d, pieces in zip(doc_ids, cut, strict=True):
+            key = np.uint64(xxhash.xxh64_intdigest((d or 0).to_bytes(8, "little", signed=True), self.seed))
+            numbers.append(key + np.arange(len(pieces), dtype=np.uint64))
+        which = tb.mix64(np.concatenate(numbers)) % np.uint64(self.variants)
+        codes = np.empty(len(flat), object)
+        for v in range(self.variants):
+            at = np.flatnonzero(which == v)
+            own = list(map(flat.__getitem__, at.tolist()))
+            self.learn(v, set(own))
+            codes[at] = np.fromiter(map(self.known[v].__getitem__, own), object, len(own))
+        out, at = [], 0
+        for pieces in cut:
+            out.append(b"".join(codes[at : at + len(pieces)].tolist()))
+            at += len(pieces)
+        return out
+
+    def encode(self, doc_id: int | None, text: str) -> bytes:
+        return self.encode_all([doc_id], [text])[0]
 
 
 def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
@@ -176,7 +302,8 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, var
         if "e" not in state:
             state["e"] = Encoder(path, seed, rate, variants)
         doc, text = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "text"))
-        ids = [state["e"].encode(d or 0, t) if t is not None else None for d, t in zip(doc.to_pylist(), text.to_pylist(), strict=True)]
+        texts = text.to_pylist()
+        ids = [x if t is not None else None for x, t in zip(state["e"].encode_all(doc.to_pylist(), texts), texts, strict=True)]
         return [pa.array(ids, pa.binary()), pa.array([len(x or b"") // 4 for x in ids], pa.int64())]
 
     return tb.with_columns(docs, [("ids", "binary"), ("n_ids", "long")], run)

@@ -255,6 +255,22 @@ def test_long_agenda_equals_short_one(monkeypatch):
         monkeypatch.undo()
 
 
+def test_side_by_side_equals_one_by_one():
+    encoder, rng = op9_dropout.Encoder(PIECES, 5, 0.2, 2), random.Random(6)
+    pieces = ["".join(rng.choice("abenorst é▁語") for _ in range(rng.randrange(1, op9_dropout.SHORT + 1))) for _ in range(400)]
+    pieces += ["a", "ab" * 32, " " * 64, "\U0001f600"]
+    encoder.learn(1, set(pieces))
+    assert all(encoder.known[1][p] == encoder.piece(1, p) for p in pieces)
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(op9_dropout, "CACHE", 10)
+    small, large = op9_dropout.Encoder(PIECES, 5, 0.1, 2), op9_dropout.Encoder(PIECES, 5, 0.1, 2)
+    texts = [prose(random.Random(i), 30) for i in range(20)]
+    one = [small.encode(i, t) for i, t in enumerate(texts)]
+    assert one == large.encode_all(list(range(20)), texts) and len(small.known[0]) < 40
+
+
 def test_line_rules(spark, odd, empty, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     made = spark.createDataFrame([(1, "Good words here, friend.\n" * 3 + prose(random.Random(1), 60) + "."), (2, prose(random.Random(2), 55) + ".\n" + prose(random.Random(3), 90).replace(" ", " | ")), (3, "one two three " * 40)], "doc_id long, text string")
