@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remainder
+from .shared import remainder, small_batches
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
@@ -15,6 +15,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: i
     of one doc_id count as the largest.  The choice goes by a hash of the doc_id,
     so it is the same in every run; its size bounds the broadcast of its ids.
     """
+    small_batches(docs.sparkSession)
     known = labels.where((remainder("doc_id", modulus) != held) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     ids = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

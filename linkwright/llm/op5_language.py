@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import small_batches
 
 BUCKETS, GRAMS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 _PART = 1 << 12
@@ -89,6 +90,7 @@ def learn(docs: DataFrame, chosen: Column) -> tuple[list[str], np.ndarray]:
         for (name, part), n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([n.tobytes()])], names=["lang", "part", "n"])
 
+    small_batches(docs.sparkSession)
     kinds = "lang string, part int, n binary"
     rows = docs.where(chosen & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(count, kinds).repartition("lang", "part").mapInArrow(add, kinds).collect()
     langs = sorted({r["lang"] for r in rows})

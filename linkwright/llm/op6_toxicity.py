@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 
 #: Sample size, least support and lift of a candidate, lexicon and candidate bounds, words a worker remembers.
-ROWS, SUPPORT, LIFT, LEXICON, CANDIDATES, CACHE = 12_000, 3, 3.0, 500, 5_000, 1_000_000
+ROWS, SUPPORT, LIFT, LEXICON, CANDIDATES, CACHE = 12_000, 3, 3.0, 500, 5_000, 300_000
 #: Evidence that marks a row, and how many toxic rows a clean one outweighs in the choice.
 MARKS, AGAINST = 3.0, 3
 #: Numbers of free matches that a learned pattern may have.
@@ -161,6 +161,10 @@ class Lexicon:
         self.known: dict[str, int] = {}
         self.pattern: dict[str, str] = {}
 
+    def using(self, rates: dict[str, tuple[float, int]]) -> Lexicon:
+        self.rates = rates
+        return self
+
     def learn(self, words: set[str]) -> None:
         """Codes of new words: the symbol, and 8 more if the word ends a clause."""
         if len(self.known) + len(words) > CACHE:
@@ -274,21 +278,20 @@ def learn(rows: DataFrame) -> Lexicon:
 
 def classify(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-    state: dict[str, Grammar] = {}
+    sent = docs.sparkSession.sparkContext.broadcast((lexicon.learned, lexicon.rates))
+    state: dict[str, tuple[Grammar, Lexicon]] = {}
 
     def run(part: pa.RecordBatch) -> list:
-        if "g" not in state:
-            state["g"] = Grammar()
-        lex, scores = sent.value, []
+        if "s" not in state:  # a reader for each task: what it remembers goes with the task
+            learned, rates = sent.value
+            state["s"] = Grammar(), Lexicon(learned, {}).using(rates)
+        (grammar, lex), scores = state["s"], []
         texts = [_words(t or "") for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-        new = set().union(*texts)
-        new.difference_update(lex.known)
-        if len(lex.known) + len(new) > CACHE:
-            new = set().union(*texts)
-        lex.learn(new)
+        every = set().union(*texts)
+        new = every.difference(lex.known)
+        lex.learn(every if len(lex.known) + len(new) > CACHE else new)
         for words in texts:
-            scores.append(1 / (1 + math.exp(-min(30.0, BIAS + lex.evidence(state["g"], words)))))
+            scores.append(1 / (1 + math.exp(-min(30.0, BIAS + lex.evidence(grammar, words)))))
         score = np.array(scores, np.float64)
         return [score, (score >= threshold).astype(np.int32)]
 

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import input_bytes, shuffle_partitions
+from .shared import input_bytes, shuffle_partitions, small_batches
 
 WINDOW = 50
 #: Windows of a chunk; bounds a task's memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Input bytes (as stored) for a hash range.
 RANGE_BYTES = 1 << 20
 SEED = 42
@@ -132,6 +132,7 @@ def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key (XXH64 of the text) and spans (pairs of int64: first word, end) of documents that lose words."""
     spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    small_batches(spark)
     ranges = max(256, 4 * parts, input_bytes(docs) // RANGE_BYTES)
     bits = min(24, int(ranges - 1).bit_length())
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import stored
+from .shared import small_batches, stored
 
 WINDOW, SHINGLE = 10, 3
 BLOCK = 1 << 18
@@ -163,6 +163,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
 
 def shingle_counts(docs: DataFrame, wanted: Block) -> tuple[np.ndarray, np.ndarray]:
     """The block's shingles that occur in docs, and how often."""
+    small_batches(docs.sparkSession)
     sizes = np.unique(wanted.size).tolist()
     sent = docs.sparkSession.sparkContext.broadcast({s: np.unique(wanted.shingle[wanted.size == s]) for s in sizes})
 

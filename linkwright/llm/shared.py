@@ -14,9 +14,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (at or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
+#: Session settings of Arrow batches: Spark's default, and what the operators use instead of it.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of a few MB between Spark and Python: texts are long, and each task holds some batches on both sides.
+
+    A setting that isn't Spark's default stays as it is.
+    """
+    for name, (default, small) in ARROW.items():
+        if str(spark.conf.get(name)).rstrip("b") == str(default):
+            spark.conf.set(name, str(small))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new folder of the shared directory and read back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,4 +61,5 @@ def remainder(column: str, n: int):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-SLICE_BYTES = 2 << 20
+from .shared import small_batches
+
+SLICE_BYTES = 1 << 19
 _U64 = np.uint64
 #: Odd multipliers of the polynomial hashes modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -186,6 +188,7 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.
     fields: names and Spark types of the new columns.  An input column of the
     same name is replaced.  df must have a column text.
     """
+    small_batches(df.sparkSession)
     df = df.drop(*[name for name, _ in fields])
     added = [StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
     schema = StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + added)
