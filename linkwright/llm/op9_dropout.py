@@ -3,12 +3,16 @@
 A text gets the model's space prefix and is cut where no merge can cross (before
 runs of spaces, around line feeds).  Each cut piece is merged from characters by
 agenda: the best-ranked candidate is taken out first and skipped if a keyed hash
-of (seed, variant, piece text, span) falls below the dropout rate; a skipped
-candidate doesn't come back, but one made by a later merge is a new one.  The
-variant of a piece is a keyed hash of (seed, doc_id, its number), so the same
-word is cut in different ways within and across documents, while a worker
-remembers each (variant, piece) once within a bound.  With a rate of 0 the ids are the
-library's own.  Ids depend on nothing but the row, the seed and the rate.
+of (seed, doc_id, the piece's number and text, span) falls below the dropout
+rate; a skipped candidate doesn't come back, but one made by a later merge is a
+new one.  So every occurrence of a word is dealt by itself.  What a piece becomes
+depends only on which candidates are skipped: a worker remembers, within a bound,
+a tree of these choices for each piece, in which the hashes of an occurrence lead
+to its ids.  With a rate of 0 the ids are the library's own.  Ids depend on
+nothing but the row, the seed and the rate.
+
+encode(variants=n), an opt-in, takes a keyed number below n in place of doc_id and
+the piece's number: a word then has n segmentations at most.
 
 Characters without a piece become byte pieces.  So does the space mark U+2581
 itself where the text holds one, which the library would turn into a space;
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,9 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-SEED, RATE, VARIANTS, CACHE = 17, 0.1, 4, 60_000
+SEED, RATE, CACHE = 17, 0.1, 60_000
+#: So many remembered choices are forgotten before the next batch.
+NODES = 400_000
 SPACE = "▁"
 #: Up to this many characters a list beats a heap as agenda.
 SHORT = 64
@@ -38,6 +45,10 @@ _CUT = re.compile("\n| +[^ \n]*|[^ \n]+")
 _MARK, _NEVER, _LAST = "\n", 1 << 60, (1 << 31) - 1
 #: Odd multipliers of a span's start, middle and end.
 _A, _B, _C = 0x9E37, 0x85EB, 0xC2B3
+_WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_ALL = (1 << 64) - 1
+#: Choices of a piece up to this one are remembered.
+STEPS = 62
 
 
 class Model:
@@ -81,10 +92,15 @@ def dropped(seed: int, rate: float) -> list[bool]:
 
 def segment(piece: str, ranks: dict[str, int], salt: int, drop: list[bool]) -> list[str]:
     """Symbols of a piece after the agenda is empty; drop[keyed hash of a span] skips a candidate."""
+    return merge(piece, ranks, lambda a, m, b: drop[(salt + a * _A + m * _B + b * _C) & 0xFFFF])
+
+
+def merge(piece: str, ranks: dict[str, int], skip: Callable[[int, int, int], bool]) -> list[str]:
+    """Symbols of a piece after the agenda is empty; skip is asked once for each candidate (start, middle, end)."""
     # within a piece a literal space mark is stood for by a line feed, which no vocabulary piece holds
     parts = [*piece.replace(SPACE, _MARK).replace(" ", SPACE)]
     if len(parts) > SHORT:
-        return _segment_long(parts, ranks, salt, drop)
+        return _merge_long(parts, ranks, skip)
     get, starts = ranks.get, [*range(len(parts) + 1)]
     agenda = [get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
     while agenda:
@@ -93,7 +109,7 @@ def segment(piece: str, ranks: dict[str, int], salt: int, drop: list[bool]) -> l
             break
         i = agenda.index(best)
         j = i + 1
-        if drop[(salt + starts[i] * _A + starts[j] * _B + starts[j + 1] * _C) & 0xFFFF]:
+        if skip(starts[i], starts[j], starts[j + 1]):
             agenda[i] = _NEVER
             continue
         parts[i] += parts[j]
@@ -105,7 +121,7 @@ def segment(piece: str, ranks: dict[str, int], salt: int, drop: list[bool]) -> l
     return parts
 
 
-def _segment_long(parts: list[str], ranks: dict[str, int], salt: int, drop: list[bool]) -> list[str]:
+def _merge_long(parts: list[str], ranks: dict[str, int], skip: Callable[[int, int, int], bool]) -> list[str]:
     n = len(parts)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int]] = []
@@ -119,7 +135,7 @@ def _segment_long(parts: list[str], ranks: dict[str, int], salt: int, drop: list
         offer(a)
     while agenda:
         _, a, m, b = heapq.heappop(agenda)
-        if not parts[a] or end[a] != m or m >= n or end[m] != b or drop[(salt + a * _A + m * _B + b * _C) & 0xFFFF]:
+        if not parts[a] or end[a] != m or m >= n or end[m] != b or skip(a, m, b):
             continue  # one of its symbols has been merged since, or it is dropped
         parts[a] += parts[m]
         parts[m] = ""
@@ -179,10 +195,11 @@ class Pairs:
         return np.where(self.key[slot] == key, self.rank[slot], _LAST), self.merged[slot]
 
 
-def segment_many(pieces: list[str], salts: np.ndarray, pairs: Pairs, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """segment() of many pieces of 1 to SHORT characters, step by step side by side.
+def segment_many(pieces: list[str], pairs: Pairs, skip: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """merge() of many pieces of 1 to SHORT characters, step by step side by side.
 
-    Gives the symbols of all pieces one after another, and their numbers.  Row r
+    skip is asked with the pieces' numbers and their candidates' starts, middles
+    and ends, one candidate a piece at each step.  Gives the symbols of all pieces one after another, and their numbers.  Row r
     keeps its symbols in the columns of their first characters; following and
     earlier lead from one symbol to the next and back.
     """
@@ -207,9 +224,9 @@ def segment_many(pieces: list[str], salts: np.ndarray, pairs: Pairs, drop: np.nd
             break
         m = following[rows, i]
         b = following[rows, m]
-        skip = drop[(salts[rows] + i * _A + m * _B + b * _C) & 0xFFFF]
-        rank[rows[skip], i[skip]] = _LAST
-        r, i, m, b = (x[~skip] for x in (rows, i, m, b))
+        out = skip(rows, i, m, b)
+        rank[rows[out], i[out]] = _LAST
+        r, i, m, b = (x[~out] for x in (rows, i, m, b))
         symbol[r, i] = merged[r, i]
         following[r, i] = b
         rank[r, m], live[r, m] = _LAST, False
@@ -226,6 +243,8 @@ def segment_many(pieces: list[str], salts: np.ndarray, pairs: Pairs, drop: np.nd
 
 
 class Encoder:
+    """The opt-in: variants segmentations of a piece at most."""
+
     def __init__(self, path: str, seed: int, rate: float, variants: int):
         self.model, self.seed, self.variants = Model(path), seed, variants
         self.pairs, self.drop = Pairs(self.model), dropped(seed, rate)
@@ -262,7 +281,7 @@ class Encoder:
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             salts = np.fromiter((self.salt(variant, p) for p in some), np.int64, len(some))
-            symbols, n = segment_many(some, salts, self.pairs, self.drops)
+            symbols, n = segment_many(some, self.pairs, lambda r, a, m, b, s=salts: self.drops[(s[r] + a * _A + m * _B + b * _C) & 0xFFFF])
             odd = (symbols < 0) | (symbols >= self.pairs.pieces)
             ends = np.cumsum(n)
             strange = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
@@ -294,13 +313,183 @@ class Encoder:
         return self.encode_all([doc_id], [text])[0]
 
 
-def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def _put(a: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """a with values from at on, twice as long if it is full."""
+    if at + len(values) > len(a):
+        a = np.concatenate([a, np.empty(max(len(a), at + len(values) - len(a)), a.dtype)])
+    a[at : at + len(values)] = values
+    return a
+
+
+class Tree:
+    """Every occurrence of a piece dealt by itself.
+
+    A node is a piece with the choices made so far (bit t of its mask: the t-th
+    candidate was skipped).  It holds the candidates that follow when no other
+    one is skipped, the ids that come of it, and by candidate the node to go to
+    when that one is the next skipped.  Node 0 stands for pieces that are merged
+    one by one and not remembered.
+    """
+
+    def __init__(self, path: str, seed: int, rate: float):
+        self.model, self.seed = Model(path), seed
+        self.pairs, self.below = Pairs(self.model), int(rate * 2.0**53)
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.piece, self.mask, self.first = [""], [0], [0]
+        self.text = np.zeros(1, np.uint64)
+        self.start, self.id_start = np.zeros(2, np.int64), np.zeros(2, np.int64)
+        self.code, self.child, self.ids = np.zeros(64, np.uint64), np.zeros(64, np.int64), np.zeros(64, "<u4")
+
+    def hashed(self, piece: str) -> int:
+        return xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), self.seed)
+
+    def skips(self, salt: int) -> Callable[[int, int, int], bool]:
+        """The choices of one occurrence, one at a time."""
+
+        def skip(a: int, m: int, b: int) -> bool:
+            h = salt + a * _WIDE[0] + m * _WIDE[1] + b * _WIDE[2] & _ALL
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & _ALL
+            return (h ^ h >> 31) >> 11 < self.below
+
+        return skip
+
+    def add(self, pieces: list[str], masks: list[int], firsts: list[int], texts: np.ndarray, codes: np.ndarray, n: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> int:
+        """Nodes in a row; the number of the first."""
+        at = len(self.piece)
+        self.piece += pieces
+        self.mask += masks
+        self.first += firsts
+        self.text = _put(self.text, at, texts)
+        a, b = int(self.start[at]), int(self.id_start[at])
+        self.start = _put(self.start, at + 1, a + np.cumsum(n))
+        self.id_start = _put(self.id_start, at + 1, b + np.cumsum(n_ids))
+        self.code = _put(self.code, a, codes)
+        self.child = _put(self.child, a, np.full(len(codes), -1, np.int64))
+        self.ids = _put(self.ids, b, ids)
+        return at
+
+    def grow(self, pieces: list[str], masks: list[int], firsts: list[int], texts: np.ndarray) -> np.ndarray:
+        """Numbers of the new nodes for pieces of 1 to SHORT characters and masks."""
+        out = np.zeros(len(pieces), np.int64)
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        for at in range(0, len(order), 4096):
+            some = order[at : at + 4096]
+            p, mask, first = [pieces[k] for k in some], [masks[k] for k in some], [firsts[k] for k in some]
+            bits, steps = np.array(mask, np.uint64), []
+
+            def skip(rows, a, m, b, bits=bits, steps=steps):
+                u = [x.astype(np.uint64) * np.uint64(w) for x, w in zip((a, m, b), _WIDE, strict=True)]
+                t = len(steps)
+                steps.append((rows, u[0] + u[1] + u[2]))
+                return (bits[rows] >> np.uint64(t)) & np.uint64(1) > 0 if t <= STEPS else np.zeros(len(rows), bool)
+
+            symbols, n_ids = segment_many(p, self.pairs, skip)
+            table = np.zeros((len(p), len(steps)), np.uint64)
+            n = np.zeros(len(p), np.int64)
+            for t, (rows, code) in enumerate(steps):
+                table[rows, t] = code
+                n[rows] = t + 1
+            begin = np.array(first, np.int64)
+            t = np.arange(len(steps))
+            codes = table[(t >= begin[:, None]) & (t < n[:, None])]
+            odd = (symbols < 0) | (symbols >= self.pairs.pieces)
+            if odd.any():  # characters outside the vocabulary become bytes
+                ends, whole = np.cumsum(n_ids), []
+                strange = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
+                for k, (a, b) in enumerate(zip((ends - n_ids).tolist(), ends.tolist(), strict=True)):
+                    whole.append(self.bytewise(p[k], mask[k]) if k in strange else symbols[a:b].astype("<u4"))
+                symbols, n_ids = np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
+            to = self.add(p, mask, first, texts[some], codes, n - begin, symbols.astype("<u4"), n_ids)
+            out[some] = to + np.arange(len(p))
+        return out
+
+    def bytewise(self, piece: str, mask: int) -> np.ndarray:
+        step = iter(range(1 << 30))
+        return np.array(self.model.codes(merge(piece, self.model.ranks, lambda a, m, b: mask >> next(step) & 1 > 0)), "<u4")
+
+    def alone(self, piece: str, salt: int) -> int:
+        """A node for one occurrence."""
+        ids = [self.model.byte_ids[10]] if piece == "\n" else self.model.codes(merge(piece, self.model.ranks, self.skips(salt)))
+        none = np.zeros(0, np.uint64)
+        return self.add([""], [0], [0], np.zeros(1, np.uint64), none, np.zeros(1, np.int64), np.array(ids, "<u4"), np.array([len(ids)]))
+
+    def known(self, pieces: set[str]) -> None:
+        """Have the roots of all pieces."""
+        new = [p for p in pieces if p not in self.roots]
+        if "\n" in new:
+            self.roots["\n"] = self.alone("\n", 0)
+        self.roots |= {p: 0 for p in new if len(p) > SHORT}
+        new = [p for p in new if p != "\n" and len(p) <= SHORT]
+        if new:
+            texts = np.fromiter(map(self.hashed, new), np.uint64, len(new))
+            self.roots |= zip(new, self.grow(new, [0] * len(new), [0] * len(new), texts).tolist(), strict=True)
+
+    def follow(self, at: np.ndarray, parent: np.ndarray) -> None:
+        """Have the nodes behind these candidates of these nodes."""
+        step = np.fromiter((self.first[k] for k in parent.tolist()), np.int64, len(parent)) + at - self.start[parent]
+        self.child[at[step > STEPS]] = 0
+        at, parent, step = (x[step <= STEPS] for x in (at, parent, step))
+        if len(at):
+            masks = [self.mask[k] | 1 << t for k, t in zip(parent.tolist(), step.tolist(), strict=True)]
+            self.child[at] = self.grow([self.piece[k] for k in parent.tolist()], masks, (step + 1).tolist(), self.text[parent])
+
+    def encode_all(self, doc_ids: list[int | None], texts: list[str | None]) -> list[bytes]:
+        if len(self.piece) > NODES:
+            self.forget()
+        cut = [_CUT.findall(" " + t) if t else [] for t in texts]
+        flat = [p for pieces in cut for p in pieces]
+        self.known(set(flat))
+        numbers = [np.zeros(0, np.uint64)]
+        for d, pieces in zip(doc_ids, cut, strict=True):
+            key = np.uint64(xxhash.xxh64_intdigest((d or 0).to_bytes(8, "little", signed=True), self.seed))
+            numbers.append(key + np.arange(len(pieces), dtype=np.uint64))
+        salt = tb.mix64(np.concatenate(numbers))
+        node = np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat))
+        salt += self.text[node]
+        for k in np.flatnonzero(node == 0).tolist():
+            node[k] = self.alone(flat[k], int(salt[k]) + self.hashed(flat[k]) & _ALL)
+        active = np.arange(len(flat))
+        while len(active):
+            begin = self.start[node[active]]
+            n = self.start[node[active] + 1] - begin
+            row = np.repeat(np.arange(len(active)), n)
+            at = np.arange(len(row)) + (begin - np.cumsum(n) + n)[row]
+            hit = np.flatnonzero((tb.mix64(salt[active][row] + self.code[at]) >> np.uint64(11)) < np.uint64(self.below))
+            row, at = row[hit], at[hit]
+            first = np.ones(len(row), bool)
+            first[1:] = row[1:] != row[:-1]
+            active, at = active[row[first]], at[first]
+            new = np.flatnonzero(self.child[at] < 0)
+            if len(new):
+                some, index = np.unique(at[new], return_index=True)
+                self.follow(some, node[active[new[index]]])
+            node[active] = self.child[at]
+            single = node[active] == 0
+            for k in active[single].tolist():
+                node[k] = self.alone(flat[k], int(salt[k]))
+            active = active[~single]
+        begin = self.id_start[node]
+        n = self.id_start[node + 1] - begin
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)].tobytes()
+        bounds = (4 * ends[np.cumsum([0, *map(len, cut)])]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, doc_id: int | None, text: str) -> bytes:
+        return self.encode_all([doc_id], [text])[0]
+
+
+def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, variants: int = 0) -> DataFrame:
     """docs with ids (little-endian unsigned 32-bit) and n_ids."""
-    state: dict[str, Encoder] = {}
+    state: dict[str, Encoder | Tree] = {}
 
     def run(part: pa.RecordBatch) -> list:
         if "e" not in state:
-            state["e"] = Encoder(path, seed, rate, variants)
+            state["e"] = Encoder(path, seed, rate, variants) if variants else Tree(path, seed, rate)
         doc, text = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "text"))
         texts = text.to_pylist()
         ids = [x if t is not None else None for x, t in zip(state["e"].encode_all(doc.to_pylist(), texts), texts, strict=True)]
