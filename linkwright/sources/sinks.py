@@ -54,13 +54,17 @@ def save_pretty_json(df: DataFrame, path: str, limit: int = 100_000) -> int:
 
 
 def save_excel(sheets: dict[str, DataFrame], path: str, limit: int = 1_000_000) -> None:
-    """Sheets of one workbook (needs openpyxl); names are cut to 31 characters."""
+    """Sheets of one workbook (needs openpyxl); names are cut to 31 characters; refuses tables above the limit before writing."""
     import pandas as pd
 
+    frames = {name: df.limit(limit + 1).toPandas() for name, df in sheets.items()}
+    for name, frame in frames.items():
+        if len(frame) > limit:
+            raise ValueError(f"more than {limit} rows for sheet {name}; write part files with save()")
     try:
         with pd.ExcelWriter(path) as writer:
-            for name, df in sheets.items():
-                df.limit(limit).toPandas().to_excel(writer, sheet_name=name[:31], index=False)
+            for name, frame in frames.items():
+                frame.to_excel(writer, sheet_name=name[:31], index=False)
     except ImportError as e:
         raise RuntimeError("writing Excel needs the package openpyxl") from e
 
