@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,16 +148,33 @@ def alerts(rates: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rates.withColumn("alert", F.explode(hits))
 
 
-def span_tree(spans: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Depth of every span (span_id, parent_id) under its root, level by level."""
-    level = spans.where("parent_id IS NULL").select("span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for _ in range(max_depth):
-        level = spans.alias("s").join(level.alias("l"), F.col("s.parent_id") == F.col("l.span_id")).select("s.span_id", "l.root", (F.col("l.depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def _stored(df: DataFrame, at: str) -> DataFrame:
+    """df written to a new folder of at and read back, so that plans don't grow from round to round."""
+    path = f"{at}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Depth of every span (span_id, parent_id) under its root; spans with an unknown ancestor are left out, cycles raise.
+
+    Each round doubles the steps that the pointers of unfinished spans lead up, so
+    the longest chain of n spans takes about log2(n) rounds.
+    """
+    conf = spans.sparkSession.conf
+    at = (conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+    spans = _stored(spans.select("span_id", "parent_id"), at)
+    done = spans.where("parent_id IS NULL").select("span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"))
+    left = spans.where("parent_id IS NOT NULL").select("span_id", F.col("parent_id").alias("up"))
+    steps, n = 1, spans.count()
+    while not left.isEmpty():
+        if steps > n:
+            raise ValueError("the spans' parents form a cycle")
+        # left holds all ways of exactly so many steps, done all shorter ones that end at a root
+        near = left.alias("l").join(done.alias("d"), F.col("l.up") == F.col("d.span_id")).select("l.span_id", "d.root", (F.col("d.depth") + steps).alias("depth"))
+        far = left.alias("l").join(left.alias("r"), F.col("l.up") == F.col("r.span_id")).select("l.span_id", "r.up")
+        done, left, steps = _stored(done.unionByName(near), at), _stored(far, at), 2 * steps
+    return done
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
