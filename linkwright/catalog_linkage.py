@@ -179,6 +179,25 @@ def unmatched_by_value(spark, sf_dir):
     return L.unmatched(p, "p_partkey", p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("m")), by_value=True).select("p_partkey")
 
 
+CLASSES = "SELECT min(p_partkey) AS id, p_name, p_brand AS brand, count(*) AS class_rows FROM part GROUP BY p_name, p_brand"
+
+
+@query(f"""{MATCHES.replace(PARTS, CLASSES)}, l AS (SELECT id1, count(*) AS linked_classes, sum(class_rows)::BIGINT AS linked_rows FROM m JOIN p ON p.id = id2 GROUP BY id1)
+SELECT p_partkey, p.id AS class_id, class_rows, coalesce(linked_classes, 0) AS linked_classes, coalesce(linked_rows, 0) AS linked_rows
+FROM part JOIN p ON part.p_name IS NOT DISTINCT FROM p.p_name AND p_brand IS NOT DISTINCT FROM brand LEFT JOIN l ON id1 = p.id""")
+def linkage_part_rows(spark, sf_dir):
+    """Every part row with its class of equal name and brand, and how many classes and rows that is linked with (itself too)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_brand").alias("brand"))
+    classes = part.groupBy("p_name", "brand").agg(F.min("p_partkey").alias("id"), F.count("*").alias("class_rows"))
+    p = classes.select("id", "p_name", "brand")
+    m = L.find_matches(p, p, "id", "id", CONFIG).matched.select("id1", "id2")
+    sizes = classes.select(F.col("id").alias("id2"), "class_rows")
+    links = m.join(sizes, "id2").groupBy(F.col("id1").alias("id")).agg(F.count("*").alias("linked_classes"), F.sum("class_rows").alias("linked_rows"))
+    whole = classes.join(links, "id", "left").fillna(0, ["linked_classes", "linked_rows"]).alias("k")
+    same = F.col("a.p_name").eqNullSafe(F.col("k.p_name")) & F.col("a.brand").eqNullSafe(F.col("k.brand"))
+    return part.alias("a").join(whole, same).select("p_partkey", F.col("id").alias("class_id"), "class_rows", "linked_classes", "linked_rows")
+
+
 @query(None)
 def linkage_all_algorithms(spark, sf_dir):
     """Cyrillic against Latin spellings with exact, combined fuzzy and phonetic scoring."""
