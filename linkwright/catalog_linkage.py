@@ -114,6 +114,13 @@ def cartesian_pairs(spark, sf_dir):
     return L.candidates(c, s, "c_custkey", "s_suppkey", L.LinkageConfig((FieldMapping("c_name", "s_name"),), use_blocking=False))
 
 
+@query("SELECT n_nationkey AS id1, s_suppkey AS id2 FROM nation, supplier")
+def cartesian_pairs_whole(spark, sf_dir):
+    """The opt-in without blocking over all rows of two tables."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    return L.candidates(n, s, "n_nationkey", "s_suppkey", L.LinkageConfig((FieldMapping("n_name", "s_name"),), use_blocking=False))
+
+
 CONFIG = L.LinkageConfig((FieldMapping("p_name", "p_name", 1.0), FieldMapping("brand", "brand", 0.5)), (Algorithm("exact"), Algorithm("fuzzy", {"method": "levenshtein", "compose": False})), 75.0, strategies=("exact_prefix", "ngram"))
 
 
