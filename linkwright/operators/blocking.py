@@ -73,8 +73,13 @@ def characteristics(df: DataFrame, fields: list[str], order: str) -> DataFrame:
     return row.select(F.explode(each).alias("c")).select("c.*")
 
 
-def select_strategies(df: DataFrame, fields: list[str], order: str) -> list[str]:
-    """Prefixes always; phonetic keys for Uzbek text; n-grams from NGRAM_FROM rows; two at most from FEW_FROM rows."""
+def select_strategies(df: DataFrame, fields: list[str], order: str, strict: bool = True) -> list[str]:
+    """Prefixes always; phonetic keys for Uzbek text; n-grams from NGRAM_FROM rows; two at most from FEW_FROM rows.
+
+    Without strict no strategy is left out, whatever the size or the first values.
+    """
+    if not strict:
+        return ["exact_prefix", "phonetic_key", "ngram"]
     n = df.count()
     head = df.orderBy(order).limit(UZBEK_HEAD).agg(F.max(F.greatest(*[T.is_uzbek(F.col(f).cast("string")).cast("int") for f in fields], F.lit(0))).alias("u")).first()
     chosen = ["exact_prefix"] + ["phonetic_key"] * bool(head["u"]) + ["ngram"] * (n > NGRAM_FROM)

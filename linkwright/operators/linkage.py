@@ -19,7 +19,8 @@ class LinkageConfig:
     """What to compare, how, and what counts as a match.
 
     strict reproduces odd cases (null compared as text, digits alike in sound,
-    unmatched by value, match counts as comparison counts); the default doesn't.
+    unmatched by value, match counts as comparison counts, blocking strategies
+    by size where none are named); the default doesn't.
     """
 
     mappings: tuple[FieldMapping, ...]
@@ -59,7 +60,7 @@ def candidates(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linkage
     if not config.use_blocking:
         return d1.select(F.col(id1).alias("id1")).crossJoin(d2.select(F.col(id2).alias("id2")))
     fields1, fields2 = ([getattr(m, s) for m in config.mappings] for s in ("source", "target"))
-    strategies = list(config.strategies or blocking.select_strategies(d1, fields1, id1))
+    strategies = list(config.strategies or blocking.select_strategies(d1, fields1, id1, config.strict))
     left, right = blocking.index(d1, id1, fields1, strategies), blocking.index(d2, id2, fields2, strategies)
     return blocking.candidate_pairs(left, right, config.max_block)
 
