@@ -100,6 +100,13 @@ def job_queue_order(spark, sf_dir):
     return monitor.queue_order(o).limit(100).select("job_id")
 
 
+@query("SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_orderdate NULLS FIRST, o_orderkey) AS place FROM orders")
+def job_queue_places(spark, sf_dir):
+    """Every job with its place in the order, from 1."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"))
+    return T.places(o, [F.desc("priority"), F.asc("created_at"), F.asc("job_id")]).select("job_id", "place")
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def newest_first(spark, sf_dir):
     from .operators.results import newest

@@ -148,9 +148,11 @@ def alerts(rates: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rates.withColumn("alert", F.explode(hits))
 
 
-def _stored(df: DataFrame, at: str) -> DataFrame:
-    """df written to a new folder of at and read back, so that plans don't grow from round to round."""
-    path = f"{at}/{uuid.uuid4().hex}"
+def _stored(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read back: plans don't grow from round to round, and no row changes its range."""
+    conf = df.sparkSession.conf
+    at = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_shared"
+    path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -161,9 +163,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
     Each round doubles the steps that the pointers of unfinished spans lead up, so
     the longest chain of n spans takes about log2(n) rounds.
     """
-    conf = spans.sparkSession.conf
-    at = (conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
-    spans = _stored(spans.select("span_id", "parent_id"), at)
+    spans = _stored(spans.select("span_id", "parent_id"))
     done = spans.where("parent_id IS NULL").select("span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"))
     left = spans.where("parent_id IS NOT NULL").select("span_id", F.col("parent_id").alias("up"))
     steps, n = 1, spans.count()
@@ -173,10 +173,19 @@ def span_tree(spans: DataFrame) -> DataFrame:
         # left holds all ways of exactly so many steps, done all shorter ones that end at a root
         near = left.alias("l").join(done.alias("d"), F.col("l.up") == F.col("d.span_id")).select("l.span_id", "d.root", (F.col("d.depth") + steps).alias("depth"))
         far = left.alias("l").join(left.alias("r"), F.col("l.up") == F.col("r.span_id")).select("l.span_id", "r.up")
-        done, left, steps = _stored(done.unionByName(near), at), _stored(far, at), 2 * steps
+        done, left, steps = _stored(done.unionByName(near)), _stored(far), 2 * steps
     return done
 
 
+def places(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with place, its rows' number from 1 in the order: a count for each range, then numbers inside ranges."""
+    ranged = _stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    totals = ranged.groupBy("__p").agg(F.max("__n").alias("__c"))
+    before = totals.alias("a").join(totals.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__c"), F.lit(0)).alias("__b"))
+    return ranged.join(F.broadcast(before), "__p").withColumn("place", F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows replaced by key; the columns in keep stay as they were where the row existed."""
     old = table.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep])
