@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = sign
     low = now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(low)
+    out = stored(now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(low), "labels")
+    forget(now)
+    return out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,22 +10,26 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (as in tests), a folder in the warehouse."""
+    """The cluster's spark.checkpoint.dir; where it is unset and the master is local (as in tests), a folder in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
-#: Session settings of Arrow batches: Spark's default, and what the operators use instead of it.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 8 << 20)}
+#: Session settings of Arrow batches that the operators put in place of Spark's defaults.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Batches of a few MB between Spark and Python: texts are long, and each task holds some batches on both sides.
 
-    A setting that isn't Spark's default stays as it is.
+    Spark reads these settings when a plan runs, so they stay for the session; one
+    that the user has set, to whatever value, isn't touched.
     """
-    for name, (default, small) in ARROW.items():
-        if str(spark.conf.get(name)).rstrip("b") == str(default):
+    given = spark._jsparkSession.sessionState().conf()
+    for name, small in ARROW.items():
+        if not given.contains(name):
             spark.conf.set(name, str(small))
 
 
@@ -45,6 +50,16 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df itself if it is a scan, whose tasks read the same rows in the same order again; else its stored copy.
+
+    For operators that number the rows of a task: behind a shuffle a repeated
+    task may meet its rows in another order.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, name) if "Exchange" in plan else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of a plan's input as Spark's optimizer knows it (file sizes for a scan); 0 if it doesn't."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

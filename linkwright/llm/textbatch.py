@@ -7,6 +7,7 @@ by numpy over the UTF-8 bytes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,9 +20,13 @@ from pyspark.sql.types import StructField, StructType
 from .shared import small_batches
 
 SLICE_BYTES = 1 << 19
+#: What is worked out byte by byte goes by pieces of so many bytes, so a long text needs no more.
+PIECE = 1 << 19
 _U64 = np.uint64
-#: Odd multipliers of the polynomial hashes modulo 2**64.
+#: Odd multipliers of the polynomial hashes modulo 2**64, and a second pair for independent ones.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+BYTE_BASE_2, WORD_BASE_2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -112,7 +117,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
-    return np.where((buf >= 0x41) & (buf <= 0x5A), buf | 0x20, buf).astype(np.uint8)
+    return np.frombuffer(buf.tobytes().lower(), np.uint8)
+
+
+def look(flags: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """flags[buf] for 256 booleans, one byte of memory for each byte."""
+    return np.frombuffer(buf.tobytes().translate(flags.astype(np.uint8).tobytes()), bool)
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, in lists of about PIECE bytes."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PIECE)
+        to = blank.end() if blank else len(text)
+        yield text[at:to].split()
+        at = to
 
 
 class Words:
@@ -120,7 +140,7 @@ class Words:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
         self.buf, self.offsets, n = buf, offsets, len(buf)
-        self.mask = inside[buf]
+        self.mask = look(inside, buf)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before, after = np.ones(n, bool), np.ones(n, bool)
@@ -135,9 +155,23 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        p = prefix_hashes(byte_codes()[self.buf], BYTE_BASE)
-        return span_hashes(p, self.starts, self.ends, BYTE_BASE)
+    def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
+        """A hash of each word; another base gives an independent one."""
+        out, at, codes = np.empty(len(self), _U64), 0, byte_codes()
+        while at < len(self):
+            low = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, low + PIECE, "right"))
+            if to > at:
+                p = prefix_hashes(codes[self.buf[low : self.ends[to - 1]]], base)
+                out[at:to] = span_hashes(p, self.starts[at:to] - low, self.ends[at:to] - low, base)
+            else:  # a word longer than a piece
+                to, total = at + 1, 0
+                for k in range(low, int(self.ends[at]), PIECE):
+                    p = prefix_hashes(codes[self.buf[k : min(k + PIECE, self.ends[at])]], base)
+                    total += int(p[-1]) * pow(base, k - low, 1 << 64)
+                out[at:to] = mix64(np.array([total & (1 << 64) - 1], _U64))
+            at = to
+        return out
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
@@ -167,9 +201,13 @@ class Words:
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values (one for each byte) over consecutive spans."""
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    upto, before = np.zeros(len(offsets), np.int64), 0
+    for at in range(0, len(values), PIECE):
+        total = np.cumsum(values[at : at + PIECE], dtype=np.int64)
+        a, b = np.searchsorted(offsets, [at, at + len(total)], "right")
+        upto[a:b] = before + total[offsets[a:b] - at - 1]
+        before += int(total[-1])
+    return np.diff(upto)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
