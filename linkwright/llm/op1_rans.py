@@ -12,9 +12,15 @@ block's bytes, another one its decoded ids.
 A file is a Parquet part written by Spark (so that a lost or repeated task
 leaves no half-written file, in any store) whose rows are the binary blocks.
 
+The place of a file's first id among all ids comes from sums by file and by GROUP
+files; only tables of that size are joined, none is collected.
+
 Defined results.  A null text is empty and yields the end id alone.  Null
-doc_ids come first; rows with equal doc_ids are ordered by their text's hash.
-Extra columns are ignored.  An empty table gives an empty file set.
+doc_ids come first; rows with equal doc_ids are ordered by their text's hash,
+repeated rows are encoded one by one.  Extra columns are ignored, whatever their
+names.  An empty table gives an empty file set.  A very long text is encoded in
+pieces cut at white space and makes one document of one block, as long as it is.
+More than 2**SCALE different ids raise an error, as does a damaged block.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
@@ -36,8 +42,10 @@ from .op7_substrings import delta, pack, unpack
 from .shared import forget, input_bytes, shared_dir, shuffle_partitions, stored
 
 SCALE, LANES, CHECKPOINT, BLOCK = 20, 1024, 256, 1 << 20
-#: Stored bytes of input for a file, and words that a worker remembers.
-FILE_BYTES, CACHE = 16 << 20, 800_000
+#: Stored bytes of input for a file; words that a worker remembers, and their greatest length.
+FILE_BYTES, CACHE, LONG = 16 << 20, 800_000, 64
+#: Files whose ids are added up together.
+GROUP = 4096
 _MAGIC, _LOW = b"RANS0001", np.uint64(1 << 31)
 _HEAD = struct.Struct("<8sIIQQIIIQQ")  # magic, crc of the rest, crc of the table, tokens, documents, lanes, checkpoint steps, crc of ids, words, index bytes
 
@@ -46,7 +54,7 @@ _HEAD = struct.Struct("<8sIIQQIIIQQ")  # magic, crc of the rest, crc of the tabl
 
 #: Latin letters, whose lower case and NFC form are plain, and then signs other than letters and apostrophes.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-@\[-`{-~]*)")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD, _BLANK = re.compile("[\x1c-\x1f]"), re.compile(r"\s")
 
 
 def byte_letters() -> list[str]:
@@ -84,12 +92,12 @@ class WordTokens(dict):
         return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(word)])
 
     def learn(self, words: set[str]) -> None:
-        """Encode new words."""
+        """Encode new words; long ones aren't remembered."""
         if len(self) + len(words) > CACHE:
             self.clear()
         rest = []
         for word in words:
-            if word in self:
+            if word in self or len(word) > LONG:
                 continue
             match = _PLAIN.fullmatch(word)
             if not match:
@@ -108,11 +116,26 @@ class WordTokens(dict):
         for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word] = np.array(code.ids, self.kind).tobytes()
 
+    def __missing__(self, word: str) -> bytes:
+        return self.ids(word)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        self.learn(set().union(*cut))
         # str.split() takes four control characters for white space that the tokenizer doesn't
-        return [self.ids(t) if _ODD.search(t) else b"".join(map(self.__getitem__, ws)) for t, ws in zip(texts, cut, strict=True)]
+        odd = [bool(_ODD.search(t)) for t in texts]
+        cut = [[] if strange or len(t) > tb.PIECE else t.split() for t, strange in zip(texts, odd, strict=True)]
+        self.learn(set().union(*cut))
+        return [self.ids(t) if strange else self.pieces(t) if len(t) > tb.PIECE else b"".join(map(self.__getitem__, ws)) for t, ws, strange in zip(texts, cut, odd, strict=True)]
+
+    def pieces(self, text: str) -> bytes:
+        """Ids of a very long text, piece by piece."""
+        out, at = [], 0
+        while at < len(text):
+            blank = _BLANK.search(text, at + tb.PIECE)
+            words = text[at : blank.start() if blank else len(text)].split()
+            self.learn(set(words))
+            out += map(self.__getitem__, words)
+            at = blank.end() if blank else len(text)
+        return b"".join(out)
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -182,6 +205,8 @@ class Frequencies:
         self.symbols = np.array(sorted(counts), np.int64)
         n = np.array([counts[x] for x in self.symbols.tolist()], np.float64)
         total = 1 << SCALE
+        if len(n) > total:
+            raise ValueError(f"{len(n)} different ids don't fit a table of 2**{SCALE}")
         f = np.maximum(1, np.floor(n * (total / max(1.0, n.sum())))).astype(np.int64)
         if len(f):
             spare = total - int(f.sum())
@@ -298,22 +323,27 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, to: str | Non
     return to
 
 
+def _bases(blocks: DataFrame) -> DataFrame:
+    """file and base: the number of ids in all files before it."""
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n")).withColumn("group", F.floor(F.col("file") / GROUP))
+    groups = files.groupBy("group").agg(F.sum("n").alias("n"))
+    earlier = groups.alias("a").join(groups.alias("b"), F.col("b.group") < F.col("a.group"), "left").groupBy("a.group").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    order = Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    inside = files.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return inside.join(earlier, "group").select("file", (F.col("inside") + F.col("before")).alias("base"))
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) from the token files."""
     counts = {r["id"]: r["n"] for r in spark.read.parquet(f"{folder}/table").collect()}
     blocks = spark.read.schema("file long, first long, n long, block binary").parquet(f"{folder}/blocks")
-    # one number for each file, in the order of the files
-    sizes, base, before = blocks.groupBy("file").agg(F.sum("n").alias("n")).collect(), {}, 0
-    for file, n in sorted(map(tuple, sizes)):
-        base[file] = before
-        before += n
-    sent = spark.sparkContext.broadcast((counts, base))
+    sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, base = sent.value
+        counts = sent.value
         freq = Frequencies(counts)
         for batch in batches:
-            for file, first, block in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for first, block in zip(*(batch.column(k) for k in range(2)), strict=True):
                 ids, index = decode_block(block.as_buffer().to_pybytes(), freq)
                 parts, at = [], 0
                 while at < len(index):
@@ -323,7 +353,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 doc_ids, known, n = parts
                 ends = np.cumsum(n)
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())
-                start = base[file.as_py()] + first.as_py() + ends - n
+                start = first.as_py() + ends - n
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=known == 0), pa.array(start), pa.array(n), data], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.select("file", "first", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = blocks.join(_bases(blocks), "file").select((F.col("base") + F.col("first")).alias("first"), "block")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
