@@ -16,18 +16,23 @@ K of another) for the six ordered pairs, and for the three pairs
 bit away has the nearest codeword of this one in its K.
 
 Equal fingerprints are merged before the search.  Rows are shuffled and sorted
-by key; in a key's rows the true links (checked on all 64 bits) are found by
-numpy and only a spanning forest of them is emitted, so a group of copies of any
-size gives fewer edges than it has rows.
+by key, into as many parts as their number asks for; in a key's rows the true
+links (checked on all 64 bits) are found by numpy and only a spanning forest of
+them is emitted, so a group of copies of any size gives fewer edges than it has
+rows.  A key with more than HOT fingerprints is cut into blocks, and every two
+blocks of it are compared in a row of their own, so no key lands in one task.
 
 Cost: about 64 keys for a distinct fingerprint, in proportion to the input.
-Random fingerprints meet by chance in 1 of 2**24 keys, so the comparisons grow
-with the square of the distinct fingerprints at that rate.
+Random fingerprints meet by chance in 1 of 2**24 keys, so the comparisons (a few
+instructions each) grow with the square of the distinct fingerprints at that rate.
 
 Defined results.  A null or blank text has fingerprint zero and is linked like
 any other.  A null doc_id gets its fingerprint but neither names nor loses a
 component: component_id is the smallest id of the others, or null.  Equal
-doc_ids are one node for each fingerprint.  Extra columns are ignored.
+doc_ids are one node for each fingerprint; repeated rows get equal results.
+Extra columns are ignored, whatever their names.  An empty table has no rows.
+A very long text is read whole, in pieces, with its lower-case
+copy beside it.
 """
 
 from __future__ import annotations
@@ -43,29 +48,39 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .shared import shuffle_partitions, stored
+from .shared import forget, shuffle_partitions, stored
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Shingles whose bits are counted at once.
-BLOCK = 1 << 16
-#: Bits of a key's rows up to which all pairs are compared in one step.
+BLOCK = 1 << 14
+#: A key's rows up to which all pairs are compared in one step.
 SMALL = 8
+#: Fingerprints of one key that a task compares by itself; more are cut into blocks of so many.
+HOT = 1 << 13
+#: Key rows for a task, and links a task remembers to leave out those that follow from others.
+TASK_ROWS, PARENTS = 1 << 22, 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n]
-    ends = ends[min(shingle, len(words)) - 1 :]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        spans = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones, n, words, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+
+    def add(words: list[bytes], size: int) -> int:
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        count = len(words) - size + 1
+        starts = np.concatenate([[0], ends[:-1] + 1])[:count]
+        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
+        for at in range(0, count, BLOCK):
+            ones[:] += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return count
+
+    for more in tb.word_lists((text or b"").lower()):  # of bytes: A-Z only
+        words += more
+        if len(words) >= shingle:
+            n += add(words, shingle)
+            words = words[len(words) - shingle + 1 :]
+    if not n and words:
+        n = add(words, len(words))
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
@@ -153,8 +168,107 @@ def _links(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+class Forest:
+    """Leaves out links that follow from earlier ones, as far as it remembers them."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (y := parent.get(x, x)) != x:
+            parent[x] = parent.get(y, y)
+            x = y
+        return x
+
+    def new(self, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if len(self.parent) > PARENTS:
+            self.parent.clear()
+        kept = []
+        for a, b in found:
+            if (x := self.root(a)) != (y := self.root(b)):
+                self.parent[x] = y
+                kept.append((a, b))
+        return kept
+
+
+def _edges(pairs: list[tuple[int, int]]) -> list[pa.Array]:
+    both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def meet(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links within each key of rows (key, fp) in the order of the keys.
+
+    A key with more than HOT rows comes out as blocks of rows instead, however
+    many there are: a task holds HOT rows of a key and a batch at most.
+    """
+    names, forest = ["a", "b", "key", "part", "block"], Forest()
+
+    def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        sizes = np.diff(edge)
+        found: list[tuple[int, int]] = []
+        small = np.repeat(sizes <= SMALL, sizes)
+        for d in range(1, SMALL):
+            same = np.flatnonzero(small[:-d] & (key[d:] == key[:-d])) if d < len(key) else []
+            if not len(same):
+                break
+            same = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= max_bits]
+            found += zip(fp[same].tolist(), fp[same + d].tolist(), strict=True)
+        for k in np.flatnonzero(sizes > SMALL):
+            found += _links(fp[edge[k] : edge[k + 1]], max_bits)
+        a, b = _edges(forest.new(found))
+        none = pa.nulls(len(a))
+        return pa.RecordBatch.from_arrays([a, b, none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+
+    def block(key: int, part: int, fp: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([fp.tobytes()], pa.binary())], names=names)
+
+    open_key, parts, left = None, 0, np.zeros(0, np.uint64)  # the last key, its blocks so far, and its rows after them
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if not len(key):
+            continue
+        if open_key is not None:
+            n = int(np.searchsorted(key, open_key, "right"))
+            left, key, fp = np.concatenate([left, fp[:n]]), key[n:], fp[n:]
+            if len(key) and parts:
+                yield block(open_key, parts, left)
+                parts, left = 0, left[:0]
+            elif len(key):
+                key, fp = np.concatenate([np.full(len(left), open_key), key]), np.concatenate([left, fp])
+        if len(key):
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if whole > 1:
+                yield linked(key[:whole], fp[:whole])
+            open_key, parts, left = int(key[-1]), 0, fp[whole:]
+        while len(left) > HOT:
+            yield block(open_key, parts, left[:HOT])
+            parts, left = parts + 1, left[HOT:]
+    if parts:
+        yield block(open_key, parts, left)
+    elif len(left) > 1:
+        yield linked(np.full(len(left), open_key), left)
+
+
+def across(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of one key (columns x and y), or within one where they are the same."""
+    for batch in batches:
+        for same, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if same:
+                found = _links(u, max_bits)
+            else:
+                found, forest = [], Forest()
+                for one in u:
+                    found += forest.new([(int(one), int(z)) for z in v[np.bitwise_count(v ^ one) <= max_bits]])
+            yield pa.RecordBatch.from_arrays(_edges(found), names=["a", "b"])
+
+
 def links(groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all that are linked."""
+    """Edges (a, b) between distinct fingerprints (column fp of a stored table) that connect all that are linked."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,50 +277,15 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 rows, key = keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows])], names=["key", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := parent.get(x, x)) != x:
-                parent[x] = parent.get(y, y)
-                x = y
-            return x
-
-        def forest(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            sizes = np.diff(edge)
-            found: list[tuple[int, int]] = []
-            small = np.repeat(sizes <= SMALL, sizes)
-            for d in range(1, SMALL):
-                same = np.flatnonzero(small[:-d] & (key[d:] == key[:-d])) if d < len(key) else []
-                if not len(same):
-                    break
-                same = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= max_bits]
-                found += zip(fp[same].tolist(), fp[same + d].tolist(), strict=True)
-            for k in np.flatnonzero(sizes > SMALL):
-                found += _links(fp[edge[k] : edge[k + 1]], max_bits)
-            kept = []
-            for a, b in found:
-                if (x := root(a)) != (y := root(b)):
-                    parent[x] = y
-                    kept.append((a, b))
-            pairs = np.array(kept, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-            if whole > 1:
-                yield forest(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-        if len(key) > 1:
-            yield forest(key, fp)
-
-    spark = groups.sparkSession
-    made = groups.select("fp").mapInArrow(make, "key long, fp long")
-    return made.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    tasks = max(shuffle_partitions(groups.sparkSession), -(-64 * groups.count() // TASK_ROWS))
+    made = groups.select("fp").mapInArrow(make, "key long, fp long").repartition(tasks, "key").sortWithinPartitions("key")
+    met = stored(made.mapInArrow(lambda rows: meet(rows, max_bits), "a long, b long, key long, part int, block binary"), "met")
+    blocks = met.where("block IS NOT NULL").select("key", "part", "block")
+    x, y = blocks.toDF("key", "p", "x"), blocks.toDF("key", "q", "y")
+    # the numbers of the blocks are paired and dealt out first, then the blocks are brought to them
+    numbers = x.drop("x").join(y.drop("y"), "key").where("p <= q").repartition(tasks, "key", "p", "q")
+    pairs = numbers.join(x, ["key", "p"]).join(y, ["key", "q"]).select((F.col("p") == F.col("q")).alias("same"), "x", "y")
+    return met.where("block IS NULL").select("a", "b").unionByName(pairs.mapInArrow(lambda rows: across(rows, max_bits), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -215,12 +294,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
     edges = links(groups, max_bits)
     # nodes are fingerprints; labels become the smallest doc_id among a component's fingerprints
-    label = stored(components(edges), "labels")
+    label = components(edges)
     named = label.join(groups, label.node == groups.fp)
     best = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     moved = named.select("fp", "label").join(best, "label").select("fp", "component_id")
     # stored, so that both sides of the last join are plain shuffles and a part with many copies can be split
     own = stored(groups.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    for done in (label, groups, edges):
+        forget(done)
     return fps.join(own, "fp", "left").select("doc_id", "text_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
