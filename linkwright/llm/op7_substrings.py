@@ -3,10 +3,10 @@
 A word is removed if a window over it also starts in a document with a smaller
 doc_id.  Three steps:
 
-1. Every task hashes all windows of its documents (polynomial modulo 2**64 over
-   hashed words, a prefix sum and two multiplications a window).  Up to CHUNK
-   windows make a chunk.  Inside it each window whose hash also occurs in a
-   smaller doc_id of the chunk is known to go; only those of the smallest
+1. Every task hashes all windows of its documents (two polynomials modulo 2**64
+   over hashed words, a prefix sum and two multiplications a window each).  Up to
+   CHUNK windows make a chunk.  Inside it each window whose hash also occurs in
+   a smaller doc_id of the chunk is known to go; only those of the smallest
    doc_id are sent on, packed by hash range.  A window that a third of the
    corpus shares is thus sent once for each chunk.
 2. Each hash range counts its hashes over all chunks: those found in several
@@ -15,18 +15,27 @@ doc_id.  Three steps:
 3. Each chunk merges its removed windows into maximal word intervals for each
    document; a join by doc_id and text hash brings them to the texts.
 
-Words are compared by 64-bit hashes; two different windows meet with a chance of
-2**-64.  Windows are judged on the input, not on what is left.
+A range holds what RANGE_BYTES of input give, so their number grows with the
+input.  Above FIRST bits of it the ranges are reached in two steps, coarse ones
+and then fine ones within them, so a packed row still holds about a hundred
+windows; a coarse range is dealt to several tasks by chunk.
+
+Windows are compared by 96 bits of two independent hashes (of words and of
+windows): over 10**13 windows about 10**-3 chance meetings are expected in all.
+Windows are judged on the input, not on what is left.  Chunks number the rows of
+a task, so an input that comes from a shuffle is stored first.
 
 Defined results.  A null text has no words (kept text empty).  A null doc_id is
 neither smaller nor greater than others: its words stay and remove nothing.
-Rows with the same doc_id don't remove each other's words.  Extra columns pass;
-one named like a result is replaced.
+Rows with the same doc_id don't remove each other's words; rows that repeat get
+equal results.  Extra columns pass; one named like a result is replaced.  An
+empty table has no rows.  A very long text is one slice: its words take up to
+twenty bytes for each byte of it, never more than a chunk and itself at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +45,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import input_bytes, shuffle_partitions, small_batches
+from .shared import input_bytes, shuffle_partitions, small_batches, steady
 
 WINDOW = 50
 #: Windows of a chunk; bounds a task's memory.
 CHUNK = 1 << 19
-#: Input bytes (as stored) for a hash range.
-RANGE_BYTES = 1 << 20
+#: Input bytes (as stored) for a hash range, and for a task that counts ranges.
+RANGE_BYTES, TASK_BYTES = 8 << 20, 32 << 20
+#: Bits of the ranges that one step deals out.
+FIRST = 12
 SEED = 42
 
-_ROWS = "range int, chunk long, directory boolean, a binary, b binary, c binary"
+_ROWS = "range int, chunk long, directory boolean, a binary, b binary, c binary, d binary"
+_NAMES = ["range", "chunk", "directory", "a", "b", "c", "d"]
+_KINDS = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
 
 
 def pack(x: np.ndarray, width: int = 0) -> bytes:
@@ -63,12 +76,61 @@ def delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def later(h: np.ndarray, more: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Positions of the windows whose hashes (h, more) also occur with a smaller doc."""
+    twice = np.flatnonzero(tb.repeated(h))
+    order = twice[np.lexsort((doc[twice], more[twice], h[twice]))]
+    hs, ms, ds = h[order], more[order], doc[order]
+    head = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1])]) if len(order) else order
+    return order[ds > np.repeat(ds[head], np.diff(np.r_[head, len(hs)]))]
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def dealt(h: np.ndarray, more: np.ndarray, at: np.ndarray, doc: np.ndarray, bits: int, chunk: int | np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows of windows by hash range; chunk: one for all windows, or one for each."""
+    part = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    h, more, at, doc, part = h[order], more[order], at[order], doc[order], part[order]
+    of = chunk[order] if isinstance(chunk, np.ndarray) else None
+    low = np.concatenate([h.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8], more.view(np.uint8).reshape(-1, 4)], axis=1)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    out: list[tuple] = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out.append((int(part[a]), int(of[a]) if of is not None else chunk, False, low[a:b].tobytes(), pack(delta(at[a:b])), pack(delta(doc[a:b])), pack(delta(of[a:b])) if of is not None else None))
+        if len(out) == 512 or b == cuts[-1]:
+            yield batch(out)
+            out = []
+
+
+def undealt(rows: list[dict], bits: int) -> tuple[np.ndarray, ...]:
+    """h, more, at, doc and chunk of the windows of packed rows of one range."""
+    width = 8 - bits // 8
+    low = [np.frombuffer(r["a"], np.uint8).reshape(-1, width + 4) for r in rows]
+    sizes, both = [len(x) for x in low], np.concatenate(low)
+    h = np.zeros((len(both), 8), np.uint8)
+    h[:, :width] = both[:, :width]
+    h = h.view(np.uint64).ravel()
+    if width < 8:
+        h |= np.uint64((rows[0]["range"] >> bits % 8) << 8 * width)
+    doc = np.concatenate([np.cumsum(unpack(r["c"], np.int64)) for r in rows])
+    at = np.concatenate([np.cumsum(unpack(r["b"], np.uint32), dtype=np.uint32) for r in rows])
+    of = np.concatenate([np.full(n, r["chunk"], np.int64) if r["d"] is None else np.cumsum(unpack(r["d"], np.int64)) for r, n in zip(rows, sizes, strict=True)])
+    return h, np.ascontiguousarray(both[:, width:]).view(np.uint32).ravel(), at, doc, of
+
+
 class Chunk:
-    """Windows of consecutive documents, gathered until there are CHUNK of them."""
+    """Windows of consecutive documents, gathered until there are so many of them."""
 
-    def __init__(self, window: int):
-        self.window, self.n_words, self.n = window, 0, 0
-        self.ids, self.keys, self.first, self.hashes, self.begins, self.counts = [], [], [], [], [], []
+    def __init__(self, window: int, size: int):
+        self.size = size
+        self.window, self.n_words, self.n_docs, self.n = window, 0, 0, 0
+        self.ids, self.keys, self.first, self.hashes, self.more, self.begins, self.counts = [], [], [], [], [], [], []
+
+    def full(self) -> bool:
+        return self.n >= self.size or self.n_words >= 4 * self.size or self.n_docs >= max(1, self.size // 4)
 
     def add(self, part: pa.RecordBatch) -> None:
         ids = part.column(0)
@@ -77,76 +139,77 @@ class Chunk:
         begin = w.windows(self.window)
         known = np.asarray(ids.is_valid())
         begin = begin[known[w.rows()[begin]]]
-        raw = buf.tobytes()
+        raw = memoryview(buf)
         self.keys += [xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         self.ids.append(ids.fill_null(0).to_numpy(zero_copy_only=False))
         self.first.append(w.first[:-1] + self.n_words)
-        self.hashes.append(tb.span_hashes(tb.prefix_hashes(w.hashes(), tb.WORD_BASE), begin, begin + self.window, tb.WORD_BASE))
-        self.begins.append(begin + self.n_words)
+        if len(begin):
+            hashes = [tb.span_hashes(tb.prefix_hashes(w.hashes(a), b), begin, begin + self.window, b) for a, b in ((tb.BYTE_BASE, tb.WORD_BASE), (tb.BYTE_BASE_2, tb.WORD_BASE_2))]
+            self.hashes.append(hashes[0])
+            self.more.append((hashes[1] >> np.uint64(32)).astype(np.uint32))
+            self.begins.append(begin + self.n_words)
         self.counts.append(np.bincount(w.rows()[begin], minlength=len(ids)))
         self.n_words += len(w)
+        self.n_docs += len(ids)
         self.n += len(begin)
 
     def rows(self, number: int, bits: int) -> Iterator[pa.RecordBatch]:
         ids, first = np.concatenate(self.ids).astype(np.int64), np.concatenate(self.first).astype(np.int64)
-        counts, h, at = np.concatenate(self.counts), np.concatenate(self.hashes), np.concatenate(self.begins).astype(np.int64)
-        doc = np.repeat(ids, counts)
-        order = np.lexsort((doc, h))
-        hs, ds = h[order], doc[order]
-        head = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.zeros(0, np.int64)
-        least = np.repeat(ds[head], np.diff(np.r_[head, len(hs)]))
+        h, more, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((self.hashes, np.uint64), (self.more, np.uint32), (self.begins, np.int64)))
+        doc, at = np.repeat(ids, np.concatenate(self.counts)), at.astype(np.uint32)
         gone = np.zeros(len(h), bool)
-        gone[order] = ds > least
+        gone[later(h, more, doc)] = True
         body = [pack(x) for x in (ids, np.array(self.keys, np.uint64), first)]
-        local = pack(delta(at[gone].astype(np.uint32)))
-        names = ["range", "chunk", "directory", "a", "b", "c"]
-        yield pa.RecordBatch.from_arrays([pa.array([number % (1 << bits)], pa.int32()), pa.array([number]), pa.array([True]), pa.array([b"".join(len(x).to_bytes(8, "little") + x for x in body)]), pa.array([local]), pa.array([int(self.n_words).to_bytes(8, "little")])], names=names)
-        h, at, doc = h[~gone], at[~gone].astype(np.uint32), doc[~gone]
-        part = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-        order = np.argsort(part, kind="stable")
-        h, at, doc, part = h[order], at[order], doc[order], part[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-        out: list[tuple] = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            packed = np.ascontiguousarray(h[a:b].view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8]).tobytes()
-            out.append((int(part[a]), number, False, packed, pack(delta(at[a:b])), pack(delta(doc[a:b]))))
-            if len(out) == 512 or b == cuts[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
-                out = []
-
-
-def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of consecutive equal values, of batches sorted by the column."""
-    now, rows = None, []
+        yield batch([(number % (1 << bits), number, True, b"".join(len(x).to_bytes(8, "little") + x for x in body), pack(delta(at[gone])), int(self.n_words).to_bytes(8, "little"), None)])
+        yield from dealt(h[~gone], more[~gone], at[~gone], doc[~gone], bits, number)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], column: str, weight: Callable[[dict], int] = lambda row: 0, limit: int = 1) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of consecutive equal values, of batches sorted by the column; with a weight, in parts of about the limit."""
+    now, rows, n = None, [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            if row[column] != now and rows:
+            if rows and (row[column] != now or n >= limit):
                 yield now, rows
-                rows = []
+                rows, n = [], 0
             now = row[column]
             rows.append(row)
+            n += weight(row)
     if rows:
         yield now, rows
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key (XXH64 of the text) and spans (pairs of int64: first word, end) of documents that lose words."""
-    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     small_batches(spark)
-    ranges = max(256, 4 * parts, input_bytes(docs) // RANGE_BYTES)
-    bits = min(24, int(ranges - 1).bit_length())
+    docs = steady(docs.select(F.col("doc_id").cast("long"), "text"), "texts")
+    size = input_bytes(docs)
+    parts = max(shuffle_partitions(spark), size // TASK_BYTES)
+    bits = min(24, int(max(256, 4 * shuffle_partitions(spark), size // RANGE_BYTES) - 1).bit_length())
+    first = bits if bits <= FIRST else -(-bits // 2)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, chunk = TaskContext.get().partitionId() << 32, Chunk(window)
+        number, chunk = TaskContext.get().partitionId() << 32, Chunk(window, CHUNK)
         for part in tb.slices(batches):
             chunk.add(part)
-            if chunk.n >= CHUNK:
-                yield from chunk.rows(number, bits)
-                number, chunk = number + 1, Chunk(window)
+            if chunk.full():
+                yield from chunk.rows(number, first)
+                number, chunk = number + 1, Chunk(window, CHUNK)
         if chunk.ids:
-            yield from chunk.rows(number, bits)
+            yield from chunk.rows(number, first)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_group(batches, "range", lambda r: 0 if r["directory"] else len(r["a"]) // 12, CHUNK):
+            for r in rows:
+                if r["directory"]:
+                    yield batch([tuple(r[name] for name in _NAMES)])
+            rows = [r for r in rows if not r["directory"]]
+            if rows:
+                h, more, at, doc, of = undealt(rows, first)
+                yield from dealt(h, more, at, doc, bits, of)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["chunk", "a", "b", "c"]
@@ -154,26 +217,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for _, rows in _by_group(batches, "range"):
             out = [(r["chunk"], r["a"], r["b"], r["c"]) for r in rows if r["directory"]]
             rows = [r for r in rows if not r["directory"]]
-            width = 8 - bits // 8
-            h = [np.frombuffer(r["a"], np.uint8).reshape(-1, width) for r in rows]
-            sizes = [len(x) for x in h]
             if rows:
-                full = np.zeros((sum(sizes), 8), np.uint8)
-                full[:, :width] = np.concatenate(h)
-                key = full.view(np.uint64).ravel()
-                doc = np.concatenate([np.cumsum(unpack(r["c"], np.int64)) for r in rows])
-                at = np.concatenate([np.cumsum(unpack(r["b"], np.uint32), dtype=np.uint32) for r in rows])
-                of = np.repeat(np.arange(len(rows)), sizes)
-                twice = np.flatnonzero(tb.repeated(key))
-                order = twice[np.lexsort((doc[twice], key[twice]))]
-                ks, ds = key[order], doc[order]
-                head = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]]) if len(ks) else np.zeros(0, np.int64)
-                gone = order[ds > np.repeat(ds[head], np.diff(np.r_[head, len(ks)]))]
-                gone = gone[np.argsort(gone)]
-                cuts = np.searchsorted(of[gone], np.arange(len(rows) + 1))
-                for k, row in enumerate(rows):
-                    if cuts[k] < cuts[k + 1]:
-                        out.append((row["chunk"], None, pack(delta(at[gone[cuts[k] : cuts[k + 1]]])), None))
+                h, more, at, doc, of = undealt(rows, bits)
+                gone = later(h, more, doc)
+                gone = gone[np.lexsort((at[gone], of[gone]))]
+                cuts = np.flatnonzero(np.r_[True, of[gone][1:] != of[gone][:-1], True]) if len(gone) else np.zeros(1, np.int64)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    out.append((int(of[gone[a]]), None, pack(delta(at[gone[a:b]])), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -203,7 +253,10 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             spans = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(keys[which].view(np.int64)), pa.array(spans, pa.binary())], names=["doc_id", "text_key", "spans"])
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, _ROWS)
+    sent = docs.mapInArrow(hashed, _ROWS)
+    if bits > first:  # a coarse range goes to several tasks
+        salts = max(1, parts >> first)
+        sent = sent.repartition(parts, F.col("range"), F.pmod(F.xxhash64("chunk"), F.lit(salts))).sortWithinPartitions("range").mapInArrow(split, _ROWS)
     answers = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(counted, "chunk long, a binary, b binary, c binary")
     spans = answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(merged, "doc_id long, text_key long, spans binary")
     return spans.groupBy("doc_id", "text_key").agg(F.min("spans").alias("spans"))  # rows that repeat have the same spans
@@ -221,14 +274,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         text, spans = (part.column(part.schema.get_field_index(x)) for x in ("text", "__spans"))
         n_words, n_removed, kept = [], [], []
         for t, s in zip(text, spans, strict=True):
-            words = t.as_buffer().to_pybytes().split() if t.is_valid else []
-            n = len(words)
-            if s.is_valid:
-                for a, b in np.frombuffer(s.as_py(), np.int64).reshape(-1, 2)[::-1].tolist():
-                    del words[a:b]
+            spans_of = np.frombuffer(s.as_py(), np.int64).reshape(-1, 2)[::-1].tolist() if s.is_valid else []
+            n, gone, left = 0, 0, []
+            for words in tb.word_lists(t.as_buffer().to_pybytes() if t.is_valid else b""):
+                size = len(words)
+                for a, b in spans_of:
+                    if a < n + size and b > n:
+                        del words[max(0, a - n) : b - n]
+                n, gone = n + size, gone + size - len(words)
+                if words:
+                    left.append(b" ".join(words))
             n_words.append(n)
-            n_removed.append(n - len(words))
-            kept.append(b" ".join(words).decode())
+            n_removed.append(gone)
+            kept.append(b" ".join(left).decode())
         return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
 
     return tb.with_columns(both, FIELDS, cut).drop("__spans")
