@@ -10,14 +10,19 @@ the prefix filter needs just one shingle of a window, and the rarest does most:
    for the window in the document before and after it (length and position);
    the window's hash and then its words are compared.
 
-The windows are sent to the executors in blocks of at most BLOCK windows, each
-looked up in all documents; usually there is one block.  The size of a block is
-checked before it is sent and does not grow with the data.
+The pairs of a window and an item that holds it are sent to the executors in
+blocks of about BLOCK pairs and BLOCK_BYTES, each looked up in all documents;
+usually there is one block.  The size of a block is checked before it is sent
+and does not grow with the data; a window that many items share goes with some
+of their ids in each block.
 
 Defined results.  Null texts have no words; an item without words has no window.
 Items with a null id count for hits but aren't listed.  Equal item_ids are
 listed once, equal texts with each id.  A null doc_id stays null, repeated rows
-get equal results.  Extra columns pass; one named like a result is replaced.
+get equal results.  Of equally rare shingles a window is filed under the first.
+Extra columns pass; one named like a result is replaced.  Empty tables of
+documents or items give no rows or no hits.  A very long text is one slice: its
+words take up to twenty bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import small_batches, stored
+from .shared import forget, small_batches, stored
 
 WINDOW, SHINGLE = 10, 3
-BLOCK = 1 << 18
+#: Pairs and bytes that a block has, about.
+BLOCK, BLOCK_BYTES = 1 << 18, 48 << 20
 _BITS = 22
 
 FIELDS = [("n_words", "long"), ("n_hit", "long"), ("hit_words", "binary"), ("items", "array<string>")]
@@ -128,37 +134,32 @@ class Block:
         return begin[exact], number[exact]
 
 
-def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group, window) rows and (group, ids) rows; a group is the items of one word sequence."""
-
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches):
-            texts = [b" ".join(_words(x.as_buffer().to_pybytes())).decode() if x.is_valid else "" for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["item_id", "normal"])
+def windows_of(benchmark: DataFrame) -> DataFrame:
+    """Distinct (window, item_id) rows: the windows of each item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "normal"):
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = text.split(" ")
-                found = list({" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))})
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array(found)], names=["group", "window"])
+        for part in tb.slices(batches):
+            for item, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                words = _words(text.as_buffer().to_pybytes()) if text.is_valid else []
+                starts = range(max(1, len(words) - WINDOW + 1) if words else 0)
+                for at in range(0, len(starts), BLOCK):
+                    found = list({b" ".join(words[i : i + WINDOW]) for i in starts[at : at + BLOCK]})
+                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in found], pa.string()), pa.array([item] * len(found), pa.string())], names=["window", "item_id"])
 
-    texts = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(normal, "item_id string, normal string").where("normal != ''")
-    groups = stored(texts.groupBy("normal").agg(F.collect_set("item_id").alias("ids")).select(F.sha2("normal", 256).alias("group"), "normal", "ids"), "items")
-    return stored(groups.select("group", "normal").mapInArrow(cut, "group string, window string"), "windows"), groups.select("group", "ids")
+    return stored(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, "window string, item_id string").distinct(), "windows")
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    windows, groups = windows_of(benchmark)
-    n = max(1, -(-windows.count() // BLOCK))
+    pairs = windows_of(benchmark)
+    size = pairs.agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))).alias("bytes")).first()
+    n = max(1, -(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     for k in range(n):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
-        ids = dict(groups.join(rows.select("group").distinct(), "group", "left_semi").collect())
         by: dict[str, set[str]] = {}
-        for group, window in rows.collect():
-            by.setdefault(window, set()).update(ids[group])
+        for window, item in pairs.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(n)) == k).collect():
+            by.setdefault(window, set()).update(() if item is None else (item,))
         if by:
             yield Block([x.encode() for x in by], [sorted(x) for x in by.values()])
+    forget(pairs)
 
 
 def shingle_counts(docs: DataFrame, wanted: Block) -> tuple[np.ndarray, np.ndarray]:
