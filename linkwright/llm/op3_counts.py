@@ -2,14 +2,18 @@
 
 For a SentencePiece BPE model with identity normalization a text is cut where
 no merge can cross: before a run of spaces (no piece has a space after another
-character) and around line feeds (no piece holds one).  These facts are checked
-on the vocabulary, and each vocabulary string is encoded alone once, on the
-driver: those that come out as one token are proven whole.  Executors count a
-proven pre-token as one; only other pre-tokens are merged, by the library, and
-their counts remembered within a bound.
+character) and around line feeds (no piece holds one).  These facts and the
+identity of the normalization are checked, and each vocabulary string is encoded
+alone once, on the driver: those that come out as one token are proven whole.
+Executors count a proven pre-token as one; only other pre-tokens are merged, by
+the library, and the counts of those up to LONG characters remembered within a
+bound.
 
 Defined results.  A null text counts as empty: 0 bytes, 0 tokens.  Null
-doc_ids, repeated rows and extra columns pass through.
+doc_ids, repeated rows and extra columns pass through; a column named like a
+result is replaced.  An empty table has no rows.  A text of exactly limit tokens
+isn't over it.  A very long text is counted line by line and in pieces cut before
+spaces.
 """
 
 from __future__ import annotations
@@ -22,19 +26,31 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-LIMIT, CACHE = 4096, 1_000_000
+LIMIT, CACHE, LONG = 4096, 1_000_000, 64
 SPACE = "▁"
 FIELDS = [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")]
 
 
+#: Characters that usual normalizations change.
+_PROBE = "\ufb01 \uff21\u00bd  e\u0301 \u3000x\u200b \u212b"
+
+
+def cut_points(model) -> list[str]:
+    """The pieces of a model; raises if merges can cross the places where texts are cut, or normalization changes texts."""
+    pieces = [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) or model.encode("\nx", out_type=str)[:2] != [SPACE, "<0x0A>"]:
+        raise ValueError("merges of this model can cross spaces or line feeds")
+    if model.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+        raise ValueError("this model changes texts before it encodes them")
+    return pieces
+
+
 def whole_tokens(path: str) -> tuple[frozenset[str], frozenset[str]]:
     """Strings proven to be one token: after a space, and with nothing before."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) or model.encode("\nx", out_type=str)[:2] != [SPACE, "<0x0A>"]:
-        raise ValueError("merges of this model can cross spaces or line feeds")
+    pieces = cut_points(model)
     spaced = [p[1:] for p in pieces if p.startswith(SPACE) and p.count(SPACE) == 1]
     bare = [p for p in pieces if SPACE not in p]
     a = {p for p, ids in zip(spaced, model.encode(spaced, num_threads=1), strict=True) if len(ids) == 1}
@@ -63,13 +79,39 @@ class Counter:
         new = [w for w in bare if w not in self.bare]
         self.bare.update((w, len(ids) - 2) for w, ids in zip(new, self.model.encode(["\n" + w for w in new], num_threads=1), strict=True))
 
+    def forget(self, spaced: set[str], bare: set[str]) -> None:
+        """Don't remember long ones."""
+        for known, used in ((self.spaced, spaced), (self.bare, bare)):
+            for w in [w for w in used if len(w) > LONG]:
+                del known[w]
+
     def texts(self, texts: list[str]) -> list[int]:
         cut = [pretokens(t) for t in texts]
-        self.learn(set().union(*(s for s, _, _ in cut)), set().union(*(b for _, b, _ in cut)))
-        spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
-        return [sum(map(spaced, s)) + sum(map(bare, b)) + feeds for s, b, feeds in cut]
-
-
+        spaced, bare = set().union(*(s for s, _, _ in cut)), set().union(*(b for _, b, _ in cut))
+        self.learn(spaced, bare)
+        s_count, b_count = self.spaced.__getitem__, self.bare.__getitem__
+        out = [sum(map(s_count, s)) + sum(map(b_count, b)) + feeds for s, b, feeds in cut]
+        self.forget(spaced, bare)
+        return out
+
+    def text(self, text: str) -> int:
+        """One text of any length, in pieces."""
+        total, at = 0, 0
+        while at < len(text):
+            to = cut_after(text, at + tb.PIECE)
+            total += self.texts([text[at + (at > 0) : to]])[0]  # a later piece's space is the one that stands before a text
+            at = to
+        return total
+
+
+def cut_after(text: str, at: int) -> int:
+    """The next place from at on where a run of spaces begins that no line feed precedes; the end if there is none."""
+    m = _BEGIN.search(text, at)
+    return m.start() + 1 if m else len(text)
+
+
+#: A character before a single space and a word; the space begins a pre-token of its own.
+_BEGIN = re.compile(f"[^ {SPACE}\n] (?=[^ {SPACE}\n])")
 #: A run of spaces with what follows; the run's last space goes without saying, as in the library's own prefix.
 _RUN = re.compile(f"[ {SPACE}]([ {SPACE}]*[^ {SPACE}\n]*)|([^ {SPACE}\n]+)")
 
@@ -103,7 +145,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         if "c" not in state:
             state["c"] = Counter(path, whole.value)
         text = part.column(part.schema.get_field_index("text"))
-        n = np.array(state["c"].texts([x.as_py() or "" for x in text]), np.int64)
+        texts = [x.as_py() or "" for x in text]
+        n = np.array([state["c"].text(t) for t in texts] if len(texts) == 1 else state["c"].texts(texts), np.int64)
         return [np.diff(tb.text_bytes(text)[1]), n, n > limit]
 
     return tb.with_columns(docs, FIELDS, count)

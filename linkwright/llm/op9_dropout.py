@@ -7,19 +7,21 @@ of (seed, doc_id, the piece's number and text, span) falls below the dropout
 rate; a skipped candidate doesn't come back, but one made by a later merge is a
 new one.  So every occurrence of a word is dealt by itself.  What a piece becomes
 depends only on which candidates are skipped: a worker remembers, within a bound,
-a tree of these choices for each piece, in which the hashes of an occurrence lead
-to its ids.  With a rate of 0 the ids are the library's own.  Ids depend on
-nothing but the row, the seed and the rate.
-
-encode(variants=n), an opt-in, takes a keyed number below n in place of doc_id and
-the piece's number: a word then has n segmentations at most.
+a tree of these choices for each piece, in which the 64-bit hashes of an occurrence
+lead to its ids.  Candidates of equal rank are taken from the left.  With a rate
+of 0 the ids are the library's own (but for a literal U+2581, see below).  Ids
+depend on nothing but the row, the seed and the rate.  That the model's merges
+stay within the cut pieces and that it doesn't change texts is checked.
 
 Characters without a piece become byte pieces.  So does the space mark U+2581
 itself where the text holds one, which the library would turn into a space;
 decoding therefore gives back every text exactly.
 
 Defined results.  A null text has null ids and decodes to null; an empty one
-has no ids.  A null doc_id counts as 0 in the key.  Extra columns pass.
+has no ids.  A null doc_id counts as 0 in the key.  Repeated rows get equal ids.
+Extra columns pass; one named like a result is replaced.  An empty table has no
+rows.  A very long text is encoded in pieces cut before words, with the numbers
+that its pieces have in the whole; a piece above SHORT characters isn't remembered.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import textbatch as tb
+from .op3_counts import cut_after, cut_points
 
-SEED, RATE, CACHE = 17, 0.1, 60_000
+SEED, RATE = 17, 0.1
 #: So many remembered choices are forgotten before the next batch.
 NODES = 400_000
 SPACE = "▁"
@@ -44,7 +47,6 @@ SHORT = 64
 _CUT = re.compile("\n| +[^ \n]*|[^ \n]+")
 _MARK, _NEVER, _LAST = "\n", 1 << 60, (1 << 31) - 1
 #: Odd multipliers of a span's start, middle and end.
-_A, _B, _C = 0x9E37, 0x85EB, 0xC2B3
 _WIDE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _ALL = (1 << 64) - 1
 #: Choices of a piece up to this one are remembered.
@@ -58,6 +60,7 @@ class Model:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        cut_points(model)
         n = model.vocab_size()
         self.bytes: list[bytes] = [b""] * n
         self.ids: dict[str, int] = {}
@@ -84,17 +87,6 @@ class Model:
         return out
 
 
-def dropped(seed: int, rate: float) -> list[bool]:
-    """Keyed hash values 0..65535, as whether they fall below the rate."""
-    h = tb.mix64(np.arange(1 << 16, dtype=np.uint64) + tb.mix64(np.array([seed], np.uint64)))
-    return ((h >> np.uint64(11)) < np.uint64(int(rate * 2.0**53))).tolist()
-
-
-def segment(piece: str, ranks: dict[str, int], salt: int, drop: list[bool]) -> list[str]:
-    """Symbols of a piece after the agenda is empty; drop[keyed hash of a span] skips a candidate."""
-    return merge(piece, ranks, lambda a, m, b: drop[(salt + a * _A + m * _B + b * _C) & 0xFFFF])
-
-
 def merge(piece: str, ranks: dict[str, int], skip: Callable[[int, int, int], bool]) -> list[str]:
     """Symbols of a piece after the agenda is empty; skip is asked once for each candidate (start, middle, end)."""
     # within a piece a literal space mark is stood for by a line feed, which no vocabulary piece holds
@@ -242,77 +234,6 @@ def segment_many(pieces: list[str], pairs: Pairs, skip: Callable[..., np.ndarray
     return symbol[live], live.sum(axis=1)
 
 
-class Encoder:
-    """The opt-in: variants segmentations of a piece at most."""
-
-    def __init__(self, path: str, seed: int, rate: float, variants: int):
-        self.model, self.seed, self.variants = Model(path), seed, variants
-        self.pairs, self.drop = Pairs(self.model), dropped(seed, rate)
-        self.drops = np.array(self.drop)
-        #: By variant the codes of pieces seen lately, and before that; pieces in use move up, others are forgotten.
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.before: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def salt(self, variant: int, piece: str) -> int:
-        return xxhash.xxh32_intdigest(piece.encode(), self.seed * self.variants + variant)
-
-    def piece(self, variant: int, piece: str) -> bytes:
-        """One piece by itself: a line feed, a long one, or one with a character outside the vocabulary."""
-        if piece == "\n":
-            return self.model.byte_ids[10].to_bytes(4, "little")
-        symbols = segment(piece, self.model.ranks, self.salt(variant, piece), self.drop)
-        return np.array(self.model.codes(symbols), "<u4").tobytes()
-
-    def learn(self, variant: int, wanted: set[str]) -> None:
-        """Have the codes of all wanted pieces in known."""
-        if len(self.known[variant]) + len(wanted) > CACHE:
-            self.before[variant], self.known[variant] = self.known[variant], {}
-        known, before, new = self.known[variant], self.before[variant], []
-        for p in wanted:
-            if p not in known:
-                code = before.get(p)
-                if code is not None:
-                    known[p] = code
-                elif len(p) > SHORT or p == "\n":
-                    known[p] = self.piece(variant, p)
-                else:
-                    new.append(p)
-        new.sort(key=len)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            salts = np.fromiter((self.salt(variant, p) for p in some), np.int64, len(some))
-            symbols, n = segment_many(some, self.pairs, lambda r, a, m, b, s=salts: self.drops[(s[r] + a * _A + m * _B + b * _C) & 0xFFFF])
-            odd = (symbols < 0) | (symbols >= self.pairs.pieces)
-            ends = np.cumsum(n)
-            strange = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
-            codes = symbols.astype("<u4").tobytes()
-            for k, (p, a, b) in enumerate(zip(some, (4 * (ends - n)).tolist(), (4 * ends).tolist(), strict=True)):
-                known[p] = self.piece(variant, p) if k in strange else codes[a:b]
-
-    def encode_all(self, doc_ids: list[int | None], texts: list[str | None]) -> list[bytes]:
-        cut = [_CUT.findall(" " + t) if t else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        numbers = [np.zeros(0, np.uint64)]
-        for d, pieces in zip(doc_ids, cut, strict=True):
-            key = np.uint64(xxhash.xxh64_intdigest((d or 0).to_bytes(8, "little", signed=True), self.seed))
-            numbers.append(key + np.arange(len(pieces), dtype=np.uint64))
-        which = tb.mix64(np.concatenate(numbers)) % np.uint64(self.variants)
-        codes = np.empty(len(flat), object)
-        for v in range(self.variants):
-            at = np.flatnonzero(which == v)
-            own = list(map(flat.__getitem__, at.tolist()))
-            self.learn(v, set(own))
-            codes[at] = np.fromiter(map(self.known[v].__getitem__, own), object, len(own))
-        out, at = [], 0
-        for pieces in cut:
-            out.append(b"".join(codes[at : at + len(pieces)].tolist()))
-            at += len(pieces)
-        return out
-
-    def encode(self, doc_id: int | None, text: str) -> bytes:
-        return self.encode_all([doc_id], [text])[0]
-
-
 def _put(a: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
     """a with values from at on, twice as long if it is full."""
     if at + len(values) > len(a):
@@ -419,11 +340,10 @@ class Tree:
 
     def known(self, pieces: set[str]) -> None:
         """Have the roots of all pieces."""
-        new = [p for p in pieces if p not in self.roots]
+        new = [p for p in pieces if p not in self.roots and len(p) <= SHORT]
         if "\n" in new:
             self.roots["\n"] = self.alone("\n", 0)
-        self.roots |= {p: 0 for p in new if len(p) > SHORT}
-        new = [p for p in new if p != "\n" and len(p) <= SHORT]
+        new = [p for p in new if p != "\n"]
         if new:
             texts = np.fromiter(map(self.hashed, new), np.uint64, len(new))
             self.roots |= zip(new, self.grow(new, [0] * len(new), [0] * len(new), texts).tolist(), strict=True)
@@ -437,7 +357,8 @@ class Tree:
             masks = [self.mask[k] | 1 << t for k, t in zip(parent.tolist(), step.tolist(), strict=True)]
             self.child[at] = self.grow([self.piece[k] for k in parent.tolist()], masks, (step + 1).tolist(), self.text[parent])
 
-    def encode_all(self, doc_ids: list[int | None], texts: list[str | None]) -> list[bytes]:
+    def encode_all(self, doc_ids: list[int | None], texts: list[str | None], first: int = 0) -> list[bytes]:
+        """Ids of texts; first: the number of their first piece."""
         if len(self.piece) > NODES:
             self.forget()
         cut = [_CUT.findall(" " + t) if t else [] for t in texts]
@@ -446,9 +367,9 @@ class Tree:
         numbers = [np.zeros(0, np.uint64)]
         for d, pieces in zip(doc_ids, cut, strict=True):
             key = np.uint64(xxhash.xxh64_intdigest((d or 0).to_bytes(8, "little", signed=True), self.seed))
-            numbers.append(key + np.arange(len(pieces), dtype=np.uint64))
+            numbers.append(key + np.arange(first, first + len(pieces), dtype=np.uint64))
         salt = tb.mix64(np.concatenate(numbers))
-        node = np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat))
+        node = np.fromiter((self.roots.get(p, 0) for p in flat), np.int64, len(flat))
         salt += self.text[node]
         for k in np.flatnonzero(node == 0).tolist():
             node[k] = self.alone(flat[k], int(salt[k]) + self.hashed(flat[k]) & _ALL)
@@ -480,19 +401,28 @@ class Tree:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, doc_id: int | None, text: str) -> bytes:
-        return self.encode_all([doc_id], [text])[0]
-
-
-def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, variants: int = 0) -> DataFrame:
+        """One text of any length, in pieces."""
+        out, at, number = [], 0, 0
+        while at < len(text):
+            to = cut_after(text, at + tb.PIECE)
+            part = text[at + (at > 0) : to]  # a later part's space is the one that encode_all puts before a text
+            out += self.encode_all([doc_id], [part], number)
+            number += len(_CUT.findall(" " + part)) if to < len(text) else 0
+            at = to
+        return b"".join(out)
+
+
+def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """docs with ids (little-endian unsigned 32-bit) and n_ids."""
-    state: dict[str, Encoder | Tree] = {}
+    state: dict[str, Tree] = {}
 
     def run(part: pa.RecordBatch) -> list:
         if "e" not in state:
-            state["e"] = Encoder(path, seed, rate, variants) if variants else Tree(path, seed, rate)
+            state["e"] = Tree(path, seed, rate)
         doc, text = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "text"))
-        texts = text.to_pylist()
-        ids = [x if t is not None else None for x, t in zip(state["e"].encode_all(doc.to_pylist(), texts), texts, strict=True)]
+        doc, texts = doc.to_pylist(), text.to_pylist()
+        ids = [state["e"].encode(doc[0], texts[0] or "")] if len(texts) == 1 else state["e"].encode_all(doc, texts)
+        ids = [x if t is not None else None for x, t in zip(ids, texts, strict=True)]
         return [pa.array(ids, pa.binary()), pa.array([len(x or b"") // 4 for x in ids], pa.int64())]
 
     return tb.with_columns(docs, [("ids", "binary"), ("n_ids", "long")], run)
