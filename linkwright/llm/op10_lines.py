@@ -4,9 +4,12 @@ Every line of a document is judged on its own; failing lines are removed, and
 a document that loses more than half of its words is rejected.  Base measures
 of the whole text reject a document before that.
 
-Defined results.  A null text has no words and no lines: all counts are 0 and
-base_failed is true.  A null doc_id stays null.  Repeated rows are judged one
-by one.  Extra columns pass through; one named like a result is replaced.
+Defined results.  A null text has no words and no lines: all counts are 0,
+base_failed is true, clean_text null.  A null doc_id stays null.  Repeated rows
+are judged one by one; of equal lines the first is not a repeat.  Extra columns
+pass through; one named like a result is replaced.  An empty table has no rows.
+A very long text is one slice, read whole: its words and lines take up to twenty
+bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def judge(part: pa.RecordBatch) -> list:
     buf, offsets = tb.text_bytes(part.column(part.schema.get_field_index("text")))
     w, n = tb.Words(buf, offsets, tb.PLAIN), len(offsets) - 1
     n_words, word_byte = w.counts.astype(np.int64), w.mask & ((buf & 0xC0) != 0x80)
-    symbol = _SYMBOL[buf]
+    symbol = tb.look(_SYMBOL, buf)
     begin = w.windows(REPEAT_WINDOW)
     grams = tb.span_hashes(tb.prefix_hashes(w.hashes(), tb.WORD_BASE), begin, begin + REPEAT_WINDOW, tb.WORD_BASE)
     own = tb.mix64(grams ^ tb.mix64(w.rows()[begin].astype(np.uint64) + np.uint64(1)))
@@ -69,7 +72,7 @@ def judge(part: pa.RecordBatch) -> list:
     line_chars, marks = tb.sums(word_byte, bounds), tb.sums(symbol, bounds)
     fails = (tb.sums(buf == 0x7C, bounds) >= NAV_MARKS) | (100 * marks > SYMBOL_PERCENT * line_chars)
     fails |= 100 * tb.sums(buf == 0x21, bounds) > BANG_PERCENT * line_words
-    fails |= (line_words >= LONG_LINE) & (tb.sums(_STOP[buf], bounds) == 0)
+    fails |= (line_words >= LONG_LINE) & (tb.sums(tb.look(_STOP, buf), bounds) == 0)
     fails |= _marked_lines(tb.lower_ascii(buf).tobytes(), bounds)
     raw, n_dup = buf.tobytes(), np.zeros(n, np.int64)
     seen: set[bytes] = set()

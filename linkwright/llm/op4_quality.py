@@ -11,6 +11,9 @@ scored by numpy over whole slices.
 Defined results.  Null and empty texts have an all-zero word part and are scored
 like any other.  Without labelled rows the score is 0.5 for all.  Null doc_ids,
 repeated rows and extra columns pass; a column named like a result is replaced.
+Of several labels of one doc_id the largest counts; a score that ties with the
+threshold is predicted 1.  An empty table has no rows.  A very long text is one
+slice, read whole: its words take up to twenty bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -50,9 +53,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = tb.sums((buf >= 0x61) & (buf <= 0x7A), offsets)
     stats = np.stack(
         [
-            np.log1p(size) / 12, np.log1p(tb.sums(raw == 0x0A, offsets)) / 8, np.minimum(1, 5 * _share(mark[raw], offsets, size)), np.minimum(1, 10 * _share(raw == 0x7C, offsets, size)),
+            np.log1p(size) / 12, np.log1p(tb.sums(raw == 0x0A, offsets)) / 8, np.minimum(1, 5 * _share(tb.look(mark, raw), offsets, size)), np.minimum(1, 10 * _share(raw == 0x7C, offsets, size)),
             np.minimum(1, 10 * _share(raw == 0x21, offsets, size)), _share((raw >= 0x41) & (raw <= 0x5A), offsets, letters), np.minimum(1, 5 * _share((raw >= 0x30) & (raw <= 0x39), offsets, size)),
-            np.minimum(1, 10 * _share(np.isin(np.arange(256), list(b".,;:?"))[raw], offsets, size)), w.per_row(length > 15) / np.maximum(1, words), w.per_row(length < 3) / np.maximum(1, words),
+            np.minimum(1, 10 * _share(tb.look(np.isin(np.arange(256), list(b".,;:?")), raw), offsets, size)), w.per_row(length > 15) / np.maximum(1, words), w.per_row(length < 3) / np.maximum(1, words),
             _share(raw >= 0x80, offsets, size), again / np.maximum(1, words), w.per_row(tb.repeated(h ^ own)) / np.maximum(1, words), np.ones(n),
         ],
         axis=1,

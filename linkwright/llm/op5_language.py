@@ -10,7 +10,8 @@ texts is scored by one gather and a sum over each text.
 Defined results.  A text that is null or has no letter gets ``und`` and score 0;
 so does every text if nothing can be learned.  Ties go to the first language in
 text order.  Null doc_ids, repeated rows and extra columns pass; a column named
-like a result is replaced.
+like a result is replaced.  An empty table has no rows.  A very long text is read
+whole, CHARS characters at a time beside its lower-cased copies.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import textbatch as tb
 from .shared import small_batches
 
 BUCKETS, GRAMS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
+#: Characters whose n-grams are worked out at once.
+CHARS = 1 << 19
 _PART = 1 << 12
 FIELDS = [("lang_pred", "string"), ("score", "double")]
 
@@ -36,30 +39,42 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams and the text of each."""
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams and the text of each, for CHARS characters of the texts at a time."""
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
-    letter = _letters()[codes]
-    # one mark for a run of other characters
-    keep = np.ones(len(codes), bool)
-    if len(codes):
-        keep[1:] = letter[1:] | letter[:-1] | (row[1:] != row[:-1])
-    code, row, letter = np.where(letter, codes, 0x20).astype(np.uint64)[keep], row[keep], letter[keep]
-    buckets, rows = [], []
-    for n in GRAMS:
-        m = len(code) - n + 1
-        if m <= 0:
-            continue
-        h, some = np.full(m, n, np.uint64), np.zeros(m, bool)
-        for k in range(n):
-            h = h * np.uint64(0x1000193) + code[k : k + m]
-            some |= letter[k : k + m]
-        some &= row[:m] == row[n - 1 :]
-        buckets.append((tb.mix64(h[some]) >> np.uint64(48)).astype(np.int64))
-        rows.append(row[:m][some])
-    return (np.concatenate(buckets), np.concatenate(rows)) if buckets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ends = np.cumsum([len(t) for t in lowered], dtype=np.int64)
+    kept, last = [np.zeros(0, np.uint32)], False
+    sizes = np.zeros(len(texts), np.int64)
+    for at in range(0, len(codes), CHARS):  # one mark for a run of other characters
+        some = codes[at : at + CHARS]
+        letter = _letters()[some]
+        first = np.zeros(len(some), bool)
+        a, b = np.searchsorted(ends, [at, at + len(some)], "left")
+        first[ends[a:b] - at] = True  # the first character after a text
+        keep = letter | np.r_[last, letter[:-1]] | first
+        keep[0] |= at == 0
+        last = bool(letter[-1])
+        kept.append(np.where(letter, some, 0x20)[keep].astype(np.uint32))
+        sizes += np.bincount(np.searchsorted(ends, at + np.flatnonzero(keep), "right"), minlength=len(texts))
+    code, ends = np.concatenate(kept), np.cumsum(sizes)
+    longest = max(GRAMS)
+    for at in range(0, len(code), CHARS):
+        some = code[at : at + CHARS + longest - 1].astype(np.uint64)
+        row, letter = np.searchsorted(ends, at + np.arange(len(some)), "right"), some != 0x20
+        buckets, rows = [], []
+        for n in GRAMS:
+            m = min(CHARS, len(some) - n + 1)
+            if m <= 0:
+                continue
+            h, whole = np.full(m, n, np.uint64), np.zeros(m, bool)
+            for k in range(n):
+                h = h * np.uint64(0x1000193) + some[k : k + m]
+                whole |= letter[k : k + m]
+            whole &= row[:m] == row[n - 1 : n - 1 + m]
+            buckets.append((tb.mix64(h[whole]) >> np.uint64(48)).astype(np.int64))
+            rows.append(row[:m][whole])
+        yield np.concatenate(buckets), np.concatenate(rows)
 
 
 def learn(docs: DataFrame, chosen: Column) -> tuple[list[str], np.ndarray]:
@@ -71,12 +86,12 @@ def learn(docs: DataFrame, chosen: Column) -> tuple[list[str], np.ndarray]:
             langs = part.column(1).to_pylist()
             names = sorted(set(langs))
             own = np.array([names.index(x) for x in langs], np.int64)
-            bucket, row = grams(part.column(0).to_pylist())
-            n = np.bincount(own[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
             for k, name in enumerate(names):
-                have = total.setdefault(name, np.zeros(BUCKETS + _PART, np.int64))
-                have[:BUCKETS] += n[k]
-                have[BUCKETS] += int((own == k).sum())
+                total.setdefault(name, np.zeros(BUCKETS + _PART, np.int64))[BUCKETS] += int((own == k).sum())
+            for bucket, row in grams(part.column(0).to_pylist()):
+                n = np.bincount(own[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                for k, name in enumerate(names):
+                    total[name][:BUCKETS] += n[k]
         for name, n in total.items():
             cuts = n.reshape(-1, _PART)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(cuts)), pa.array(range(len(cuts)), pa.int32()), pa.array([x.tobytes() for x in cuts])], names=["lang", "part", "n"])
@@ -115,11 +130,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         texts = part.column(part.schema.get_field_index("text")).to_pylist()
         for at in range(0, len(texts), max(1, len(texts) // wide)):
             some = texts[at : at + max(1, len(texts) // wide)]
-            bucket, row = grams(some)
-            total = np.zeros((len(some), len(langs)))
-            for k in range(len(langs)):
-                total[:, k] = np.bincount(row, matrix[bucket, k], len(some)) + matrix[BUCKETS, k]
-            n = np.bincount(row, minlength=len(some))
+            total, n = np.tile(matrix[BUCKETS].astype(np.float64), (len(some), 1)), np.zeros(len(some), np.int64)
+            for bucket, row in grams(some):
+                for k in range(len(langs)):
+                    total[:, k] += np.bincount(row, matrix[bucket, k], len(some))
+                n += np.bincount(row, minlength=len(some))
             for i in range(len(some)):
                 if not n[i] or not langs:
                     names.append("und")
