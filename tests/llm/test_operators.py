@@ -116,6 +116,17 @@ def test_token_counts(spark, odd, empty, sf):
         assert rows(op3_counts.count_tokens(df, PIECES), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counter, rng = op3_counts.Counter(PIECES, op3_counts.whole_tokens(PIECES)), random.Random(3)
+    parts = ["the", "idea", " ", "  ", "\n", "▁", "x" * 70, "é", "日", " of"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(200)]
+    for piece in (1, 5, 40, textbatch.PIECE):
+        monkeypatch.setattr(textbatch, "PIECE", piece)
+        assert [counter.text(t) for t in texts] == [len(model.encode(t)) for t in texts]
+    assert max(map(len, counter.spaced)) <= op3_counts.LONG
+
+
 def test_factorisation_identity():
     machine = op4_quality.Machine()
     rng = np.random.default_rng(2)
@@ -151,20 +162,54 @@ def test_language_defined_cases(spark, odd, empty):
     assert {r["lang_pred"] for r in op5_language.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_grammar_contexts():
-    grammar, lex = op6_toxicity.Grammar(), op6_toxicity.Lexicon({"grumbl": (1e-6, 0)}, {})
+KINDS = {"intent": op6_toxicity.INTENTS, "harm": op6_toxicity.HARMS, "target": op6_toxicity.TARGETS, "negation": op6_toxicity.NEGATIONS, "report": op6_toxicity.REPORTS, "insult": op6_toxicity.INSULTS}
+
 
-    def score(text):
-        ws = op6_toxicity._words(text)
-        lex.learn(set(ws))
-        return lex.evidence(grammar, ws)
+def toxic(text, lexicon):
+    return 1 / (1 + math.exp(-min(30.0, op6_toxicity.BIAS + lexicon.evidence(op6_toxicity.Grammar(), op6_toxicity._words(text)))))
 
-    plain = score("what an idiot that is")
-    assert score("you are an idiot") > plain > score("he is not an idiot at all") > 0
-    assert score("she said he is an idiot") < plain
-    assert score("a grumbling fellow") > 0 and score("idiots. idiots. idiots.") > score("idiots idiots idiots")
-    assert score("i will kill you") > 0 and score("kill the lights") == 0 and score("i will not kill you") < score("i will kill you")
-    assert score("a calm and clean sentence") == 0
+
+def test_grammar_contexts():
+    """Negation and reported speech decide the verdict; targets count on either side."""
+    lexicon = op6_toxicity.Lexicon({"grumbl": (1e-6, 0)}, {})
+    clean = ["He is not an idiot.", "She said he is an idiot.", "The report quoted the word idiot as an insult.", "I will not kill you", "I would never hurt them", "kill the lights", "you will see them", "a calm and clean sentence", "He was told that you are scum", "nobody will kill you", "she said they will kill you"]
+    bad = ["what an idiot that is", "You idiot!", "idiot like you", "i will kill you", "you deserve to be beaten", "people should be shot", "Not good. You idiot!", "they said no. you are scum", "a grumbling fellow", "x" * 100 + " idiot"]
+    assert [t for t in clean if toxic(t, lexicon) >= op6_toxicity.THRESHOLD] == []
+    assert [t for t in bad if toxic(t, lexicon) < op6_toxicity.THRESHOLD] == []
+    plain = toxic("what an idiot that is to see on a walk there", lexicon)
+    assert toxic("what an idiot that is to see you on walks there", lexicon) == plain < toxic("what an idiot you are to see that on a walk", lexicon) == toxic("you are an idiot to see that on a walk there", lexicon)
+
+
+def test_grammar_equals_a_clause_walker():
+    """Random word strings against a walker over positions."""
+    rng = random.Random(13)
+    learned = {"grumbl": (2e-6, 0), "zor$": (1e-4, 1), "blu": (1e-5, 2)}
+    lexicon = op6_toxicity.Lexicon(learned, {"idiot$": 1e-3})
+    words = [ws[0] for ws in KINDS.values()] + [ws[1] for ws in KINDS.values()] + ["grumbling", "zor", "zors", "bluish", "the", "of", "idiot!", "you,", "not;", "...", "\n", "x" * 80, "blu" + "y" * 80 + "."]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(25)))
+        assert math.isclose(toxic(text, lexicon), brute.toxicity(text, KINDS, learned, lexicon.rates), rel_tol=1e-9), text
+
+
+def test_quality_scores_equal_plain_ones(spark, odd, sf):
+    machine, rng = op4_quality.Machine(), np.random.default_rng(4)
+    machine.w, machine.v, machine.fitted = rng.normal(size=machine.w.shape), rng.normal(0, 0.3, machine.v.shape), True
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 2500").select("doc_id", "text")
+    for df in (docs, odd.select("doc_id", "text")):
+        for r in op4_quality.classify(df, machine).collect():
+            want = brute.machine_score(brute.quality_features(r["text"]), machine.w, machine.v)
+            assert math.isclose(r["score"], want, rel_tol=1e-6, abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_languages_equal_plain_ones(spark, odd, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 2500").select("doc_id", "text", "lang")
+    given = docs.collect()
+    training = [(r["text"], r["lang"]) for r in given if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
+    model = op5_language.learn(docs, queries.remainder("doc_id", 4) != 2)
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        got = op5_language.predict(df, model).collect()
+        for r, (lang, score) in zip(got, brute.languages(training, [r["text"] for r in got]), strict=True):
+            assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-3, abs_tol=1e-6)
 
 
 def test_classifiers_without_labels(spark, odd, empty, sf):
@@ -204,7 +249,7 @@ def test_chunks_are_joined_right(monkeypatch, spark):
     """A document's windows may meet their copies in the same chunk, another one, or another task."""
     import pyarrow as pa
 
-    chunk, rng = op7_substrings.Chunk(5), random.Random(1)
+    chunk, rng = op7_substrings.Chunk(5, 100), random.Random(1)
     text = prose(rng, 12)
     chunk.add(pa.RecordBatch.from_arrays([pa.array([7, 2, None]), pa.array([text, "x " + text, text])], names=["doc_id", "text"]))
     out = [r for b in chunk.rows(0, 8) for r in b.to_pylist()]
@@ -213,6 +258,31 @@ def test_chunks_are_joined_right(monkeypatch, spark):
     assert sum(len(op7_substrings.unpack(r["b"], np.uint32)) for r in out[1:]) == 9  # of doc 2
 
 
+def test_ranges_in_two_steps(monkeypatch, spark):
+    """Coarse and then fine ranges, small chunks, texts in pieces: the same words go."""
+    rng = random.Random(19)
+    passages = [prose(rng, n) for n in (50, 60, 130)]
+    texts = [" ".join(rng.choice([prose(rng, rng.randrange(0, 80)), rng.choice(passages)]) for _ in range(rng.randrange(1, 6))) for _ in range(90)]
+    given = list(enumerate(texts))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    want = sorted(((i, len(brute.words(t)), " ".join(k)) for (i, t), k in zip(given, brute.kept_words(given), strict=True)), key=repr)
+    for first, chunk in ((3, 2000), (5, 300), (12, 100)):
+        monkeypatch.setattr(op7_substrings, "FIRST", first)
+        monkeypatch.setattr(op7_substrings, "CHUNK", chunk)
+        assert rows(op7_substrings.remove_repeats(df), "doc_id", "n_words", "kept_text") == want
+
+
+def test_packed_windows_come_back():
+    rng = np.random.default_rng(3)
+    h, more = rng.integers(0, 1 << 64, 500, np.uint64), rng.integers(0, 1 << 32, 500).astype(np.uint32)
+    at, doc, of = rng.integers(0, 1 << 20, 500).astype(np.uint32), rng.integers(-9, 1 << 40, 500), rng.integers(0, 1 << 40, 500)
+    for bits in (3, 8, 10, 16, 17):
+        for chunk in (7, of):
+            got = [op7_substrings.undealt([r], bits) for b in op7_substrings.dealt(h, more, at, doc, bits, chunk) for r in b.to_pylist()]
+            back = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*got, strict=True)), strict=True))
+            assert back == sorted(zip(h.tolist(), more.tolist(), at.tolist(), doc.tolist(), (of if chunk is of else np.full(500, 7)).tolist(), strict=True))
+
+
 def test_decontamination(spark, odd, empty, sf, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, rng.choice([0, 1, 2, 3, 9, 10, 11, 40]))) for i in range(25)] + [(30, None), (None, prose(rng, 15))]
@@ -244,31 +314,42 @@ def test_merge_dropout(spark, odd, empty, sf):
     assert again[0] == again[1] != again[2]
 
 
-def test_long_agenda_equals_short_one(monkeypatch):
-    model = op9_dropout.Model(PIECES)
-    drop, rng = op9_dropout.dropped(3, 0.2), random.Random(2)
-    for _ in range(200):
-        piece = " " + "".join(rng.choice("abenorst") for _ in range(rng.randrange(1, 40)))
-        short = op9_dropout.segment(piece, model.ranks, 99, drop)
-        monkeypatch.setattr(op9_dropout, "SHORT", 0)
-        assert op9_dropout.segment(piece, model.ranks, 99, drop) == short
-        monkeypatch.undo()
-
-
-def test_side_by_side_equals_one_by_one():
-    encoder, rng = op9_dropout.Encoder(PIECES, 5, 0.2, 2), random.Random(6)
-    pieces = ["".join(rng.choice("abenorst é▁語") for _ in range(rng.randrange(1, op9_dropout.SHORT + 1))) for _ in range(400)]
-    pieces += ["a", "ab" * 32, " " * 64, "\U0001f600"]
-    encoder.learn(1, set(pieces))
-    assert all(encoder.known[1][p] == encoder.piece(1, p) for p in pieces)
-
-
-def test_remembered_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(op9_dropout, "CACHE", 10)
-    small, large = op9_dropout.Encoder(PIECES, 5, 0.1, 2), op9_dropout.Encoder(PIECES, 5, 0.1, 2)
-    texts = [prose(random.Random(i), 30) for i in range(20)]
-    one = [small.encode(i, t) for i, t in enumerate(texts)]
-    assert one == large.encode_all(list(range(20)), texts) and len(small.known[0]) < 40
+def naive_agenda(piece, model, skipped):
+    """Symbols by looking at all neighbours again after each merge; skipped is asked once for a span and its middle."""
+    parts, asked = [(c, k, k + 1) for k, c in enumerate(piece.replace(op9_dropout.SPACE, "\n").replace(" ", op9_dropout.SPACE))], {}
+    while True:
+        able = []
+        for x, y in zip(parts, parts[1:], strict=False):
+            if (rank := model.ranks.get(x[0] + y[0])) is not None and not asked.get((x[1], x[2], y[2])):
+                able.append((rank, x[1], x, y))
+        if not able:
+            return [p for p, _, _ in parts]
+        _, _, x, y = min(able)
+        if skipped(x[1], x[2], y[2]):
+            asked[x[1], x[2], y[2]] = True
+            continue
+        at = parts.index(x)
+        parts[at : at + 2] = [(x[0] + y[0], x[1], y[2])]
+
+
+def test_agenda_equals_a_naive_one(monkeypatch):
+    """Ids for ids, through the tree, at several rates; short and long pieces, characters outside the vocabulary."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abenorst é▁語\U0001f600\n  ") for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    texts += ["the internationalization of  communications", "ab" * 60, "\n \n"]
+    for rate in (0.0, 0.2, 0.8):
+        tree = op9_dropout.Tree(PIECES, 7, rate)
+        got = tree.encode_all(list(range(len(texts))), texts)
+        for i, (text, ids) in enumerate(zip(texts, got, strict=True)):
+            key, want = op9_dropout.xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 7), []
+            for n, piece in enumerate(op9_dropout._CUT.findall(" " + text)):
+                salt = int(textbatch.mix64(np.array([key + n & op9_dropout._ALL], np.uint64))[0]) + tree.hashed(piece) & op9_dropout._ALL
+                want += [tree.model.byte_ids[10]] if piece == "\n" else tree.model.codes(naive_agenda(piece, tree.model, tree.skips(salt)))
+            assert np.frombuffer(ids, "<u4").tolist() == want
+    for piece in (1, 9, textbatch.PIECE):
+        monkeypatch.setattr(textbatch, "PIECE", piece)
+        assert [tree.encode(i, t) for i, t in enumerate(texts)] == got
+    assert max(map(len, tree.roots)) <= op9_dropout.SHORT
 
 
 def test_line_rules(spark, odd, empty, sf):
@@ -282,6 +363,20 @@ def test_line_rules(spark, odd, empty, sf):
     assert kept == {1: (False, True), 2: (False, False), 3: (True, False)}
 
 
+def test_pieces_give_the_same_words_and_sums(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab \n,") for _ in range(n)) for n in (0, 1, 500, 3, 0)] + ["x" * 700 + " y " + "z" * 64]
+    buf, offsets = textbatch.text_bytes(__import__("pyarrow").array(texts))
+    w = textbatch.Words(buf, offsets, textbatch.PLAIN)
+    want = w.hashes(), w.hashes(textbatch.BYTE_BASE_2), textbatch.sums(buf == 0x61, offsets)
+    assert want[2].tolist() == [t.count("a") for t in texts] and w.counts.tolist() == [len(brute.words(t)) for t in texts]
+    for piece in (1, 17, 64):
+        monkeypatch.setattr(textbatch, "PIECE", piece)
+        got = w.hashes(), w.hashes(textbatch.BYTE_BASE_2), textbatch.sums(buf == 0x61, offsets)
+        assert all((a == b).all() for a, b in zip(want, got, strict=True))
+        assert [x for part in textbatch.word_lists(buf.tobytes()) for x in part] == buf.tobytes().split()
+
+
 def test_slices_and_lookups():
     import pyarrow as pa
 
@@ -294,3 +389,27 @@ def test_crc_is_of_little_endian_ids(spark):
     df = spark.createDataFrame([(0, "the cat")], "doc_id long, text string")
     r = op1_rans.read_documents(spark, op1_rans.encode_documents(df, BPE, 2)).select("ids", F.crc32("ids").alias("c")).first()
     assert r["c"] == zlib.crc32(bytes(r["ids"]))
+
+
+def test_places_of_many_files(spark, monkeypatch):
+    sizes = [random.Random(i).randrange(1, 50) for i in range(60)]
+    blocks = spark.createDataFrame([(i // 2 * 3, n) for i, n in enumerate(sizes)], "file long, n long")
+    want, before = {}, 0
+    for file in range(30):
+        want[file * 3] = before
+        before += sizes[2 * file] + sizes[2 * file + 1]
+    for group in (op1_rans.GROUP, 7, 1):
+        monkeypatch.setattr(op1_rans, "GROUP", group)
+        assert dict(op1_rans._bases(blocks).collect()) == want
+
+
+def test_token_words_in_pieces_and_long_words(monkeypatch):
+    model, words = Tokenizer.from_file(BPE), op1_rans.WordTokens(BPE)
+    text = " ".join(["Alpha,", "don't", "x" * 90, "beta\n\n", "日本語"] * 40)
+    want = np.array(model.encode(text, add_special_tokens=False).ids, words.kind).tobytes()
+    for piece in (textbatch.PIECE, 50, 1):
+        monkeypatch.setattr(textbatch, "PIECE", piece)
+        assert words.encode([text, "", "a\x1cb"])[0] == want
+    assert "x" * 90 not in words
+    with pytest.raises(ValueError, match="different ids"):
+        op1_rans.Frequencies(dict.fromkeys(range((1 << op1_rans.SCALE) + 1), 1))
