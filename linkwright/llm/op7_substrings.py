@@ -15,13 +15,13 @@ doc_id.  Three steps:
 3. Each chunk merges its removed windows into maximal word intervals for each
    document; a join by doc_id and text hash brings them to the texts.
 
-A range holds what RANGE_BYTES of input give, so their number grows with the
-input.  Above FIRST bits of it the ranges are reached in two steps, coarse ones
+A range holds what RANGE_BYTES of input give at most, so their number grows with
+the input.  Above FIRST bits of it the ranges are reached in two steps, coarse ones
 and then fine ones within them, so a packed row still holds about a hundred
 windows; a coarse range is dealt to several tasks by chunk.
 
-Windows are compared by 96 bits of two independent hashes (of words and of
-windows): over 10**13 windows about 10**-3 chance meetings are expected in all.
+Windows are compared by 88 bits of two independent hashes (of words and of
+windows): over 10**13 windows less than one chance meeting is expected in all.
 Windows are judged on the input, not on what is left.  Chunks number the rows of
 a task, so an input that comes from a shuffle is stored first.
 
@@ -52,8 +52,8 @@ WINDOW = 50
 CHUNK = 1 << 19
 #: Input bytes (as stored) for a hash range, and for a task that counts ranges.
 RANGE_BYTES, TASK_BYTES = 8 << 20, 32 << 20
-#: Bits of the ranges that one step deals out.
-FIRST = 12
+#: Bits of the ranges that one step deals out, and bytes of the second hash that are kept.
+FIRST, MORE = 12, 3
 SEED = 42
 
 _ROWS = "range int, chunk long, directory boolean, a binary, b binary, c binary, d binary"
@@ -95,7 +95,7 @@ def dealt(h: np.ndarray, more: np.ndarray, at: np.ndarray, doc: np.ndarray, bits
     order = np.argsort(part, kind="stable")
     h, more, at, doc, part = h[order], more[order], at[order], doc[order], part[order]
     of = chunk[order] if isinstance(chunk, np.ndarray) else None
-    low = np.concatenate([h.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8], more.view(np.uint8).reshape(-1, 4)], axis=1)
+    low = np.concatenate([h.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8], more.view(np.uint8).reshape(-1, 4)[:, :MORE]], axis=1)
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
     out: list[tuple] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -108,7 +108,7 @@ def dealt(h: np.ndarray, more: np.ndarray, at: np.ndarray, doc: np.ndarray, bits
 def undealt(rows: list[dict], bits: int) -> tuple[np.ndarray, ...]:
     """h, more, at, doc and chunk of the windows of packed rows of one range."""
     width = 8 - bits // 8
-    low = [np.frombuffer(r["a"], np.uint8).reshape(-1, width + 4) for r in rows]
+    low = [np.frombuffer(r["a"], np.uint8).reshape(-1, width + MORE) for r in rows]
     sizes, both = [len(x) for x in low], np.concatenate(low)
     h = np.zeros((len(both), 8), np.uint8)
     h[:, :width] = both[:, :width]
@@ -118,7 +118,9 @@ def undealt(rows: list[dict], bits: int) -> tuple[np.ndarray, ...]:
     doc = np.concatenate([np.cumsum(unpack(r["c"], np.int64)) for r in rows])
     at = np.concatenate([np.cumsum(unpack(r["b"], np.uint32), dtype=np.uint32) for r in rows])
     of = np.concatenate([np.full(n, r["chunk"], np.int64) if r["d"] is None else np.cumsum(unpack(r["d"], np.int64)) for r, n in zip(rows, sizes, strict=True)])
-    return h, np.ascontiguousarray(both[:, width:]).view(np.uint32).ravel(), at, doc, of
+    more = np.zeros((len(both), 4), np.uint8)
+    more[:, :MORE] = both[:, width:]
+    return h, more.view(np.uint32).ravel(), at, doc, of
 
 
 class Chunk:
@@ -146,7 +148,7 @@ class Chunk:
         if len(begin):
             hashes = [tb.span_hashes(tb.prefix_hashes(w.hashes(a), b), begin, begin + self.window, b) for a, b in ((tb.BYTE_BASE, tb.WORD_BASE), (tb.BYTE_BASE_2, tb.WORD_BASE_2))]
             self.hashes.append(hashes[0])
-            self.more.append((hashes[1] >> np.uint64(32)).astype(np.uint32))
+            self.more.append((hashes[1] >> np.uint64(64 - 8 * MORE)).astype(np.uint32))
             self.begins.append(begin + self.n_words)
         self.counts.append(np.bincount(w.rows()[begin], minlength=len(ids)))
         self.n_words += len(w)
@@ -186,7 +188,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = steady(docs.select(F.col("doc_id").cast("long"), "text"), "texts")
     size = input_bytes(docs)
     parts = max(shuffle_partitions(spark), size // TASK_BYTES)
-    bits = min(24, int(max(256, 4 * shuffle_partitions(spark), size // RANGE_BYTES) - 1).bit_length())
+    bits = min(24, int(max(256, 16 * parts, size // RANGE_BYTES) - 1).bit_length())
     first = bits if bits <= FIRST else -(-bits // 2)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -274,7 +274,7 @@ def test_ranges_in_two_steps(monkeypatch, spark):
 
 def test_packed_windows_come_back():
     rng = np.random.default_rng(3)
-    h, more = rng.integers(0, 1 << 64, 500, np.uint64), rng.integers(0, 1 << 32, 500).astype(np.uint32)
+    h, more = rng.integers(0, 1 << 64, 500, np.uint64), rng.integers(0, 1 << 24, 500).astype(np.uint32)
     at, doc, of = rng.integers(0, 1 << 20, 500).astype(np.uint32), rng.integers(-9, 1 << 40, 500), rng.integers(0, 1 << 40, 500)
     for bits in (3, 8, 10, 16, 17):
         for chunk in (7, of):
