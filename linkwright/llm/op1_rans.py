@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .op7_substrings import delta, pack, unpack
-from .shared import forget, input_bytes, shared_dir, shuffle_partitions, stored
+from .shared import forget, input_bytes, shared_dir, stored
 
-SCALE, LANES, CHECKPOINT, BLOCK = 20, 1024, 256, 1 << 20
+SCALE, LANES, CHECKPOINT, BLOCK = 20, 2048, 128, 1 << 20
 #: Stored bytes of input for a file; words that a worker remembers, and their greatest length.
-FILE_BYTES, CACHE, LONG = 16 << 20, 800_000, 64
-#: Files whose ids are added up together.
-GROUP = 4096
+FILE_BYTES, CACHE, LONG = 32 << 20, 1_000_000, 64
+#: Files whose ids are added up together, and files whose places are sent to all executors.
+GROUP, FEW = 4096, 1 << 16
 _MAGIC, _LOW = b"RANS0001", np.uint64(1 << 31)
 _HEAD = struct.Struct("<8sIIQQIIIQQ")  # magic, crc of the rest, crc of the table, tokens, documents, lanes, checkpoint steps, crc of ids, words, index bytes
 
@@ -54,7 +54,7 @@ _HEAD = struct.Struct("<8sIIQQIIIQQ")  # magic, crc of the rest, crc of the tabl
 
 #: Latin letters, whose lower case and NFC form are plain, and then signs other than letters and apostrophes.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-@\[-`{-~]*)")
-_ODD, _BLANK = re.compile("[\x1c-\x1f]"), re.compile(r"\s")
+_ODD, _BLANK = "\x1c\x1d\x1e\x1f", re.compile(r"\s")
 
 
 def byte_letters() -> list[str]:
@@ -64,13 +64,23 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(other)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokens(dict):
     """word -> its ids as little-endian bytes, for a tokenizer that drops white space and never looks across it.
 
     Every id comes from the tokenizers library.  Its pre-tokenizer cuts between
     letters and other characters, so a word of Latin letters with trailing signs
     is two pre-tokens: the lower-cased letters go straight to the library's BPE
-    model, the signs and all other words through the whole tokenizer.
+    model, the signs and all other words through the whole tokenizer.  Words are
+    encoded when they are first looked up; long ones aren't remembered.
     """
 
     def __init__(self, path: str):
@@ -80,6 +90,9 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        #: Ids of lower-case letters, and of signs, that words begin and end with.
+        self.parts: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -88,60 +101,53 @@ class WordTokens(dict):
         """Ids of one pre-token of lower-case Latin letters."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        size = self.kind.itemsize
-        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(word)])
+        code = self.code
+        return b"".join([code[t.id] for t in self.model.tokenize(word)])
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words; long ones aren't remembered."""
-        if len(self) + len(words) > CACHE:
-            self.clear()
-        rest = []
-        for word in words:
-            if word in self or len(word) > LONG:
-                continue
-            match = _PLAIN.fullmatch(word)
-            if not match:
-                rest.append(word)
-                continue
-            low, tail = match[1].lower(), match[2]
-            code = self.get(low)
-            if code is None:
-                code = self[low] = self.core(low)
-            if tail:
-                end = self.get(tail)
-                if end is None:
-                    end = self[tail] = self.ids(tail)
-                code += end
-            self[word] = code
-        for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[word] = np.array(code.ids, self.kind).tobytes()
+    def part(self, text: str, letters: bool) -> bytes:
+        code = self.parts.get(text)
+        if code is None:
+            code = self.parts[text] = self.core(text) if letters else self.ids(text)
+        return code
 
     def __missing__(self, word: str) -> bytes:
-        return self.ids(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(word) > LONG:
+            return self.ids(word)
+        if len(self) + len(self.parts) > CACHE:
+            self.clear()
+            self.parts.clear()
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            code = self.core(word) if low == word else self.part(low, True)
+        elif match := _PLAIN.fullmatch(word):
+            code = self.part(match[1].lower(), True) + (self.part(match[2], False) if match[2] else b"")
+        else:
+            code = self.ids(word)
+        self[word] = code
+        return code
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text; a very long one goes by pieces cut at white space."""
         # str.split() takes four control characters for white space that the tokenizer doesn't
-        odd = [bool(_ODD.search(t)) for t in texts]
-        cut = [[] if strange or len(t) > tb.PIECE else t.split() for t, strange in zip(texts, odd, strict=True)]
-        self.learn(set().union(*cut))
-        return [self.ids(t) if strange else self.pieces(t) if len(t) > tb.PIECE else b"".join(map(self.__getitem__, ws)) for t, ws, strange in zip(texts, cut, odd, strict=True)]
-
-    def pieces(self, text: str) -> bytes:
-        """Ids of a very long text, piece by piece."""
+        if any(c in text for c in _ODD):
+            return self.ids(text)
+        if text.isascii() or _latin(text):
+            text = text.lower()  # as the tokenizer does with such letters; fewer words to remember
+        if len(text) <= tb.PIECE:
+            return b"".join(map(self.__getitem__, text.split()))
         out, at = [], 0
         while at < len(text):
             blank = _BLANK.search(text, at + tb.PIECE)
-            words = text[at : blank.start() if blank else len(text)].split()
-            self.learn(set(words))
-            out += map(self.__getitem__, words)
-            at = blank.end() if blank else len(text)
+            to = blank.start() if blank else len(text)
+            out.append(b"".join(map(self.__getitem__, text[at:to].split())))
+            at = to + 1
         return b"".join(out)
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of raw ids in doc_id order: file, first token in its file, packed documents."""
     # by size alone: the order of doc_ids decides which file a row is in
-    files = max(shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // FILE_BYTES))
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", key)
 
@@ -160,11 +166,10 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (file, first, len(tokens), size, *index, pack(tokens))], names=names)
 
         for part in tb.slices(batches):
-            texts = [x.as_py() or "" for x in part.column(1)]
-            for doc_id, code in zip(part.column(0).to_pylist(), cache.encode(texts), strict=True):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 ids.append(doc_id or 0)
                 known.append(doc_id is not None)
-                codes.append(code + end)
+                codes.append(cache.encode(text.as_py() or "") + end)
                 n += len(codes[-1]) // size
                 if n >= BLOCK:
                     yield block()
@@ -356,5 +361,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 start = first.as_py() + ends - n
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=known == 0), pa.array(start), pa.array(n), data], names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = blocks.join(_bases(blocks), "file").select((F.col("base") + F.col("first")).alias("first"), "block")
+    bases = _bases(blocks)
+    if blocks.select("file").distinct().count() <= FEW:  # 16 bytes each: send them; else the blocks are shuffled
+        bases = F.broadcast(bases)
+    placed = blocks.join(bases, "file").select((F.col("base") + F.col("first")).alias("first"), "block")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -409,7 +409,7 @@ def test_token_words_in_pieces_and_long_words(monkeypatch):
     want = np.array(model.encode(text, add_special_tokens=False).ids, words.kind).tobytes()
     for piece in (textbatch.PIECE, 50, 1):
         monkeypatch.setattr(textbatch, "PIECE", piece)
-        assert words.encode([text, "", "a\x1cb"])[0] == want
-    assert "x" * 90 not in words
+        assert words.encode(text) == want
+    assert max(map(len, words)) <= op1_rans.LONG >= max(map(len, words.parts))
     with pytest.raises(ValueError, match="different ids"):
         op1_rans.Frequencies(dict.fromkeys(range((1 << op1_rans.SCALE) + 1), 1))
