@@ -272,13 +272,14 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                fp = batch.column(0).slice(at, 1 << 14).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 1 << 12):
+                fp = batch.column(0).slice(at, 1 << 12).to_numpy(zero_copy_only=False)
                 rows, key = keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows])], names=["key", "fp"])
 
     tasks = max(shuffle_partitions(groups.sparkSession), -(-64 * groups.count() // TASK_ROWS))
-    made = groups.select("fp").mapInArrow(make, "key long, fp long").repartition(tasks, "key").sortWithinPartitions("key")
+    # a fingerprint makes 64 rows: dealt out first, so that no task makes those of a whole large file
+    made = groups.select("fp").repartition(tasks).mapInArrow(make, "key long, fp long").repartition(tasks, "key").sortWithinPartitions("key")
     met = stored(made.mapInArrow(lambda rows: meet(rows, max_bits), "a long, b long, key long, part int, block binary"), "met")
     blocks = met.where("block IS NOT NULL").select("key", "part", "block")
     x, y = blocks.toDF("key", "p", "x"), blocks.toDF("key", "q", "y")
