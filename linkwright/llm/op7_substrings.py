@@ -13,7 +13,8 @@ doc_id.  Three steps:
    documents go from all but the smallest doc_id.  The answer returns to the
    chunk as word positions.
 3. Each chunk merges its removed windows into maximal word intervals for each
-   document; a join by doc_id and text hash brings them to the texts.
+   document; a join by doc_id and text hash brings them to the texts.  A bitmap
+   of fixed size keeps most texts that lose nothing out of that shuffle.
 
 A range holds what RANGE_BYTES of input give at most, so their number grows with
 the input.  Above FIRST bits of it the ranges are reached in two steps, coarse ones
@@ -45,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import input_bytes, shuffle_partitions, small_batches, steady
+from .shared import input_bytes, shuffle_partitions, small_batches, steady, stored
 
 WINDOW = 50
 #: Windows of a chunk; bounds a task's memory.
 CHUNK = 1 << 19
 #: Input bytes (as stored) for a hash range, and for a task that counts ranges.
 RANGE_BYTES, TASK_BYTES = 8 << 20, 32 << 20
+#: Bits (as a power of two) of the bitmap of documents with spans.
+MARKS = 24
 #: Bits of the ranges that one step deals out, and bytes of the second hash that are kept.
 FIRST, MORE = 12, 3
 SEED = 42
@@ -267,10 +270,30 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 FIELDS = [("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")]
 
 
+def marked(spans: DataFrame) -> DataFrame:
+    """(word, bits): 2**MARKS bits in words of 64, set where a document with spans falls by hash.  2**(MARKS - 6) rows at most."""
+    place = F.col("place")
+    places = spans.select(_place(F.col("__id"), F.col("__key")).alias("place"))
+    return places.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("__bits"))
+
+
+def _place(doc_id, key):
+    return F.pmod(F.xxhash64(doc_id, key), F.lit(1 << MARKS))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the kept words joined by a space)."""
-    spans = removed_spans(docs, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    both = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key")), "left").drop("__id", "__key")
+    """docs with n_words, n_removed and kept_text (the kept words joined by a space).
+
+    Only documents that a bitmap of fixed size says may lose words are shuffled to
+    meet their spans; the bitmap alone is sent to all tasks.
+    """
+    spans = stored(removed_spans(docs, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "spans")
+    mine = F.col("doc_id").cast("long")
+    placed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__place", _place(mine, F.col("__own")))
+    flagged = placed.join(F.broadcast(marked(spans)), F.shiftright("__place", 6) == F.col("__word"), "left")
+    flagged = flagged.withColumn("__maybe", F.expr("coalesce(getbit(__bits, cast(__place & 63 AS int)), 0) = 1")).drop("__word", "__bits", "__place")
+    some = flagged.where("__maybe").join(spans, (mine == F.col("__id")) & (F.col("__own") == F.col("__key")), "left").drop("__id", "__key")
+    both = flagged.where("NOT __maybe").withColumn("__spans", F.lit(None).cast("binary")).unionByName(some).drop("__own", "__maybe")
 
     def cut(part: pa.RecordBatch) -> list:
         text, spans = (part.column(part.schema.get_field_index(x)) for x in ("text", "__spans"))
