@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import forget, stored
 
 #: Sample size, least support and lift of a candidate; words that a worker remembers and their greatest length.
 ROWS, SUPPORT, LIFT, CACHE, LONG = 12_000, 3, 3.0, 300_000, 64
@@ -288,8 +289,8 @@ def learn(rows: DataFrame) -> Lexicon:
             some = names[at : at + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([x.get(t, 0) for t in some], pa.int64()) for x in (toxic, clean, times))], names=["term", "toxic", "clean", "times"])
 
-    rows = rows.select("text", "y")
-    counts = rows.mapInArrow(count, "term string, toxic long, clean long, times long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "times")))
+    rows = stored(rows.select("text", "y"), "sample")
+    counts = stored(rows.mapInArrow(count, "term string, toxic long, clean long, times long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "times"))), "terms")
     top = counts.where("term = ''").first()
     n_toxic, n_clean, n_words = (top["toxic"], top["clean"], top["times"]) if top else (0, 0, 0)
     lift = (F.col("toxic") + 0.5) * (n_clean + 1) / ((F.col("clean") + 0.5) * (n_toxic + 1))
@@ -318,6 +319,8 @@ def learn(rows: DataFrame) -> Lexicon:
                 by.setdefault(i, set()).add(k)
             else:
                 against[i] = against.get(i, 0) + 1
+    forget(rows)
+    forget(counts)
     chosen: dict[str, tuple[float, int]] = {}
 
     def rank(i: int) -> tuple:
