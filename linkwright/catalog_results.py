@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .operators import privacy as P
 from .operators import results as R
 from .registry import query, table
 from .sources import files, sinks
+from .storage import new_path
 
 
 def shared(spark) -> str:
     """A new folder where driver and executors both read and write."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    return new_path(spark)
 
 
 def scored(spark, sf_dir):
@@ -82,16 +80,89 @@ def results_main_flat(spark, sf_dir):
     return R.main_flat(_matched(spark, sf_dir)).withColumn("match_score", F.round("match_score", 6))
 
 
-@query(None)
+@query(f"SELECT round_even(s_acctbal / 100, 2) AS confidence_score, s_suppkey AS f1_s_suppkey, s_name AS f1_s_name, s_acctbal AS f1_value, n_nationkey AS f2_n_nationkey, n_name AS f2_n_name, n_regionkey::DOUBLE AS f2_value, 'exact' AS algorithm {_JOINED}")
 def results_web_flat(spark, sf_dir):
     return R.web_flat(_matched(spark, sf_dir))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query(f"SELECT round(s_acctbal / 100, 6) AS match_score, s_suppkey AS a_s_suppkey, s_name AS a_s_name, s_acctbal AS a_value, n_regionkey::DOUBLE AS b_value, n_nationkey AS b_n_nationkey, n_name AS b_n_name {_JOINED}")
+def results_prefixes(spark, sf_dir):
+    """Both records' columns with the prefixes that a job configures."""
+    return R.main_flat(_matched(spark, sf_dir), prefixes=("a_", "b_")).withColumn("match_score", F.round("match_score", 6))
+
+
+@query(f"SELECT round(s_acctbal / 100, 6) AS match_score, s_suppkey, n_name {_JOINED} WHERE s_acctbal / 100 < 40")
+def results_low_confidence(spark, sf_dir):
+    return R.low_confidence(_matched(spark, sf_dir), 40).select(F.round("match_score", 6).alias("match_score"), "s_suppkey", "n_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN l_tax END AS x FROM lineitem")
+def results_without_nan(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 2, float("nan")).otherwise(F.col("l_tax")).alias("x"))
+    return R.without_nan(li)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def results_json_round_trip(spark, sf_dir):
+    """A document for each customer's orders, and its records again."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    doc = o.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("matched_records"))).alias("j"))
+    return R.from_json(doc, "j", "o_orderkey: long, o_orderstatus: string, o_totalprice: double")
+
+
+# ---- exports, read back
+
+
+def _result(spark, sf_dir):
+    """A result of linking suppliers with their nations."""
+    from .operators.linkage import LinkageResult
+
+    m = _matched(spark, sf_dir).withColumns({"id1": F.col("record1.s_suppkey"), "id2": F.col("record2.n_nationkey")})
     n = table(spark, sf_dir, "nation")
-    doc = n.agg(F.to_json(F.struct(F.collect_list(F.struct(*n.columns)).alias("matched_records"))).alias("j"))  # a small dimension
-    return R.from_json(doc, "j", "n_nationkey: int, n_name: string, n_regionkey: int")
+    statistics = m.agg(F.count("*").alias("matches"))
+    return LinkageResult(m, n.where("n_nationkey < 0"), n.where("n_regionkey = 1"), statistics, {"threshold": 75.0})
+
+
+_EXPORTED = f"SELECT s_suppkey::VARCHAR AS record1_s_suppkey, n_name AS record2_n_name, 'a, b' AS matching_fields, true AS dated {_JOINED}"
+
+
+@query(_EXPORTED)
+def export_csv(spark, sf_dir):
+    path = sinks.export_csv(_result(spark, sf_dir).matched, shared(spark))
+    back = spark.read.option("header", True).csv(path)
+    return back.select("record1_s_suppkey", "record2_n_name", "matching_fields", F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT").alias("dated"))
+
+
+@query(f"SELECT 'matched' AS part, count(*) AS n {_JOINED} UNION ALL SELECT 'unmatched_1', 0 UNION ALL SELECT 'unmatched_2', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'statistics', 1")
+def export_json(spark, sf_dir):
+    path = sinks.export_json(_result(spark, sf_dir), shared(spark))
+    parts = [spark.read.text(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name in ("matched", "unmatched_1", "unmatched_2", "statistics")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"SELECT s_suppkey, n_name, round(s_acctbal / 100, 6) AS confidence {_JOINED} WHERE s_acctbal / 100 >= 20 ORDER BY s_acctbal DESC, s_suppkey, n_nationkey LIMIT 10 OFFSET 10")
+def export_dispatched(spark, sf_dir):
+    """Filtered, sorted, the second page of ten, written with its types and read back."""
+    export = sinks.Export("parquet", least=20.0, fields=("a",), page=2, page_size=10)
+    back = sinks.load_result(spark, sinks.export_result(_result(spark, sf_dir), export, shared(spark)))
+    return back.matched.select("record1.s_suppkey", "record2.n_name", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, printf('%.2f', c_acctbal) AS c_acctbal FROM customer")
+def export_download(spark, sf_dir):
+    """One CSV file with a byte order mark, quotes and two places, made of JSON lines."""
+    source = sinks.save(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), shared(spark), "json")[0]
+    to = shared(spark) + ".csv"
+    sinks.download(spark, source, to, "csv")
+    return files.read_csv(spark, to)
+
+
+@query("SELECT count(*) AS rows, max(n) <= 500 AS bounded FROM (SELECT 500 AS n, c_custkey FROM customer)")
+def export_chunked(spark, sf_dir):
+    """Files of at most 500 rows."""
+    path = sinks.save_chunked(table(spark, sf_dir, "customer"), shared(spark), 500)
+    by_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"))
+    return by_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 500).alias("bounded"))
 
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer")
@@ -103,6 +174,20 @@ def scan_csv(spark, sf_dir):
     return files.read_csv(spark, part)
 
 
+@query("SELECT (SELECT count(*) FROM customer) AS rows, 4 AS n_columns")
+def scan_count_lines(spark, sf_dir):
+    """Rows and columns of a written CSV file, one record a line."""
+    path = sinks.save(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), shared(spark), "csv")[0]
+    facts = files.info(spark, path)
+    return spark.createDataFrame([(files.count_lines_csv(spark, path), len(facts["columns"]))], "rows long, n_columns int")
+
+
+@query("SELECT p_partkey, strpos(p_partkey || ',' || p_name, 'ring') - 1 AS at FROM part WHERE contains(p_name, 'ring')")
+def scan_find_bytes(spark, sf_dir):
+    path = sinks.save(table(spark, sf_dir, "part").select("p_partkey", "p_name"), shared(spark), "csv")[0]
+    return files.find_bytes(spark, path, b"ring").select(F.split("line", ",")[0].cast("long").alias("p_partkey"), F.col("at").cast("long").alias("at"))
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def scan_json_lines(spark, sf_dir):
     path = sinks.save(table(spark, sf_dir, "nation"), shared(spark), "json")[0]
@@ -178,16 +263,55 @@ def pii_rules(spark, sf_dir):
     return f.select("pii_type", "value", safe.alias("safe"), P.hashed(F.col("value")).alias("hashed"))
 
 
-@query(None)
+_TEXT_RULES = {
+    "email": "CASE WHEN strpos({v}, '@') > 0 THEN repeat('*', strpos({v}, '@') - 1) || substr({v}, strpos({v}, '@')) ELSE repeat('*', length({v})) END",
+    "ip_address": "regexp_replace({v}, '^([0-9]+)\\.([0-9]+)\\..*$', '\\1.\\2.xxx.xxx')",
+    "date_of_birth": "CASE WHEN contains({v}, '/') AND regexp_matches({v}, '^\\d{{2}}/\\d{{2}}/\\d{{4}}') THEN substr({v}, 1, 7) || 'xxxx' ELSE substr({v}, 1, length({v}) - 1) || 'x' END",
+}
+_DIGITS = "CASE WHEN length({v}) > 4 THEN repeat('*', length({v}) - 4) || right({v}, 4) ELSE repeat('*', length({v})) END"
+
+
+def _sql_replaced(source: str, rules: dict) -> str:
+    """The text put together again from the pieces between the matches and the replaced matches, type after type."""
+    for kind, (p, _) in P.PATTERNS.items():
+        rule = rules.get(kind, _DIGITS).format(v="f[i]")
+        glued = f"array_to_string([p[i] || CASE WHEN i <= len(f) THEN {rule} ELSE '' END for i in range(1, len(p) + 1)], '')"
+        source = f"SELECT doc_id, CASE WHEN len(f) > 0 THEN {glued} ELSE text END AS text FROM (SELECT doc_id, text, string_split_regex(text, '(?i){p}') AS p, regexp_extract_all(text, '(?i){p}') AS f FROM ({source}))"
+    return source
+
+
+@query(_sql_replaced("SELECT doc_id, text FROM documents", _TEXT_RULES))
 def pii_anonymize(spark, sf_dir):
     return P.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["text"])
 
 
-@query(None)
+@query(_sql_replaced("SELECT doc_id, text FROM documents", {k: "'[REDACTED]'" if k == "email" else "''" for k in P.PATTERNS}))
+def pii_remove_replace(spark, sf_dir):
+    """E-mail addresses replaced by a mark, everything else removed."""
+    policy = P.Policy(rules={k: ("replace", {}) if k == "email" else ("remove", {}) for k in P.PATTERNS})
+    return P.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), policy, columns=["text"])
+
+
+_PLACED = " UNION ALL ".join(
+    f"SELECT doc_id AS id, '{k}' AS pii_type, f[i] AS value, {c}::DOUBLE AS confidence, list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in f[1:i - 1]]), 0) AS s FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '(?i){p}') AS p, regexp_extract_all(text, '(?i){p}') AS f FROM documents))"
+    for k, (p, c) in P.PATTERNS.items()
+)
+
+
+@query(f'SELECT id, pii_type, value, confidence, s::INTEGER AS start, (s + length(value))::INTEGER AS "end" FROM ({_PLACED})')
 def pii_positions(spark, sf_dir):
     return P.positions(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("SELECT event_type, count(*) AS n FROM (VALUES ('read'), ('write'), ('read')) t(event_type) GROUP BY 1")
+def pii_audit_log(spark, sf_dir):
+    """Events appended to a log and counted from it."""
+    path = shared(spark)
+    for kind in ("read", "write", "read"):
+        P.log_audit(spark, path, kind, "ann")
+    return P.audit_summary(P.audit_log(spark, path)).select("event_type", "n")
+
+
 @query("""WITH f AS (SELECT p_name AS v, min(p_partkey) AS o FROM part GROUP BY p_name), n AS (SELECT v, printf('ANON_%06d', row_number() OVER (ORDER BY o, v)) AS a FROM f)
 SELECT p_partkey, a AS p_name FROM part JOIN n ON p_name = v""")
 def pii_pseudonymize(spark, sf_dir):

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from .catalog_results import shared
 from .operators import telemetry as T
 from .registry import query, table
 from .streaming import monitor
@@ -73,6 +70,13 @@ def error_groups(spark, sf_dir):
     return T.error_groups(errors(spark, sf_dir))
 
 
+@query(f"SELECT md5(concat_ws(':', kind, module, function, line)) AS signature, count(*) AS n FROM {ERRORS} GROUP BY kind, module, function, line HAVING max(ts) >= TIMESTAMP '2024-01-30 18:00:00'")
+def error_groups_since(spark, sf_dir):
+    """Groups that were seen in a time window."""
+    since = F.lit("2024-01-30 18:00:00").cast(events(spark, sf_dir).schema["ts"].dataType)
+    return T.error_groups(errors(spark, sf_dir), seen_from=since).select("signature", "n")
+
+
 @query(f"SELECT count(*) AS total_errors, count(DISTINCT kind) AS unique_types, round(count(*) / 1440.0::DOUBLE, 6) AS rate_per_minute FROM {ERRORS} WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE")
 def error_statistics(spark, sf_dir):
     now = F.lit(NOW).cast(events(spark, sf_dir).schema["ts"].dataType)
@@ -94,12 +98,6 @@ def job_queue_stats(spark, sf_dir):
     return T.counts_by(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "status")
 
 
-@query("SELECT o_orderkey AS job_id FROM orders ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 100")
-def job_queue_order(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"))
-    return monitor.queue_order(o).limit(100).select("job_id")
-
-
 @query("SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_orderdate NULLS FIRST, o_orderkey) AS place FROM orders")
 def job_queue_places(spark, sf_dir):
     """Every job with its place in the order, from 1."""
@@ -114,24 +112,39 @@ def newest_first(spark, sf_dir):
     return newest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 25, ("o_orderkey",))
 
 
-@query("""WITH s AS (SELECT user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS d, ts FROM events)
-SELECT user_id AS operation, event_id AS step, round(d, 6) AS duration, round(avg(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg_duration FROM s""")
+@query("""WITH s AS (SELECT user_id, event_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS d FROM events),
+a AS (SELECT *, coalesce(avg(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / greatest(event_id, 1)) AS m FROM s)
+SELECT user_id AS operation, event_id AS step, round(d, 6) AS duration, round(m, 4) AS avg_duration, round(CASE WHEN event_id > 0 THEN m * greatest(5000 - event_id, 0) END, 1) AS eta FROM a""")
 def progress_eta(spark, sf_dir):
-    s = events(spark, sf_dir).select(F.col("user_id").alias("operation"), "ts", F.col("event_id").alias("step"), F.lit(1_000_000).alias("total"))
-    return T.eta(s).select("operation", "step", F.round("duration", 6).alias("duration"), F.round("avg_duration", 4).alias("avg_duration"))
+    s = events(spark, sf_dir).select(F.col("user_id").alias("operation"), "ts", F.col("event_id").alias("step"), F.lit(5000).alias("total"), F.lit("2024-01-01").cast("timestamp").alias("started_at"))
+    return T.eta(s).select("operation", "step", F.round("duration", 6).alias("duration"), F.round("avg_duration", 4).alias("avg_duration"), F.round("eta", 1).alias("eta"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p > 0 THEN floor((100 - p) / (p / e))::BIGINT END AS remaining FROM (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE AS p, (o_custkey + 1)::DOUBLE AS e FROM orders)")
+def remaining_time(spark, sf_dir):
+    progress, elapsed = (F.col("o_orderkey") % 101).cast("double"), (F.col("o_custkey") + 1).cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.remaining_time(progress, elapsed).alias("remaining"))
 
 
-_STORED = "(SELECT o_orderkey AS result_id, o_totalprice::BIGINT AS size, o_orderdate AS created_at FROM orders) r"
+_STORED = "(SELECT o_orderkey AS result_id, round(o_totalprice)::BIGINT AS size, o_orderdate AS created_at, o_orderstatus = 'O' AS is_public, o_orderkey % 3 = 0 AS compressed, CASE WHEN o_orderkey % 5 = 0 THEN ['a'] ELSE [] END AS shared_with FROM orders) r"
 
 
 def stored_results(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result_id"), F.round("o_totalprice").cast("long").alias("size"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("last_accessed"))
+    key = F.col("o_orderkey")
+    shared_with = F.when(key % 5 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select(key.alias("result_id"), F.round("o_totalprice").cast("long").alias("size"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("last_accessed"), (F.col("o_orderstatus") == "O").alias("is_public"), (key % 3 == 0).alias("compressed"), shared_with.alias("shared_with"))
 
 
-@query(f"SELECT CASE WHEN d <= 1 THEN '1_day' WHEN d <= 7 THEN '7_days' WHEN d <= 30 THEN '30_days' ELSE 'older' END AS age, count(*) AS n FROM (SELECT (epoch(TIMESTAMP '1998-01-01') - epoch(created_at)) / 86400 AS d FROM {_STORED} WHERE created_at <= TIMESTAMP '1998-01-01') GROUP BY 1")
+@query(f"SELECT CASE WHEN d <= 1 THEN '1_day' WHEN d <= 7 THEN '7_days' WHEN d <= 30 THEN '30_days' ELSE 'older' END AS age, count(*) AS n, sum(size)::BIGINT AS bytes, count(*) FILTER (compressed) AS compressed, count(*) FILTER (is_public) AS public, count(*) FILTER (len(shared_with) > 0) AS shared FROM (SELECT *, (epoch(TIMESTAMP '1998-01-01') - epoch(created_at)) / 86400 AS d FROM {_STORED}) GROUP BY 1")
 def storage_by_age(spark, sf_dir):
-    r = stored_results(spark, sf_dir).where("created_at <= TIMESTAMP_NTZ '1998-01-01'")
-    return T.storage_info(r.withColumn("created_at", F.col("created_at").cast("timestamp")), F.lit("1998-01-01").cast("timestamp")).select("age", "n")
+    r = stored_results(spark, sf_dir)
+    return T.storage_info(r.withColumn("created_at", F.col("created_at").cast("timestamp")), F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("SELECT o_orderstatus AS user, count(*) AS files, count(*) FILTER (o_orderkey % 4 > 0) AS with_pii, count(*) FILTER (o_orderkey % 2 = 0) AS anonymized, sum(o_orderkey % 4)::BIGINT AS n_pii, (list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC))[1:10] AS recent FROM orders GROUP BY 1")
+def processed_files(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return T.processed_files(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("user"), key.alias("file_id"), F.col("o_orderdate").alias("processed_at"), (key % 4).alias("n_pii"), (key % 2 == 0).alias("anonymized")))
 
 
 @query("WITH r AS (SELECT o_orderkey AS result_id, round(o_totalprice)::BIGINT AS size, o_orderdate AS t FROM orders), c AS (SELECT *, coalesce(sum(size) OVER (ORDER BY t, result_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(size) OVER () AS total FROM r) SELECT result_id FROM c WHERE freed < total - 0.8 * 100000000")
@@ -152,24 +165,110 @@ def health_rollup(spark, sf_dir):
     return T.health(checks).withColumn("avg_duration", F.round("avg_duration", 6))
 
 
-_RATES = "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) / 300.0::DOUBLE, 9) AS rate, round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 6) AS error_ratio, round(avg(value), 6) AS avg_value FROM events GROUP BY 1"
+def _sql_quantile(q: float) -> str:
+    """Linear within the bucket of a histogram over T.BOUNDS that holds the rank."""
+    upto = [f"count(*) FILTER (value <= {b})" for b in T.BOUNDS]
+    cases, low, below = [], 0.0, "0"
+    for b, n in zip(T.BOUNDS, upto, strict=True):
+        cases.append(f"WHEN {n} >= {q}::DOUBLE * count(value) THEN {low} + ({b} - {low})::DOUBLE * ({q}::DOUBLE * count(value) - {below}) / ({n} - {below})")
+        low, below = b, n
+    return f"CASE {' '.join(cases)} ELSE {T.BOUNDS[-1]} END"
 
 
-def _rates(spark, sf_dir):
-    return T.windowed_rates(events(spark, sf_dir).withColumnRenamed("event_type", "kind"))
+_RATES = f"SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) / 300.0::DOUBLE, 9) AS rate, round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 6) AS error_ratio, round(avg(value), 6) AS avg_value, round({_sql_quantile(0.95)}, 6) AS p95, round({_sql_quantile(0.99)}, 6) AS p99 FROM events GROUP BY 1"
+
+
+def _rates(spark, sf_dir, minutes=5):
+    return T.windowed_rates(events(spark, sf_dir).withColumnRenamed("event_type", "kind"), minutes)
+
+
+def _rounded_rates(spark, sf_dir):
+    return _rates(spark, sf_dir).withColumns({c: F.round(c, 9 if c == "rate" else 6) for c in ("rate", "error_ratio", "avg_value", "p95", "p99")})
 
 
 @query(_RATES)
 def recording_rules(spark, sf_dir):
-    return _rates(spark, sf_dir).select("window_start", "n", "errors", F.round("rate", 9).alias("rate"), F.round("error_ratio", 6).alias("error_ratio"), F.round("avg_value", 6).alias("avg_value"))
+    return _rounded_rates(spark, sf_dir)
 
 
-@query(f"WITH r AS ({_RATES}) SELECT window_start, 'many_errors' AS alert FROM r WHERE error_ratio > 0.5 UNION ALL SELECT window_start, 'low_rate' FROM r WHERE n < 2")
+def _sql_increase(hours: int) -> str:
+    return f"SELECT time_bucket(INTERVAL {hours} HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, round(sum(value), 4) AS volume, round(count(*) FILTER (event_type <> 'error')::DOUBLE / count(*), 6) AS success_rate FROM events GROUP BY 1"
+
+
+@query(f"SELECT 1 AS hours, * FROM ({_sql_increase(1)}) UNION ALL SELECT 24, * FROM ({_sql_increase(24)})")
+def recording_increases(spark, sf_dir):
+    e = events(spark, sf_dir).withColumnRenamed("event_type", "kind")
+    hourly, daily = (T.increases(e, h).select(F.lit(h).alias("hours"), "window_start", "n", F.round("volume", 4).alias("volume"), F.round("success_rate", 6).alias("success_rate")) for h in (1, 24))
+    return hourly.unionByName(daily)
+
+
+@query(f"WITH r AS ({_RATES}), d AS (SELECT date_trunc('day', window_start)::TIMESTAMP AS day, sum(avg_value) AS s, count(avg_value) AS k FROM r GROUP BY 1) SELECT a.day, round(sum(b.s) / sum(b.k), 5) AS average FROM d a JOIN d b ON b.day > a.day - INTERVAL 7 DAY AND b.day <= a.day GROUP BY a.day")
+def recording_weekly_average(spark, sf_dir):
+    return T.average_over_time(_rounded_rates(spark, sf_dir), "avg_value").select("day", F.round("average", 5).alias("average"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS average FROM events GROUP BY 1")
+def recording_average_by(spark, sf_dir):
+    return T.average_by(events(spark, sf_dir), "event_type", "value").withColumn("average", F.round("average", 6))
+
+
+_METRICS = {"queue_size": "sum(value)", "cpu_percent": "max(value)", "throughput": "3 * sum(value)", "matching_accuracy": "avg(value) / 100", "user_satisfaction": "least(1, avg(value) / 60)", "up": "CASE WHEN min(value) > 2 THEN 1 ELSE 0 END", "missing_replicas": "count(CASE WHEN event_type = 'error' THEN 1 END)"}
+_WINDOWS = " UNION ALL ".join(f"SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, '{m}' AS metric, round(({x})::DOUBLE, 6) AS value FROM events GROUP BY 1" for m, x in _METRICS.items())
+
+
+def _sql_alert(name: str) -> str:
+    metric, op, limit, wait = T.ALERTS[name]
+    need = max(1, -(-wait // 5))
+    hit = f"SELECT window_start FROM w WHERE metric = '{metric}' AND value {'=' if op == '==' else op} {limit}"
+    back = " ".join(f"AND window_start - INTERVAL {5 * k} MINUTE IN ({hit})" for k in range(1, need))
+    return f"SELECT '{name}' AS alert, window_start FROM ({hit}) WHERE true {back}"
+
+
+@query(f"WITH w AS MATERIALIZED ({_WINDOWS}) " + " UNION ALL ".join(_sql_alert(name) for name, rule in T.ALERTS.items() if rule[0] in _METRICS))
 def alert_rules(spark, sf_dir):
+    """The rules whose metrics can be made of events, each with the time for which it has to hold."""
+    e = events(spark, sf_dir).groupBy(F.window("ts", "5 minutes").alias("w"))
+    each = e.agg(*[F.expr(f"round(cast({x} AS double), 6)").alias(m) for m, x in _METRICS.items()])
+    rows = each.select(F.col("w.start").alias("window_start"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in _METRICS])).alias("r")).select("window_start", "r.*")
+    return T.alerting(rows)
+
+
+@query(f"WITH r AS ({_RATES}) SELECT window_start, 'many_errors' AS alert FROM r WHERE error_ratio > 0.5 UNION ALL SELECT window_start, 'low_rate' FROM r WHERE n < 2")
+def alert_conditions(spark, sf_dir):
     rules = {"many_errors": F.col("error_ratio") > 0.5, "low_rate": F.col("n") < 2}
     return T.alerts(_rates(spark, sf_dir), rules).select("window_start", "alert")
 
 
+_TRIED = "(SELECT o_orderkey AS job_id, o_orderkey % 7 AS k FROM orders)"
+
+
+@query(f"SELECT job_id, CASE WHEN k <= 3 THEN 'done' ELSE 'dead' END AS status, least(k, 4)::INTEGER AS retries FROM {_TRIED}")
+def queue_work(spark, sf_dir):
+    """Every order as a message that succeeds at its o_orderkey % 7-th repetition; dead after three."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"))
+    return monitor.work(monitor.put(o), lambda m: m.withColumn("acknowledged", F.col("retries") >= F.col("job_id") % 7)).select("job_id", "status", "retries")
+
+
+@query(f"SELECT CASE WHEN k <= 3 THEN 'done' ELSE 'dead' END AS status, count(*) AS n, sum(least(k, 4))::BIGINT AS retries FROM {_TRIED} GROUP BY 1")
+def queue_stats(spark, sf_dir):
+    return monitor.queue_stats(queue_work(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 3 = 1 THEN 'queued' ELSE 'queued' END AS status, CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END AS retries FROM orders")
+def queue_settle(spark, sf_dir):
+    """A round in which a third of the messages succeed, a third fail and a third aren't tried."""
+    o = monitor.put(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at")))
+    tried = o.where("job_id % 3 < 2").select("job_id", (F.col("job_id") % 3 == 0).alias("acknowledged"))
+    return monitor.settle(o, tried).select("job_id", "status", "retries")
+
+
+@query("SELECT o_orderkey AS job_id FROM orders ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey LIMIT 100")
+def queue_take(spark, sf_dir):
+    """The next hundred messages."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("created_at"))
+    return monitor.take(monitor.put(o), 100).select("job_id")
+
+
 @query("WITH RECURSIVE t AS (SELECT turn + conv_id * 1000 AS span_id, 0 AS depth, turn + conv_id * 1000 AS root FROM conversations WHERE turn = 0 UNION ALL SELECT c.turn + c.conv_id * 1000, t.depth + 1, t.root FROM conversations c JOIN t ON c.turn + c.conv_id * 1000 - 1 = t.span_id AND c.turn > 0) SELECT DISTINCT span_id, root, depth FROM t")
 def span_tree(spark, sf_dir):
     key = F.col("turn") + F.col("conv_id") * 1000
@@ -216,25 +315,23 @@ def event_stream(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS highest FROM events GROUP BY 1, 2")
 def stream_window_stats(spark, sf_dir):
-    name = f"w{uuid.uuid4().hex}"
-    monitor.run_once(monitor.window_stats(event_stream(spark, sf_dir), "event_type", "value"), name, shared(spark), "update")
-    last = spark.table(name).groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total", "highest"), "n").alias("s"))
+    rows = monitor.run_once(monitor.window_stats(event_stream(spark, sf_dir), "event_type", "value"))
+    last = rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total", "highest"), "n").alias("s"))
     return last.select("window_start", "event_type", "s.n", F.round("s.total", 4).alias("total"), "s.highest")
 
 
 @query("SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest(range(time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 1 MINUTE, INTERVAL 15 MINUTE)) AS w FROM events) GROUP BY ALL")
 def stream_sliding_counts(spark, sf_dir):
-    name = f"s{uuid.uuid4().hex}"
-    monitor.run_once(monitor.sliding_counts(event_stream(spark, sf_dir), "event_type", "60 minutes", "15 minutes"), name, shared(spark), "update")
-    return spark.table(name).groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
+    rows = monitor.run_once(monitor.sliding_counts(event_stream(spark, sf_dir), "event_type", "60 minutes", "15 minutes"))
+    return rows.groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
 
 
-@query(None)
+@query("""WITH RECURSIVE h AS (SELECT 'user ' || (user_id % 5)::VARCHAR AS rule, ts, value FROM events WHERE event_type = 'error'),
+a AS (SELECT rule, min(ts) AS ts FROM h GROUP BY rule UNION ALL SELECT a.rule, min(h.ts) FROM a JOIN h ON h.rule = a.rule AND h.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.rule)
+SELECT a.rule, a.ts, h.value FROM a JOIN h ON h.rule = a.rule AND h.ts = a.ts""")
 def stream_alerts(spark, sf_dir):
-    name = f"a{uuid.uuid4().hex}"
     hits = event_stream(spark, sf_dir).where("event_type = 'error'").select(F.concat(F.lit("user "), (F.col("user_id") % 5).cast("string")).alias("rule"), "ts", "value")
-    monitor.run_once(monitor.alerts(hits, 3600.0), name, shared(spark), "append")
-    return spark.table(name)
+    return monitor.run_once(monitor.alerts(hits, 3600.0), "append").drop("batch")
 
 
 @query("SELECT user_id AS operation, coalesce(arg_min(event_type, ts) FILTER (event_type = 'error'), arg_max(event_type, ts)) AS status FROM events GROUP BY user_id")

@@ -20,7 +20,7 @@ DIGRAPHS = [("ё", "yo"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch
 LATIN_RULES = [("o'", "o"), ("g'", "g"), ("tosh", "tash"), ("kh", "x"), ("ts", "c"), ("iy", "i"), ("ey", "e")]
 ADMIN_WORDS = ["мчж", "mchj", "махалла", "mahalla", "туман", "tuman", "район", "rayon", "вилоят", "viloyat", "область", "oblast"]
 PLACES = ["tashkent", "toshkent", "ташкент", "samarkand", "самарканд", "bukhara", "бухара", "andijan", "андижан", "namangan", "наманган"]
-#: Characters that sound alike; a character's variations are these and the Cyrillic letters that map to it.
+# Characters that sound alike; a character's variations are these and the Cyrillic letters that map to it.
 SIMILAR = {
     "i": "iyы", "y": "yiы", "ы": "ыiy", "o": "ouў", "u": "uoў", "ў": "ўou", "k": "kqқ", "q": "qkқ", "қ": "қkq", "g": "gғ", "ғ": "ғg",
     "h": "hҳx", "ҳ": "ҳhx", "x": "xhҳ", "s": "sz", "z": "zs", "b": "bp", "p": "pb", "d": "dt", "t": "td", "v": "vw", "w": "wv",

@@ -45,7 +45,15 @@ def ngram_keys(c: Column, n: int = NGRAM, skips: int = 0, keep_empty: bool = Fal
     return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(short)
 
 
-STRATEGIES = {"exact_prefix": prefix_keys, "phonetic_key": phonetic_keys, "ngram": ngram_keys}
+def whole_key(c: Column) -> Column:
+    """The value itself, in lower case."""
+    t = F.lower(T.trimmed(c))
+    return F.when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
+
+
+STRATEGIES = {"exact_prefix": prefix_keys, "phonetic_key": phonetic_keys, "ngram": ngram_keys, "whole": whole_key}
+#: Fewer keys that bring the same records together: who shares a longer prefix shares the shortest.
+PAIRING = {"exact_prefix": lambda c: prefix_keys(c, (min(PREFIXES),))}
 
 
 def register(name: str, keys) -> None:
@@ -53,13 +61,16 @@ def register(name: str, keys) -> None:
     STRATEGIES[name] = keys
 
 
-def index(df: DataFrame, id_column: str, fields: list[str], strategies: list[str]) -> DataFrame:
-    """Distinct (strategy, key, id) rows.  Keys of all fields share one space, so fields can meet."""
-    parts = []
+def index(df: DataFrame, id_column: str, fields: list[str], strategies: list[str], pairing: bool = False) -> DataFrame:
+    """Distinct (strategy, key, id) rows.  Keys of all fields share one space, so fields can meet.
+
+    pairing: without keys that others imply, which makes the same pairs of fewer rows.
+    """
+    parts, makers = [], STRATEGIES | PAIRING if pairing else STRATEGIES
     for field in fields:
         for name in strategies:
-            keys = F.transform(STRATEGIES[name](F.col(field).cast("string")), _tagged(name))
-            parts.append(F.when(F.col(field).isNotNull(), keys).otherwise(F.array().cast("array<struct<strategy:string,key:string>>")))
+            keys = F.transform(makers[name](F.col(f"`{field}`").cast("string")), _tagged(name))
+            parts.append(F.when(F.col(f"`{field}`").isNotNull(), keys).otherwise(F.array().cast("array<struct<strategy:string,key:string>>")))
     rows = df.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("k"))
     return rows.select("k.strategy", "k.key", "id")
 
@@ -86,6 +97,11 @@ def select_strategies(df: DataFrame, fields: list[str], order: str, strict: bool
     return chosen[:2] if n > FEW_FROM else chosen
 
 
+def selected(df: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """The strategies that select_strategies chooses by size and first values, a row each."""
+    return df.sparkSession.createDataFrame([(k, name) for k, name in enumerate(select_strategies(df, fields, order))], "place int, strategy string")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, max_block: int | None = None) -> DataFrame:
     """Distinct (id1, id2) of two indexes whose records share a key.
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored
 from . import blocking
 from .scoring import ORDER, Algorithm, FieldMapping, best, prepared, prepared_columns, with_scores
 
@@ -31,6 +32,8 @@ class LinkageConfig:
     cardinality: str = "many_to_many"
     strict: bool = False
     max_block: int | None = None
+    #: Pairs of fields that the blocking keys are made of, instead of those that are compared.
+    block_on: tuple[tuple[str, str], ...] | None = None
 
     def __post_init__(self):
         if not self.mappings:
@@ -59,14 +62,15 @@ def candidates(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linkage
     """(id1, id2) to compare: blocked, or all (the opt-in without blocking)."""
     if not config.use_blocking:
         return d1.select(F.col(id1).alias("id1")).crossJoin(d2.select(F.col(id2).alias("id2")))
-    fields1, fields2 = ([getattr(m, s) for m in config.mappings] for s in ("source", "target"))
+    fields1, fields2 = map(list, zip(*(config.block_on or [(m.source, m.target) for m in config.mappings]), strict=True))
     strategies = list(config.strategies or blocking.select_strategies(d1, fields1, id1, config.strict))
-    left, right = blocking.index(d1, id1, fields1, strategies), blocking.index(d2, id2, fields2, strategies)
+    fewer = config.max_block is None  # a bound on blocks is meant for all keys
+    left, right = blocking.index(d1, id1, fields1, strategies, fewer), blocking.index(d2, id2, fields2, strategies, fewer)
     return blocking.candidate_pairs(left, right, config.max_block)
 
 
 def score_pairs(pairs: DataFrame, d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: LinkageConfig) -> DataFrame:
-    """id1, id2, similarity, confidence, matched_fields, algorithm of every pair that scores above 0.
+    """id1, id2, similarity, confidence, matched_fields, algorithm, field_results of every pair that scores above 0.
 
     Normal forms are worked out once a record, before pairing.  Only what is
     compared travels with a pair; the records join again after the threshold.
@@ -122,16 +126,24 @@ def statistics(matches: DataFrame, n1: int, n2: int, n_compared: int | None, str
 
 
 def find_matches(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: LinkageConfig) -> LinkageResult:
-    """The whole linkage.  matched has id1, id2, record1, record2 and the best algorithm's score."""
+    """The whole linkage.  matched has id1, id2, record1, record2 and the best algorithm's score.
+
+    Candidates are stored and scored once; the matches are stored, and all results
+    are read from them.
+    """
     if d1 is None or d2 is None:
         raise ValueError("two tables are needed")
-    pairs = candidates(d1, d2, id1, id2, config)
+    pairs, n1, n2 = candidates(d1, d2, id1, id2, config), d1.count(), d2.count()
+    pairs = stored(pairs, "pairs") if config.use_blocking else pairs
+    n_compared = pairs.count() if config.use_blocking else n1 * n2
     scored = score_pairs(pairs, d1, d2, id1, id2, config).where(F.col("confidence") >= config.threshold)
-    matches = with_cardinality(scored, config.cardinality)
+    matches = stored(with_cardinality(scored, config.cardinality), "matches")
+    if config.use_blocking:
+        forget(pairs)
     r1 = d1.select(F.col(id1).alias("id1"), F.struct(*[F.col(f"`{c}`") for c in d1.columns]).alias("record1"))
     r2 = d2.select(F.col(id2).alias("id2"), F.struct(*[F.col(f"`{c}`") for c in d2.columns]).alias("record2"))
     full = matches.join(r1, "id1").join(r2, "id2")
-    stats = statistics(matches, d1.count(), d2.count(), None, config.strict)
+    stats = statistics(matches, n1, n2, n_compared, config.strict)
     left = unmatched(d1, id1, matches.select(F.col("id1").alias("__m")), config.strict)
     right = unmatched(d2, id2, matches.select(F.col("id2").alias("__m")), config.strict)
     return LinkageResult(full, left, right, stats, {"threshold": config.threshold, "algorithms": [a.kind for a in config.enabled()]})

@@ -73,10 +73,10 @@ def web_page(df: DataFrame, number: int = 1, size: int = 50) -> tuple[DataFrame,
     return page(df, number, size), {"page": number, "per_page": size, "total": total, "total_pages": -(-total // size)}
 
 
-def flat(matched: DataFrame) -> DataFrame:
-    """record1_*, record2_*, confidence and the matched fields joined by a comma."""
+def flat(matched: DataFrame, **more: Column) -> DataFrame:
+    """record1_*, record2_*, confidence and the matched fields joined by a comma; more: further columns."""
     side = lambda r: [F.col(r)[f].alias(f"{r}_{f}") for f in matched.schema[r].dataType.names]
-    return matched.select(*side("record1"), *side("record2"), F.col("confidence").alias("confidence_score"), F.array_join("matched_fields", ", ").alias("matching_fields"))
+    return matched.select(*side("record1"), *side("record2"), F.col("confidence").alias("confidence_score"), F.array_join("matched_fields", ", ").alias("matching_fields"), *[c.alias(n) for n, c in more.items()])
 
 
 def web_flat(matched: DataFrame) -> DataFrame:
@@ -85,10 +85,10 @@ def web_flat(matched: DataFrame) -> DataFrame:
     return matched.select(F.bround("confidence", 2).alias("confidence_score"), *side("record1", "f1"), *side("record2", "f2"), "algorithm")
 
 
-def main_flat(matched: DataFrame, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """match_score and the fields of both records; of equal names the second record's."""
-    taken = {f: F.col("record1")[f] for f in matched.schema["record1"].dataType.names} | {f: F.col("record2")[f] for f in matched.schema["record2"].dataType.names}
-    return matched.select(F.col("confidence").alias("match_score"), *[c.alias(prefix + f) for f, c in taken.items() if columns is None or f in columns])
+def main_flat(matched: DataFrame, columns: list[str] | None = None, prefixes: tuple[str, str] = ("", "")) -> DataFrame:
+    """match_score and the fields of both records with their prefixes; of equal names the second record's."""
+    taken = {p + f: (f, F.col(r)[f]) for r, p in zip(("record1", "record2"), prefixes, strict=True) for f in matched.schema[r].dataType.names}
+    return matched.select(F.col("confidence").alias("match_score"), *[c.alias(n) for n, (f, c) in taken.items() if columns is None or f in columns or n in columns])
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -106,6 +106,11 @@ def from_json(df: DataFrame, column: str, schema: str, records: str = "matched_r
     return df.select(F.explode(F.from_json(column, f"{records} array<struct<{schema}>>")[records]).alias("r")).select("r.*")
 
 
+def low_confidence(matched: DataFrame, threshold: float) -> DataFrame:
+    """Matches below a second threshold, flattened, least sure first: what a person should look at."""
+    return main_flat(low(matched, threshold)).orderBy("match_score")
+
+
 def newest(df: DataFrame, column: str, n: int, ties: tuple[str, ...]) -> DataFrame:
     return df.orderBy(F.col(column).desc(), *ties).limit(n)
 

@@ -159,6 +159,6 @@ def _record(k: int, kind: str, mappings: list[FieldMapping]) -> Column:
 
 def best(scores: list[tuple[str, Column]]) -> Column:
     """The algorithm with the highest similarity above 0; the earlier one of equals.  Null if none."""
-    ranked = F.array(*[F.struct(s["similarity"].alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("algorithm"), s["confidence"].alias("confidence"), s["matched_fields"].alias("matched_fields")) for i, (name, s) in enumerate(scores)])
-    top = F.array_max(ranked)
-    return F.when(top["s"] > 0, F.struct(top["s"].alias("similarity"), top["confidence"].alias("confidence"), top["matched_fields"].alias("matched_fields"), top["algorithm"].alias("algorithm")))
+    top = F.array_max(F.array(*[F.struct(s["similarity"].alias("s"), F.lit(-i).alias("o")) for i, (_, s) in enumerate(scores)]))
+    each = F.array(*[F.struct(s["similarity"].alias("similarity"), s["confidence"].alias("confidence"), s["matched_fields"].alias("matched_fields"), F.lit(name).alias("algorithm"), s["field_results"].alias("field_results")) for name, s in scores])
+    return F.when(top["s"] > 0, F.element_at(each, F.lit(1) - top["o"]))

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 SLOW, VERY_SLOW, ERRORS, MANY_ERRORS = 5.0, 10.0, 0.1, 0.2
 
 
-def exact_place(df: DataFrame, keys: list[str], column: str, qs: dict[str, float]) -> DataFrame:
-    """For each group the values at places int(q n) by a running count over distinct values: no list is gathered."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__k"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = counts.withColumns({"__c": F.sum("__k").over(by.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__k").over(by)})
-    out = [F.min(F.when(F.col("__c") > F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1), F.col(column))).alias(name) for name, q in qs.items()]
-    return run.groupBy(*keys).agg(*out)
+def exact_place(df: DataFrame, keys: list[str], column: str, qs: dict[str, float], ranges: int = 1024) -> DataFrame:
+    """For each group the values (numbers) at places int(q n), exactly, without sorting a group in one task.
+
+    A histogram of each group between its least and greatest value says in which
+    range a place lies; only distinct values of those ranges are then numbered.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v"))
+    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys], F.lit(True))
+    rest = lambda a: [F.col(f"{a}.`{k}`") for k in keys]
+    width = F.greatest((F.col("e.__high") - F.col("e.__low")).cast("double"), F.lit(1e-300))
+    number = F.least(F.floor((F.col("r.__v") - F.col("e.__low")).cast("double") / width * ranges), F.lit(ranges - 1)).cast("long")
+    counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k"))  # distinct values combine before any shuffle
+    ranged = counted.alias("r").join(ends.alias("e"), same("r", "e")).select(*rest("r"), "r.__v", "r.__k", "e.__n", number.alias("__b"))
+    sums = ranged.groupBy(*keys, "__b").agg(F.sum("__k").alias("__s"), F.first("__n").alias("__n"))
+    upto = sums.withColumn("__before", F.coalesce(F.sum("__s").over(by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1).cast("long").alias("at")) for name, q in qs.items()])
+    hit = upto.withColumn("p", F.explode(places)).where((F.col("p.at") >= F.col("__before")) & (F.col("p.at") < F.col("__before") + F.col("__s")))
+    hit = hit.select(*keys, "__b", "p.name", (F.col("p.at") - F.col("__before")).alias("__at"))
+    inside = ranged.alias("r").join(hit.alias("h"), same("r", "h") & (F.col("r.__b") == F.col("h.__b"))).select(*rest("r"), "h.name", "h.__at", "r.__v", "r.__k")
+    run = inside.withColumn("__c", F.sum("__k").over(Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys).agg(*[F.min(F.when((F.col("name") == name) & (F.col("__c") > F.col("__at")), F.col("__v"))).alias(name) for name in qs])
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
@@ -50,12 +68,17 @@ def signature(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def error_groups(events: DataFrame, last: int = 10) -> DataFrame:
-    """Errors by signature (columns kind, module, function, line, message, ts, event_id): counts, times, first message, last events."""
+def error_groups(events: DataFrame, last: int = 10, seen_from: Column | None = None) -> DataFrame:
+    """Errors by signature (columns kind, module, function, line, message, ts, event_id): counts, times, first message, last events.
+
+    seen_from: only groups whose last event isn't earlier.
+    """
     keyed = events.withColumn("signature", signature("kind", "module", "function", "line"))
     order = Window.partitionBy("signature").orderBy(F.desc("ts"), F.desc("event_id"))
     recent = keyed.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= last).groupBy("signature").agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "event_id"))), lambda x: x["event_id"]).alias("recent"))
-    return keyed.groupBy("signature").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("message", F.struct("ts", "event_id")).alias("message")).join(recent, "signature")
+    groups = keyed.groupBy("signature").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("message", F.struct("ts", "event_id")).alias("message"))
+    groups = groups if seen_from is None else groups.where(F.col("last_seen") >= seen_from)
+    return groups.join(recent, "signature")
 
 
 def last_events(events: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -78,13 +101,20 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def eta(steps: DataFrame, window: int = 50) -> DataFrame:
-    """Remaining seconds: mean of the last durations times remaining steps, of (operation, ts, step, total)."""
+    """Remaining seconds of (operation, ts, step, total): mean of the last durations times remaining steps.
+
+    Before there is a duration, the time since started_at (where that column is
+    given) over the steps done stands for the mean.
+    """
     order = Window.partitionBy("operation").orderBy("ts", "step")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    took = at - F.lag(at).over(order)
-    timed = steps.withColumn("duration", took / 1e6)
+    timed = steps.withColumn("duration", (at - F.lag(at).over(order)) / 1e6)
     mean = F.avg("duration").over(order.rowsBetween(1 - window, 0))
-    return timed.withColumns({"avg_duration": mean, "eta": mean * (F.col("total") - F.col("step"))})
+    if "started_at" in steps.columns:
+        elapsed = (at - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+        mean = F.coalesce(mean, elapsed / F.greatest(F.col("step"), F.lit(1)))
+    left = F.greatest(F.col("total") - F.col("step"), F.lit(0))
+    return timed.withColumn("avg_duration", mean).withColumn("eta", F.when((F.col("step") > 0) & (F.col("total") > 0), F.col("avg_duration") * left))
 
 
 def remaining_time(progress: Column, elapsed: Column) -> Column:
@@ -92,10 +122,20 @@ def remaining_time(progress: Column, elapsed: Column) -> Column:
 
 
 def storage_info(results: DataFrame, now: Column) -> DataFrame:
-    """Stored results by age: up to a day, a week, a month, older."""
+    """Stored results by age (up to a day, a week, a month, older): how many, bytes, and where known compressed, public and shared ones."""
     days = (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400
     age = F.when(days <= 1, "1_day").when(days <= 7, "7_days").when(days <= 30, "30_days").otherwise("older")
-    return results.groupBy(age.alias("age")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    kinds = {"compressed": ("compressed", F.col("compressed")), "is_public": ("public", F.col("is_public")), "shared_with": ("shared", F.size("shared_with") > 0)}
+    more = [F.count_if(holds).alias(name) for column, (name, holds) in kinds.items() if column in results.columns]
+    return results.groupBy(age.alias("age")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *more)
+
+
+def processed_files(files: DataFrame, recent: int = 10) -> DataFrame:
+    """By user (columns user, file_id, processed_at, n_pii, anonymized): files, those with personal data, anonymized ones, the newest files."""
+    order = Window.partitionBy("user").orderBy(F.desc("processed_at"), F.desc("file_id"))
+    last = files.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= recent).groupBy(F.col("user").alias("__u")).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", "file_id"))), lambda x: x["file_id"]).alias("recent"))
+    counts = files.groupBy("user").agg(F.count("*").alias("files"), F.count_if(F.col("n_pii") > 0).alias("with_pii"), F.count_if("anonymized").alias("anonymized"), F.sum("n_pii").alias("n_pii"))
+    return counts.join(last, F.col("user").eqNullSafe(F.col("__u"))).drop("__u")
 
 
 def evict(results: DataFrame, limit: int, target: float = 0.8, buckets: int = 1024) -> DataFrame:
@@ -135,11 +175,90 @@ def health(checks: DataFrame) -> DataFrame:
     return checks.agg(worst.alias("status"), F.count("*").alias("n"), F.avg("duration").alias("avg_duration"))
 
 
+#: Upper bounds of the buckets of a histogram, the last one open.
+BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0)
+
+
+def histogram(value: Column, bounds: tuple[float, ...] = BOUNDS) -> Column:
+    """An aggregate: how many values lie up to each bound, and all of them."""
+    return F.array(*[F.count_if(value <= b) for b in bounds], F.count(value))
+
+
+def histogram_quantile(counts: Column, q: float, bounds: tuple[float, ...] = BOUNDS) -> Column:
+    """The quantile of a histogram, linear within a bucket; in the open bucket the last bound."""
+    rank = F.lit(q) * counts[len(bounds)]
+    out, low, below = F.lit(float(bounds[-1])), 0.0, F.lit(0)
+    steps = []
+    for i, b in enumerate(bounds):
+        steps.append((counts[i] >= rank, low + (b - low) * (rank - below) / (counts[i] - below)))
+        low, below = b, counts[i]
+    for holds, value in reversed(steps):
+        out = F.when(holds, value).otherwise(out)
+    return F.when(counts[len(bounds)] > 0, out)
+
+
 def windowed_rates(events: DataFrame, minutes: int = 5) -> DataFrame:
     """Counts, errors, ratios and quantiles by event-time window, for recording rules (columns ts, kind, value)."""
     errors = F.count_if(F.col("kind") == "error")
     g = events.groupBy(F.window("ts", f"{minutes} minutes").alias("w"))
-    return g.agg(F.count("*").alias("n"), errors.alias("errors"), (F.count("*") / (60.0 * minutes)).alias("rate"), (errors / F.count("*")).alias("error_ratio"), F.avg("value").alias("avg_value"), F.percentile_approx("value", 0.95, 10_000).alias("p95")).select(F.col("w.start").alias("window_start"), "n", "errors", "rate", "error_ratio", "avg_value", "p95")
+    out = g.agg(F.count("*").alias("n"), errors.alias("errors"), (F.count("*") / (60.0 * minutes)).alias("rate"), (errors / F.count("*")).alias("error_ratio"), F.avg("value").alias("avg_value"), histogram(F.col("value")).alias("h"))
+    return out.select(F.col("w.start").alias("window_start"), "n", "errors", "rate", "error_ratio", "avg_value", histogram_quantile(F.col("h"), 0.95).alias("p95"), histogram_quantile(F.col("h"), 0.99).alias("p99"))
+
+
+def increases(events: DataFrame, hours: int) -> DataFrame:
+    """By window of so many hours: events, sum of values, and the share of events that are no errors (columns ts, kind, value)."""
+    g = events.groupBy(F.window("ts", f"{hours} hours").alias("w"))
+    ok = F.count_if(F.col("kind") != "error") / F.count("*")
+    return g.agg(F.count("*").alias("n"), F.sum("value").alias("volume"), ok.alias("success_rate")).select(F.col("w.start").alias("window_start"), "n", "volume", "success_rate")
+
+
+def average_over_time(windows: DataFrame, column: str, days: int = 7) -> DataFrame:
+    """By day the mean of a column of finer windows (window_start) over the days up to it; only a row a day is put in order."""
+    daily = windows.groupBy(F.date_trunc("day", "window_start").alias("day")).agg(F.sum(column).alias("s"), F.count(column).alias("k"))
+    over = daily.select(F.explode(F.sequence("day", F.col("day") + F.make_dt_interval(F.lit(days - 1)), F.expr("INTERVAL 1 DAY"))).alias("day"), "s", "k")
+    return over.groupBy("day").agg((F.sum("s") / F.sum("k")).alias("average")).join(daily.select("day"), "day")
+
+
+def average_by(df: DataFrame, key: str, column: str) -> DataFrame:
+    return df.groupBy(key).agg(F.avg(column).alias("average"))
+
+
+# Alert rules by name: metric, comparison, limit, minutes for which it has to hold.
+ALERTS = {
+    "HighErrorRate": ("error_rate", ">", 0.1, 2),
+    "HighResponseTime": ("response_time_p95", ">", 5, 3),
+    "HighMemoryUsage": ("memory_mb", ">", 800, 5),
+    "HighCPUUsage": ("cpu_percent", ">", 80, 5),
+    "PodRestarting": ("restarts_1h", ">", 0, 0),
+    "ServiceDown": ("up", "==", 0, 1),
+    "RedisConnectionFailed": ("redis_clients", "==", 0, 2),
+    "LowDiskSpace": ("disk_free_percent", "<", 10, 5),
+    "HighProcessingQueueSize": ("queue_size", ">", 100, 5),
+    "LowMatchingAccuracy": ("matching_accuracy", "<", 0.7, 10),
+    "LowProcessingThroughput": ("throughput", "<", 100, 5),
+    "LowCacheHitRatio": ("cache_hit_ratio", "<", 0.5, 10),
+    "LowUserSatisfaction": ("user_satisfaction", "<", 0.6, 15),
+    "HighResourceUtilization": ("resource_percent", ">", 90, 5),
+    "HighDataVolumeProcessing": ("data_volume_rate", ">", 100_000_000, 2),
+    "NodeNotReady": ("node_ready", "==", 0, 5),
+    "PodCrashLooping": ("restart_rate_15m", ">", 0, 5),
+    "DeploymentReplicaMismatch": ("missing_replicas", "!=", 0, 5),
+}
+
+
+def alerting(metrics: DataFrame, rules: dict[str, tuple[str, str, float, int]] | None = None, minutes: int = 5) -> DataFrame:
+    """(alert, window_start): windows at which a rule has held for its time, from mean values by window (window_start, metric, value).
+
+    A rule of m minutes needs all windows that begin within m minutes up to its own;
+    a window without values ends it.
+    """
+    rules = ALERTS if rules is None else rules
+    compare = {">": lambda a, b: a > b, "<": lambda a, b: a < b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+    each = [F.when((F.col("metric") == m) & compare[op](F.col("value"), F.lit(limit)), F.struct(F.lit(name).alias("alert"), F.lit(max(1, -(-wait // minutes))).alias("need"))) for name, (m, op, limit, wait) in rules.items()]
+    hits = metrics.select("window_start", F.explode(F.array_compact(F.array(*each))).alias("r")).select("window_start", "r.*")
+    # a hit counts for its own window and for those after it that look back to it
+    counted = hits.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("need") - 1))).groupBy("alert", "need", (F.col("window_start") + F.make_dt_interval(mins=F.col("at") * minutes)).alias("window_start"))
+    return counted.agg(F.count("*").alias("k"), F.max(F.col("at") == 0).alias("own")).where("own AND k = need").select("alert", "window_start")
 
 
 def alerts(rates: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -148,22 +267,13 @@ def alerts(rates: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rates.withColumn("alert", F.explode(hits))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to a new shared folder and read back: plans don't grow from round to round, and no row changes its range."""
-    conf = df.sparkSession.conf
-    at = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def span_tree(spans: DataFrame) -> DataFrame:
     """Depth of every span (span_id, parent_id) under its root; spans with an unknown ancestor are left out, cycles raise.
 
     Each round doubles the steps that the pointers of unfinished spans lead up, so
     the longest chain of n spans takes about log2(n) rounds.
     """
-    spans = _stored(spans.select("span_id", "parent_id"))
+    spans = stored(spans.select("span_id", "parent_id"))
     done = spans.where("parent_id IS NULL").select("span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"))
     left = spans.where("parent_id IS NOT NULL").select("span_id", F.col("parent_id").alias("up"))
     steps, n = 1, spans.count()
@@ -173,13 +283,13 @@ def span_tree(spans: DataFrame) -> DataFrame:
         # left holds all ways of exactly so many steps, done all shorter ones that end at a root
         near = left.alias("l").join(done.alias("d"), F.col("l.up") == F.col("d.span_id")).select("l.span_id", "d.root", (F.col("d.depth") + steps).alias("depth"))
         far = left.alias("l").join(left.alias("r"), F.col("l.up") == F.col("r.span_id")).select("l.span_id", "r.up")
-        done, left, steps = _stored(done.unionByName(near)), _stored(far), 2 * steps
+        done, left, steps = stored(done.unionByName(near)), stored(far), 2 * steps
     return done
 
 
 def places(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with place, its rows' number from 1 in the order: a count for each range, then numbers inside ranges."""
-    ranged = _stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     totals = ranged.groupBy("__p").agg(F.max("__n").alias("__c"))
     before = totals.alias("a").join(totals.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__c"), F.lit(0)).alias("__b"))

@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 from ..operators.linkage import LinkageConfig, LinkageResult, find_matches
 from ..operators.scoring import Algorithm, FieldMapping
 from ..sources.files import load
-from ..sources.sinks import save
+from ..sources.sinks import read_text, save, save_report
+from ..storage import stored
 
 CARDINALITY = {"one-to-one": "one_to_one", "one-to-many": "one_to_many", "many-to-one": "many_to_one", "many-to-many": "many_to_many"}
 #: Environment variables that overlay a configuration: where they go and as what.
@@ -32,6 +33,8 @@ class Job:
     format: str = "json"
     output_columns: list[str] = field(default_factory=list)
     prefixes: tuple[str, str] = ("", "")
+    #: Matches below this confidence go to a file of their own, too.
+    sure: float | None = None
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -71,7 +74,7 @@ def _application(c: dict) -> Job:
     algorithms = tuple(Algorithm(x.get("name") or x.get("type") or x.get("algorithm_type"), x.get("parameters", {}), x.get("enabled", True)) for x in m.get("algorithms", []))
     kind = CARDINALITY.get(m.get("matching_type", "many-to-many").replace("_", "-"), "many_to_many")
     config = LinkageConfig(mappings, algorithms, float(m.get("confidence_threshold", 75.0)), m.get("use_blocking", True), cardinality=kind if m.get("enforce_cardinality") else "many_to_many")
-    return Job(_path(c["file1"]), _path(c["file2"]), config, c.get("id1"), c.get("id2"), out.get("path"), out.get("format", "json"))
+    return Job(_path(c["file1"]), _path(c["file2"]), config, c.get("id1"), c.get("id2"), out.get("path"), out.get("format", "json"), sure=out.get("low_confidence_below"))
 
 
 def _command_line(c: dict) -> Job:
@@ -80,14 +83,14 @@ def _command_line(c: dict) -> Job:
     mappings = tuple(FieldMapping(x["file1_col"], x["file2_col"], x.get("weight", 1.0)) for x in c["mapping_fields"])
     config = LinkageConfig(mappings, tuple(Algorithm(k) for k in kinds), float(s.get("confidence_threshold", 75.0)), s.get("use_blocking", True))
     prefixes = (s.get("file1_output_prefix", ""), s.get("file2_output_prefix", ""))
-    return Job(_path(c["file1"]), _path(c["file2"]), config, c.get("id1"), c.get("id2"), s.get("output_path"), s.get("output_format", "json"), c.get("output_columns", []), prefixes)
+    return Job(_path(c["file1"]), _path(c["file2"]), config, c.get("id1"), c.get("id2"), s.get("output_path"), s.get("output_format", "json"), c.get("output_columns", []), prefixes, s.get("low_confidence_below"))
 
 
 def with_id(df, name: str | None):
-    """The table and its id column; row numbers by content where there is none (equal rows are alike)."""
+    """The table and its id column; without one, every row of the stored table gets a number of its own."""
     from pyspark.sql import functions as F
 
-    return (df, name) if name else (df.withColumn("__id", F.xxhash64(*df.columns)).dropDuplicates(["__id"]), "__id")
+    return (df, name) if name else (stored(df.withColumn("__id", F.monotonically_increasing_id()), "numbered"), "__id")
 
 
 def run(spark: SparkSession, job: Job) -> LinkageResult:
@@ -96,11 +99,13 @@ def run(spark: SparkSession, job: Job) -> LinkageResult:
     d2, id2 = with_id(load(spark, job.file2), job.id2)
     result = find_matches(d1, d2, id1, id2, job.config)
     if job.output:
-        from ..operators.results import main_flat
+        from ..operators.results import low_confidence, main_flat
 
-        save(main_flat(result.matched, job.output_columns or None), job.output, job.format)
+        save(main_flat(result.matched, job.output_columns or None, job.prefixes), job.output, job.format)
         for name in ("unmatched_1", "unmatched_2"):
             save(getattr(result, name), f"{job.output}_{name}", job.format)
+        if job.sure is not None:
+            save(low_confidence(result.matched, job.sure), f"{job.output}_low_confidence", job.format)
     return result
 
 
@@ -138,3 +143,22 @@ def batch_summary(spark: SparkSession, outcomes: list[Outcome]):
     rows = spark.createDataFrame([(o.path, o.status, o.matches) for o in outcomes], "path string, status string, matches long")
     done = F.count_if(F.col("status") == "completed")
     return rows.agg(F.count("*").alias("jobs"), done.alias("completed"), F.sum("matches").alias("matches"), (done / F.count("*")).alias("success_rate"))
+
+
+def save_batch_report(spark: SparkSession, outcomes: list[Outcome], path: str) -> str:
+    """Summary and jobs of a batch as one JSON document."""
+    summary = batch_summary(spark, outcomes).first().asDict() if outcomes else {"jobs": 0, "completed": 0, "matches": 0, "success_rate": 0.0}
+    return save_report(spark, {"summary": summary, "jobs": [vars(o) for o in outcomes]}, path)
+
+
+def save_session(spark: SparkSession, config: dict, folder: str, name: str) -> str:
+    """A configuration kept for later, with its hash."""
+    return save_report(spark, {"name": name, "hash": config_hash(config), "config": config}, f"{folder}/{name}.session.json")
+
+
+def load_session(spark: SparkSession, folder: str, name: str) -> dict:
+    """A kept configuration; refuses one that was changed by hand."""
+    document = json.loads(read_text(spark, f"{folder}/{name}.session.json"))
+    if config_hash(document["config"]) != document["hash"]:
+        raise ValueError(f"session {name} differs from its hash")
+    return document["config"]

@@ -29,13 +29,18 @@ class Validation:
 
 
 def head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
-    """The first bytes of a file in any store."""
+    """The first bytes of a file in any store; of a folder, those of its first part that isn't empty."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = min(n, fs.getFileStatus(p).getLen())
-    stream = fs.open(p)
+    status = fs.getFileStatus(p)
+    if status.isDirectory():
+        parts = sorted((x.getPath().getName(), x) for x in fs.listStatus(p) if x.isFile() and x.getLen() and x.getPath().getName()[0] not in "._")
+        if not parts:
+            return b""
+        status = parts[0][1]
+    stream = fs.open(status.getPath())
     try:
-        return bytes(stream.readNBytes(size))
+        return bytes(stream.readNBytes(min(n, status.getLen())))
     finally:
         stream.close()
 
@@ -76,26 +81,45 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array or object over several lines, else JSON lines."""
+    """A JSON array over any number of lines, else JSON lines; the first byte tells."""
+    if head(spark, path, 64).lstrip(b"\xef\xbb\xbf \t\r\n")[:1] != b"[":
+        return read_jsonl(spark, path)
     whole = spark.read.option("multiLine", True).json(path)
-    return read_jsonl(spark, path) if "_corrupt_record" in whole.columns or head(spark, path, 64).lstrip()[:1] != b"[" else whole
+    return read_jsonl(spark, path) if "_corrupt_record" in whole.columns else whole
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def _workbook(spark: SparkSession, path: str):
+    """A file's bytes for pandas, from any store."""
+    import io
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return io.BytesIO(head(spark, path, p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()))
+
+
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """One sheet, read on the driver (needs openpyxl)."""
+    """One sheet, read on the driver from any store (needs openpyxl)."""
     import pandas as pd
 
     try:
-        frame = pd.read_excel(path, sheet_name=sheet)
+        frame = pd.read_excel(_workbook(spark, path), sheet_name=sheet)
     except ImportError as e:
         raise RuntimeError("reading Excel needs the package openpyxl") from e
     return spark.createDataFrame(frame)
 
 
+def excel_sheets(spark: SparkSession, path: str) -> list[str]:
+    import pandas as pd
+
+    try:
+        return list(pd.ExcelFile(_workbook(spark, path)).sheet_names)
+    except ImportError as e:
+        raise RuntimeError("reading Excel needs the package openpyxl") from e
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """By extension."""
     kind = EXTENSIONS.get(os.path.splitext(path)[1].lower())
@@ -111,6 +135,18 @@ def read_lines_csv(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     return df.na.fill("")
 
 
+def count_lines_csv(spark: SparkSession, path: str, delimiter: str = ",") -> int:
+    """Records, one a line, without the header and blank lines."""
+    return read_lines_csv(spark, path, delimiter).count()
+
+
+def find_bytes(spark: SparkSession, path: str, pattern: bytes) -> DataFrame:
+    """(path, at, line): the lines of files that hold a byte pattern, with the place (in bytes, from 0) where it first begins in the line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    at = F.expr(f"instr(decode(encode(value, 'UTF-8'), 'ISO-8859-1'), decode(unhex('{pattern.hex()}'), 'ISO-8859-1')) - 1")
+    return lines.select("path", at.alias("at"), F.col("value").alias("line")).where("at >= 0")
+
+
 def map_chunks(df: DataFrame, f: Callable, schema: str, chunk_rows: int = 10_000) -> DataFrame:
     """f(pandas frame) over chunks of at most chunk_rows rows; None is left out."""
 
@@ -154,14 +190,14 @@ def materialized(df: DataFrame, folder: str, key: str) -> DataFrame:
 
 
 def validate(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> Validation:
-    """Existence, size, extension, and whether the head can be read."""
+    """Existence, size, extension, whether the head can be read, and what each format has of its own."""
     out, kind = Validation(), EXTENSIONS.get(os.path.splitext(path)[1].lower())
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         out.fail("the file does not exist")
         return out
-    size = fs.getFileStatus(p).getLen()
+    size = fs.getContentSummary(p).getLength()
     out.metadata |= {"size": size, "type": kind}
     if kind is None:
         out.fail("the extension is not supported")
@@ -169,18 +205,91 @@ def validate(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> Validation
         out.fail("the file is empty")
     elif size > max_mb << 20:
         out.fail(f"the file is larger than {max_mb} MB")
-    elif kind in ("csv", "json", "jsonl", "parquet"):
+    elif kind == "excel":
+        _validate_excel(spark, path, out)
+    else:
         df = load(spark, path)
         out.metadata |= {"columns": df.columns, "sample_rows": df.limit(SAMPLE_ROWS).count()}
-        if "_corrupt_record" in df.columns:
-            out.fail("the JSON cannot be read")
-        if len(df.columns) == 1 and kind == "csv":
-            out.warnings.append("only one column")
+        if kind == "csv":
+            data = head(spark, path)
+            encoding = detect_encoding(data)
+            out.metadata |= {"encoding": encoding, "delimiter": detect_delimiter(data.decode(encoding, "replace").split("\n", 1)[0])}
+            if len(df.columns) == 1:
+                out.warnings.append("only one column")
+        if kind in ("json", "jsonl"):
+            out.metadata["layout"] = "array" if kind == "json" and head(spark, path, 64).lstrip()[:1] == b"[" else "lines"
+            if "_corrupt_record" in df.columns:
+                broken = sum(r["_corrupt_record"] is not None for r in df.limit(SAMPLE_ROWS).collect())  # the reader wants another column beside it
+                out.metadata["broken"] = broken
+                out.fail(f"{broken} of the first records cannot be read as JSON")
         if not out.metadata["sample_rows"]:
             out.warnings.append("no rows")
     return out
 
 
+def _validate_excel(spark: SparkSession, path: str, out: Validation) -> None:
+    """Sheets, the first one's columns and rows; a warning if there are several."""
+    try:
+        sheets = excel_sheets(spark, path)
+        first = read_excel(spark, path, sheets[0])
+    except RuntimeError as e:
+        out.warnings.append(str(e))
+        return
+    except Exception as e:  # noqa: BLE001  whatever the reader says of a broken file
+        out.fail(f"the workbook cannot be read: {e}")
+        return
+    out.metadata |= {"sheets": sheets, "columns": first.columns, "sample_rows": first.limit(SAMPLE_ROWS).count()}
+    if len(sheets) > 1:
+        out.warnings.append(f"{len(sheets)} sheets; only the first is read")
+    if not out.metadata["sample_rows"]:
+        out.warnings.append("no rows")
+
+
+def columns_of(spark: SparkSession, path: str) -> list[str]:
+    """The names in a file's header, without a pass over its rows."""
+    return load(spark, path).columns
+
+
+def info(spark: SparkSession, path: str) -> dict:
+    """Rows and columns of a result file or folder."""
+    df = load(spark, path)
+    return {"path": path, "rows": df.count(), "columns": df.columns}
+
+
+# Heads of programs and scripts, which no data file has.
+EXECUTABLE_HEADS = {"MZ": b"MZ", "ELF": b"\x7fELF", "Mach-O": b"\xcf\xfa\xed\xfe", "Java class": b"\xca\xfe\xba\xbe", "script": b"#!"}
+#: Bytes of a file that the security checks read.
+SCAN_BYTES = 1 << 20
+
+
+def security(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> Validation:
+    """validate(), and of the file's first megabyte: program heads, suspicious content, whether it is text where it should be."""
+    import re
+
+    out = validate(spark, path, max_mb)
+    if "size" not in out.metadata:
+        return out
+    data, kind = head(spark, path, SCAN_BYTES), out.metadata["type"]
+    for name, first in EXECUTABLE_HEADS.items():
+        if data.startswith(first):
+            out.fail(f"the file begins like a program ({name})")
+    if kind in ("csv", "json", "jsonl"):
+        if b"\x00" in data and not data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+            out.fail("the file holds zero bytes but should be text")
+        text = data.decode(detect_encoding(data), "replace")
+        found = {k: n for k, patterns in SUSPICIOUS.items() if (n := sum(len(re.findall(x, text, re.IGNORECASE | re.DOTALL)) for x in patterns))}
+        out.metadata["findings"] = found
+        for k, n in found.items():
+            out.fail(f"suspicious content: {k} ({n})")
+    return out
+
+
+def security_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row a file: whether it passes, its size, and what speaks against it."""
+    rows = [(p, v.is_valid, v.metadata.get("size"), v.errors, v.warnings) for p in paths for v in [security(spark, p)]]
+    return spark.createDataFrame(rows, "path string, is_valid boolean, size long, errors array<string>, warnings array<string>")
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row a column: rows, filled rows, whether it is all null.  One pass."""
     n = len(df.columns)

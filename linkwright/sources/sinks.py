@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.results import flat
+from ..operators import results as R
+
+FORMATS = ("csv", "json", "excel", "parquet")
 
 
 def _write_text(spark: SparkSession, path: str, data: str) -> None:
@@ -20,6 +25,13 @@ def _write_text(spark: SparkSession, path: str, data: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A whole small file (a report, a session document) from any store."""
+    from .files import head
+
+    return head(spark, path, 1 << 30).decode("utf-8-sig")
+
+
 def save(df: DataFrame, path: str, kind: str = "csv") -> list[str]:
     """A folder of part files for each format ('both': csv and json); an empty table writes nothing."""
     if df.isEmpty():
@@ -44,6 +56,18 @@ def save(df: DataFrame, path: str, kind: str = "csv") -> list[str]:
     return out
 
 
+def save_chunked(df: DataFrame, path: str, rows: int = 10_000) -> str:
+    """Parquet files of at most so many rows each."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
+    return path
+
+
+def save_report(spark: SparkSession, report: dict, path: str) -> str:
+    """A small document, as of a batch: one JSON file."""
+    _write_text(spark, path, json.dumps(report, indent=2, ensure_ascii=False, default=str))
+    return path
+
+
 def save_pretty_json(df: DataFrame, path: str, limit: int = 100_000) -> int:
     """An indented array in one file, written by the driver; refuses tables above the limit."""
     rows = df.limit(limit + 1).toJSON().collect()
@@ -69,24 +93,146 @@ def save_excel(sheets: dict[str, DataFrame], path: str, limit: int = 1_000_000)
         raise RuntimeError("writing Excel needs the package openpyxl") from e
 
 
-def export_csv(matched: DataFrame, path: str) -> None:
+def _dated(matched: DataFrame) -> DataFrame:
+    """Flattened matches with the time of the export or, where there is one, of the match."""
+    when = F.date_format(F.col("created_at") if "created_at" in matched.columns else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return R.flat(matched, created_at=when)
+
+
+def export_csv(matched: DataFrame, path: str) -> str:
     """Flattened matches; without matches a header alone."""
-    out = flat(matched)
+    out = _dated(matched)
     if out.isEmpty():
-        out = out.select(*[c for c in ("confidence_score", "matching_fields") if c in out.columns]).withColumn("created_at", F.lit(None).cast("string"))
+        out = out.select("confidence_score", "matching_fields", "created_at").limit(0)
     out.write.mode("overwrite").option("header", True).csv(path)
+    return path
 
 
-def export_json(result, path: str) -> None:
-    """matched, unmatched_1, unmatched_2 and statistics, a folder of JSON lines each."""
+def export_json(result, path: str) -> str:
+    """matched, unmatched_1, unmatched_2 and statistics, a folder of JSON lines each, with their metadata."""
     for name in ("matched", "unmatched_1", "unmatched_2", "statistics"):
-        getattr(result, name).write.mode("overwrite").json(f"{path}/{name}")
+        if (df := getattr(result, name)) is not None:
+            df.write.mode("overwrite").json(f"{path}/{name}")
+    save_report(result.matched.sparkSession, {"export_info": {"format": "json"}, "metadata": result.metadata}, f"{path}/metadata.json")
+    return path
+
+
+def export_excel(result, path: str, limit: int = 1_000_000) -> str:
+    """Sheets of matches, unmatched records of either table (where there are any) and statistics (needs openpyxl)."""
+    sheets = {"Matched Records": _dated(result.matched)}
+    for name in ("unmatched_1", "unmatched_2"):
+        if (df := getattr(result, name)) is not None:
+            sheets[f"Unmatched {name[-1]}"] = df
+    if result.statistics is not None:
+        columns = [F.struct(F.lit(c).alias("Metric"), F.col(c).cast("string").alias("Value")) for c in result.statistics.columns]
+        sheets["Statistics"] = result.statistics.select(F.explode(F.array(*columns)).alias("r")).select("r.*")
+    save_excel({k: df for k, df in sheets.items() if not df.isEmpty()}, path, limit)
+    return path
+
+
+def save_result(result, path: str) -> str:
+    """The whole result with its types, to be read again by load_result: Parquet tables and metadata."""
+    for name in ("matched", "unmatched_1", "unmatched_2", "statistics"):
+        if (df := getattr(result, name)) is not None:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    save_report(result.matched.sparkSession, result.metadata, f"{path}/metadata.json")
+    return path
+
+
+def load_result(spark: SparkSession, path: str):
+    from ..operators.linkage import LinkageResult
+
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("matched", "unmatched_1", "unmatched_2", "statistics")]
+    return LinkageResult(*tables, json.loads(read_text(spark, f"{path}/metadata.json")))
+
+
+@dataclass(frozen=True)
+class Export:
+    """What of a result to export, and how."""
+
+    format: str = "csv"
+    least: float | None = None
+    most: float | None = None
+    fields: tuple[str, ...] = ()
+    sort: str | None = "confidence"
+    descending: bool = True
+    page: int = 1
+    page_size: int | None = None
+    unmatched: bool = True
+    statistics: bool = True
+
+    def __post_init__(self):
+        if self.format not in FORMATS:
+            raise ValueError(f"the format is one of {FORMATS}")
+
 
+def selected(matched: DataFrame, export: Export) -> DataFrame:
+    """Matches within the bounds and on the fields, in order, and of them the page."""
+    out = R.by_fields(R.by_confidence(matched, export.least, export.most), list(export.fields))
+    out = R.sorted_by(out, export.sort, export.descending) if export.sort else out
+    return R.page(out, export.page, export.page_size)
 
-def download_csv(df: DataFrame, path: str) -> None:
-    """Quoted fields, numbers to two places."""
-    numbers = {f.name: F.format_number(f.name, "0.00") for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
-    (df.withColumns(numbers) if numbers else df).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+def export_result(result, export: Export, folder: str, name: str | None = None) -> str:
+    """Filter, sort, page and write a result; gives the path."""
+    from ..operators.linkage import LinkageResult
+
+    left = [result.unmatched_1, result.unmatched_2] if export.unmatched else [None, None]
+    some = LinkageResult(selected(result.matched, export), *left, result.statistics if export.statistics else None, result.metadata)
+    path = f"{folder}/export_{name or uuid.uuid4().hex}"
+    if export.format == "csv":
+        return export_csv(some.matched, f"{path}.csv")
+    if export.format == "excel":
+        return export_excel(some, f"{path}.xlsx")
+    return export_json(some, f"{path}.json") if export.format == "json" else save_result(some, path)
+
+
+def export_stored(store: ResultStore, result_id: str, user: str, export: Export, folder: str) -> str:
+    """The matches of a stored result, exported; refuses users who may not read it."""
+    from ..operators.linkage import LinkageResult
+
+    return export_result(LinkageResult(store.retrieve(result_id, user), None, None, None, {"result_id": result_id}), export, folder, result_id)
+
+
+#: What a spreadsheet takes as the sign of UTF-8.
+BOM = "\ufeff"
+
+
+def download_csv(df: DataFrame, path: str) -> int:
+    """One file with a byte order mark, quoted fields and numbers to two places; rows pass through the driver a partition at a time."""
+    spark, places = df.sparkSession, [f.dataType.simpleString() in ("double", "float") for f in df.schema.fields]
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    text, n = io.StringIO(), 0
+    lines = csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator="\n")
+    text.write(BOM)
+    lines.writerow(df.columns)
+    try:
+        for row in df.toLocalIterator():
+            lines.writerow(["" if v is None else f"{v:.2f}" if two else v for v, two in zip(row, places, strict=True)])
+            n += 1
+            if text.tell() > 1 << 20:
+                out.write(bytearray(text.getvalue().encode()))
+                text.seek(0)
+                text.truncate()
+        out.write(bytearray(text.getvalue().encode()))
+    finally:
+        out.close()
+    return n
+
+
+def download(spark: SparkSession, source: str, to: str, kind: str) -> str:
+    """A CSV or JSON file in the other format (or its own)."""
+    from .files import load
+
+    df = load(spark, source)
+    if kind == "csv":
+        download_csv(df, to)
+    elif kind == "json":
+        df.write.mode("overwrite").json(to)
+    else:
+        raise ValueError(f"no format {kind}")
+    return to
 
 
 class ResultStore:
@@ -118,7 +264,7 @@ class ResultStore:
         version = known["version"] + 1 if known else 1
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/data/{result_id}/v{version}")
         stored = self.spark.read.parquet(f"{self.folder}/data/{result_id}/v{version}")
-        facts = stored.agg(F.count("*").alias("size"), F.sha2(F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")).cast("string"), F.lit("")), 256).alias("checksum"))
+        facts = stored.agg(F.count("*").alias("size"), F.sha2(F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)")).cast("string"), F.lit("")), 256).alias("checksum"))
         now = F.current_timestamp()
         row = facts.select(F.lit(result_id).alias("result_id"), F.lit(owner).alias("owner"), F.lit(version).alias("version"), "size", "checksum", F.lit(public).alias("is_public"), F.array().cast("array<string>").alias("shared_with"), F.lit(None).cast("timestamp").alias("expires_at"), now.alias("created_at"), now.alias("last_accessed"))
         self._log(row)
@@ -128,9 +274,7 @@ class ResultStore:
         return self.index().where(F.col("result_id") == result_id)
 
     def retrieve(self, result_id: str, user: str) -> DataFrame:
-        from ..operators.results import accessible
-
-        row = self._row(result_id).where(accessible(user, F.current_timestamp())).first()
+        row = self._row(result_id).where(R.accessible(user, F.current_timestamp())).first()
         if row is None:
             raise PermissionError(f"{user} cannot read {result_id}")
         self._log(self._row(result_id).withColumn("last_accessed", F.current_timestamp()))
@@ -145,6 +289,11 @@ class ResultStore:
     def delete(self, result_id: str) -> None:
         self._log(self._row(result_id), removed=True)
 
+    def list(self, user: str | None = None, limit: int = 50) -> DataFrame:
+        """The newest results that a user may read."""
+        rows = self.index() if user is None else self.index().where(R.accessible(user, F.current_timestamp()))
+        return R.newest(rows, "created_at", limit, ("result_id",))
+
     def cleanup(self, days: int) -> int:
         old = self.index().where(F.col("created_at") < F.current_timestamp() - F.make_dt_interval(F.lit(days)))
         n = old.count()
