@@ -11,6 +11,14 @@ the columns of ``documents``.
    all its words goes.
 4. benchmark decontamination: documents with a window of an item go.
 5. SentencePiece: seeded merge-dropout ids, decoded again as a check.
+
+Defined results.  Every stage takes nulls in any column: a null text is clean,
+has fingerprint zero (so of all texts without words one stays), no words to cut
+or find; a null doc_id passes, and counts as the greatest where the smallest
+stays.  Empty texts and very long ones (read whole) are treated alike.  Repeated
+rows of one doc_id and text are copies: one stays.  Empty tables, also of labels
+or benchmark items, give empty or unchanged ones.  Extra columns come out as they
+came in, whatever their names, as do those of ``documents``.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from linkwright.llm.labelled import sample
 from linkwright.llm.op2_simhash import keep_one
 from linkwright.llm.op7_substrings import remove_repeats
 from linkwright.llm.op8_decontaminate import contamination
-from linkwright.llm.shared import documents, stored
+from linkwright.llm.shared import documents, forget, scratch, stored
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -83,7 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage stores on its way goes when its result is stored
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs

@@ -146,10 +146,10 @@ class WordTokens(dict):
 
 def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of raw ids in doc_id order: file, first token in its file, packed documents."""
-    # by size alone: the order of doc_ids decides which file a row is in
+    # as many as the size asks for; the order of doc_ids, and of hashes where one has many rows, decides which file a row is in
     files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", key)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id", key).sortWithinPartitions("doc_id", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import forget, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset and the master is local (as in tests), a folder in the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (at or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+__all__ = ["documents", "forget", "input_bytes", "remainder", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "steady", "stored"]
 
 
 #: Session settings of Arrow batches that the operators put in place of Spark's defaults.
@@ -33,21 +27,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(small))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to a new folder of the shared directory and read back."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the folder of a table made by stored(), once nothing reads it again."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as Parquet to a new folder of the shared directory and read back; see storage.stored."""
+    small_batches(df.sparkSession)
+    return storage.stored(df, name, keep)
 
 
 def steady(df: DataFrame, name: str) -> DataFrame:
