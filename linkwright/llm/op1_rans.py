@@ -43,7 +43,7 @@ from .shared import forget, input_bytes, shared_dir, stored
 
 SCALE, LANES, CHECKPOINT, BLOCK = 20, 2048, 128, 1 << 20
 #: Stored bytes of input for a file; words that a worker remembers, and their greatest length.
-FILE_BYTES, CACHE, LONG = 32 << 20, 1_000_000, 64
+FILE_BYTES, CACHE, LONG = 24 << 20, 600_000, 64
 #: Files whose ids are added up together, and files whose places are sent to all executors.
 GROUP, FEW = 4096, 1 << 16
 _MAGIC, _LOW = b"RANS0001", np.uint64(1 << 31)
@@ -91,8 +91,6 @@ class WordTokens(dict):
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
-        #: Ids of lower-case letters, and of signs, that words begin and end with.
-        self.parts: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -104,23 +102,17 @@ class WordTokens(dict):
         code = self.code
         return b"".join([code[t.id] for t in self.model.tokenize(word)])
 
-    def part(self, text: str, letters: bool) -> bytes:
-        code = self.parts.get(text)
-        if code is None:
-            code = self.parts[text] = self.core(text) if letters else self.ids(text)
-        return code
-
     def __missing__(self, word: str) -> bytes:
         if len(word) > LONG:
             return self.ids(word)
-        if len(self) + len(self.parts) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-            self.parts.clear()
-        if word.isascii() and word.isalpha():
+        match = None if word.isascii() and word.isalpha() else _PLAIN.fullmatch(word)
+        if match is not None and match[2]:
+            code = self[match[1].lower()] + self[match[2]]
+        elif match is not None or (word.isascii() and word.isalpha()):
             low = word.lower()
-            code = self.core(word) if low == word else self.part(low, True)
-        elif match := _PLAIN.fullmatch(word):
-            code = self.part(match[1].lower(), True) + (self.part(match[2], False) if match[2] else b"")
+            code = self.core(word) if low == word else self[low]
         else:
             code = self.ids(word)
         self[word] = code
