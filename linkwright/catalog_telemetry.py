@@ -304,6 +304,20 @@ def readable_sizes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", size_text(b).alias("size"), duration_text(b).alias("took"))
 
 
+@query("SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS text, true AS same FROM events")
+def iso_times(spark, sf_dir):
+    from .functions.formatting import iso_text, iso_time
+
+    e = events(spark, sf_dir).select("event_id", "ts", iso_text(F.col("ts")).alias("text"))
+    return e.select("event_id", "text", (iso_time(F.col("text")) == F.col("ts").cast("timestamp")).alias("same"))
+
+
+@query("SELECT event_type AS name, count(*) AS runs, sum(user_id)::BIGINT AS rows, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms, round(sum(user_id) * 1000.0::DOUBLE / sum(value), 4) AS rows_per_second FROM events GROUP BY 1")
+def performance_stats(spark, sf_dir):
+    runs = events(spark, sf_dir).select(F.col("event_type").alias("name"), F.col("user_id").alias("rows"), F.col("value").alias("ms"))
+    return T.performance_stats(runs).withColumns({"total_ms": F.round("total_ms", 4), "mean_ms": F.round("mean_ms", 6), "rows_per_second": F.round("rows_per_second", 4)})
+
+
 # ---- streams over the event table, run to the end of what is there
 
 

@@ -21,3 +21,14 @@ def duration_text(seconds: Column) -> Column:
     s = seconds.cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     return F.when(s >= 3600, F.format_string("%dh %dm %ds", hours, minutes, rest)).when(s >= 60, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+
+
+def iso_text(c: Column) -> Column:
+    """A time as ISO 8601 text; microseconds only where there are any."""
+    t = c.cast("timestamp")
+    return F.when(F.unix_micros(t) % 1_000_000 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def iso_time(c: Column) -> Column:
+    """The time that ISO 8601 text stands for; null for other text."""
+    return F.try_to_timestamp(c)

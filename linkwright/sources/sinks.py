@@ -5,13 +5,15 @@ from __future__ import annotations
 import csv
 import io
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import results as R
+from ..storage import delete, new_path
 
 FORMATS = ("csv", "json", "excel", "parquet")
 
@@ -32,27 +34,32 @@ def read_text(spark: SparkSession, path: str) -> str:
     return head(spark, path, 1 << 30).decode("utf-8-sig")
 
 
+def _written_rows(df: DataFrame, write) -> int:
+    """Write df and count its rows on the way."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
 def save(df: DataFrame, path: str, kind: str = "csv") -> list[str]:
-    """A folder of part files for each format ('both': csv and json); an empty table writes nothing."""
-    if df.isEmpty():
-        return []
-    kinds = {"both": ["csv", "json"]}.get(kind, [kind])
-    out = []
-    for k in kinds:
-        to = f"{path}.{k}"
-        writer = df.write.mode("overwrite")
-        if k == "csv":
-            writer.option("header", True).csv(to)
-        elif k == "json":
-            writer.json(to)
-        elif k == "parquet":
-            writer.option("compression", "zstd").parquet(to)
-        elif k == "excel":
-            save_excel({"Matched": df}, f"{path}.xlsx")
-            to = f"{path}.xlsx"
-        else:
+    """A folder of part files for each format ('both': csv and json); an empty table leaves nothing behind."""
+    out, writers = [], {
+        "csv": lambda d, to: d.write.mode("overwrite").option("header", True).csv(to),
+        "json": lambda d, to: d.write.mode("overwrite").json(to),
+        "parquet": lambda d, to: d.write.mode("overwrite").option("compression", "zstd").parquet(to),
+    }
+    for k in {"both": ["csv", "json"]}.get(kind, [kind]):
+        if k == "excel":
+            if not df.isEmpty():
+                save_excel({"Matched": df}, f"{path}.xlsx")
+                out.append(f"{path}.xlsx")
+        elif k not in writers:
             raise ValueError(f"no format {k}")
-        out.append(to)
+        elif _written_rows(df, lambda d, k=k: writers[k](d, f"{path}.{k}")):
+            out.append(f"{path}.{k}")
+        else:
+            delete(df.sparkSession, f"{path}.{k}")
+            break
     return out
 
 
@@ -235,6 +242,49 @@ def download(spark: SparkSession, source: str, to: str, kind: str) -> str:
     return to
 
 
+def best_codec(df: DataFrame, codecs: tuple[str, ...] = ("zstd", "gzip", "snappy"), rows: int = 10_000) -> str:
+    """The Parquet codec with the least share of the plain size plus a tenth of the seconds, on some rows."""
+    spark, some, cost = df.sparkSession, df.limit(rows), {}
+    for codec in ("uncompressed", *codecs):
+        path, began = new_path(spark, "codec"), time.perf_counter()
+        some.coalesce(1).write.option("compression", codec).parquet(path)
+        took, p = time.perf_counter() - began, spark._jvm.org.apache.hadoop.fs.Path(path)
+        cost[codec] = (p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength(), took)
+        delete(spark, path)
+    plain = max(1, cost.pop("uncompressed")[0])
+    return min(codecs, key=lambda c: (cost[c][0] / plain + 0.1 * cost[c][1], codecs.index(c)))
+
+
+class LogTable:
+    """A small table of its own (jobs, progress) as an append-only folder: the last row of a key counts."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str):
+        self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
+
+    def rows(self) -> DataFrame:
+        names = self.spark.createDataFrame([], self.schema).columns
+        try:
+            log = self.spark.read.schema(self.schema + ", __removed boolean, __at timestamp").parquet(self.folder)
+        except Exception as e:  # nothing has been written
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.schema)
+        last = log.groupBy(self.key).agg(F.max_by(F.struct(*log.columns), "__at").alias("r"))
+        return last.where("NOT r.__removed").select(*[F.col(f"r.`{n}`").alias(n) for n in names])
+
+    def _append(self, rows: DataFrame, removed: bool) -> None:
+        rows.withColumns({"__removed": F.lit(removed), "__at": F.current_timestamp()}).write.mode("append").parquet(self.folder)
+
+    def put(self, rows: DataFrame) -> None:
+        self._append(rows, False)
+
+    def remove(self, keys: DataFrame) -> None:
+        self._append(self.rows().join(keys.select(self.key).distinct(), self.key, "left_semi"), True)
+
+    def newest(self, column: str, n: int) -> DataFrame:
+        return R.newest(self.rows(), column, n, (self.key,))
+
+
 class ResultStore:
     """Results as Parquet folders with an index table of owners, versions and sharing."""
 
@@ -294,6 +344,15 @@ class ResultStore:
         rows = self.index() if user is None else self.index().where(R.accessible(user, F.current_timestamp()))
         return R.newest(rows, "created_at", limit, ("result_id",))
 
+    def compress(self, result_id: str, codec: str | None = None) -> str:
+        """Write a result's data anew with a codec, or with the one that suits it; gives the codec."""
+        row = self._row(result_id).first()
+        df = self.spark.read.parquet(f"{self.folder}/data/{result_id}/v{row['version']}")
+        codec = codec or best_codec(df)
+        df.write.mode("overwrite").option("compression", codec).parquet(f"{self.folder}/data/{result_id}/v{row['version'] + 1}")
+        self._log(self._row(result_id).withColumn("version", F.col("version") + 1))
+        return codec
+
     def cleanup(self, days: int) -> int:
         old = self.index().where(F.col("created_at") < F.current_timestamp() - F.make_dt_interval(F.lit(days)))
         n = old.count()

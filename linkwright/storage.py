@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -52,7 +52,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(df: DataFrame) -> None:
     """Delete the folder of a table made by stored(), once nothing reads it again."""
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 @contextmanager
@@ -65,7 +65,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _made.reset(token)
         for path in made:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def clean(spark: SparkSession, hours: float = 24.0) -> int:

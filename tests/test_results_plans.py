@@ -148,3 +148,39 @@ def test_queue(spark):
     done = monitor.work(q, lambda m: m.withColumn("acknowledged", F.col("job_id") != 3), max_retries=1)
     assert {r["job_id"]: r["status"] for r in done.collect()} == {1: "done", 2: "done", 3: "dead"}
     assert monitor.dead_letters(done).count() == 1
+
+
+def test_tables_of_their_own(spark, tmp_path):
+    jobs = sinks.LogTable(spark, str(tmp_path / "jobs"), "job_id string, status string, at long", "job_id")
+    assert jobs.rows().count() == 0
+    jobs.put(spark.createDataFrame([("a", "queued", 1), ("b", "queued", 2)], "job_id string, status string, at long"))
+    jobs.put(spark.createDataFrame([("a", "done", 3)], "job_id string, status string, at long"))
+    assert {(r["job_id"], r["status"]) for r in jobs.rows().collect()} == {("a", "done"), ("b", "queued")}
+    assert [r["job_id"] for r in jobs.newest("at", 1).collect()] == ["a"]
+    jobs.remove(spark.createDataFrame([("b",)], "job_id string"))
+    assert [r["job_id"] for r in jobs.rows().collect()] == ["a"]
+
+
+def test_codecs_and_empty_tables(spark, tmp_path):
+    store = sinks.ResultStore(spark, str(tmp_path / "store"))
+    key = store.store(spark.range(1000), "ann")
+    assert store.compress(key) in ("zstd", "gzip", "snappy") and store.retrieve(key, "ann").count() == 1000 and store.index().first()["version"] == 2
+    assert sinks.save(spark.range(0), str(tmp_path / "none"), "both") == [] and not (tmp_path / "none.csv").exists()
+    assert [p.rsplit(".", 1)[1] for p in sinks.save(spark.range(3), str(tmp_path / "some"), "both")] == ["csv", "json"]
+    m = telemetry.measured(spark.range(7), "seven")
+    assert m["rows"] == 7 and m["ms"] > 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from linkwright import storage
+
+    with storage.scratch(spark):
+        gone = storage.stored(spark.range(3), "gone")
+        kept = storage.stored(gone, "kept", keep=True)
+        path = gone.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+    assert storage.clean(spark, 1e6) == 0
+    storage.forget(kept)
