@@ -169,7 +169,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if codes:
             yield block()
 
-    return rows.mapInArrow(run, "file long, first long, n long, width long, ids binary, known binary, counts binary, tokens binary")
+    return rows.mapInArrow(tb.tidy(run), "file long, first long, n long, width long, ids binary, known binary, counts binary, tokens binary")
 
 
 def _ids(width: int, data: bytes) -> np.ndarray:
@@ -189,7 +189,7 @@ def token_counts(raw: DataFrame) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    return dict(raw.select("width", "tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect())
+    return dict(raw.select("width", "tokens").mapInArrow(tb.tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect())
 
 
 # ---- rANS
@@ -315,7 +315,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, to: str | Non
                 block = encode_block(_ids(row["width"], row["tokens"]), freq, index, len(unpack(row["counts"], np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (row["file"], row["first"], row["n"], block)], names=["file", "first", "n", "block"])
 
-    raw.mapInArrow(run, "file long, first long, n long, block binary").write.parquet(f"{to}/blocks")
+    raw.mapInArrow(tb.tidy(run), "file long, first long, n long, block binary").write.parquet(f"{to}/blocks")
     forget(raw)
     return to
 
@@ -357,4 +357,4 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     if blocks.select("file").distinct().count() <= FEW:  # 16 bytes each: send them; else the blocks are shuffled
         bases = F.broadcast(bases)
     placed = blocks.join(bases, "file").select((F.col("base") + F.col("first")).alias("first"), "block")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tb.tidy(run), "doc_id long, start long, n_tokens long, ids binary")

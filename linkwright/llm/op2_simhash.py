@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             text_keys = np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array(text_keys)], names=["doc_id", "fp", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, text_key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tb.tidy(run), "doc_id long, fp long, text_key long")
 
 
 @lru_cache
@@ -279,14 +279,14 @@ def links(groups: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     tasks = max(shuffle_partitions(groups.sparkSession), -(-64 * groups.count() // TASK_ROWS))
     # a fingerprint makes 64 rows: dealt out first, so that no task makes those of a whole large file
-    made = groups.select("fp").repartition(tasks).mapInArrow(make, "key long, fp long").repartition(tasks, "key").sortWithinPartitions("key")
-    met = stored(made.mapInArrow(lambda rows: meet(rows, max_bits), "a long, b long, key long, part int, block binary"), "met")
+    made = groups.select("fp").repartition(tasks).mapInArrow(tb.tidy(make), "key long, fp long").repartition(tasks, "key").sortWithinPartitions("key")
+    met = stored(made.mapInArrow(tb.tidy(lambda rows: meet(rows, max_bits)), "a long, b long, key long, part int, block binary"), "met")
     blocks = met.where("block IS NOT NULL").select("key", "part", "block")
     x, y = blocks.toDF("key", "p", "x"), blocks.toDF("key", "q", "y")
     # the numbers of the blocks are paired and dealt out first, then the blocks are brought to them
     numbers = x.drop("x").join(y.drop("y"), "key").where("p <= q").repartition(tasks, "key", "p", "q")
     pairs = numbers.join(x, ["key", "p"]).join(y, ["key", "q"]).select((F.col("p") == F.col("q")).alias("same"), "x", "y")
-    return met.where("block IS NULL").select("a", "b").unionByName(pairs.mapInArrow(lambda rows: across(rows, max_bits), "a long, b long"))
+    return met.where("block IS NULL").select("a", "b").unionByName(pairs.mapInArrow(tb.tidy(lambda rows: across(rows, max_bits)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

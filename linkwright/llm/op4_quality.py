@@ -126,7 +126,7 @@ def learn(rows: DataFrame) -> Machine:
             cut = [(number[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=["y", "number", "value"])
 
-    got = rows.select("text", "y").mapInArrow(run, "y int, number binary, value binary").collect()
+    got = rows.select("text", "y").mapInArrow(tb.tidy(run), "y int, number binary, value binary").collect()
     got.sort(key=lambda r: (r["number"], r["value"], r["y"]))  # the same order in every run
     machine = Machine()
     if got:

@@ -107,7 +107,7 @@ def learn(docs: DataFrame, chosen: Column) -> tuple[list[str], np.ndarray]:
 
     small_batches(docs.sparkSession)
     kinds = "lang string, part int, n binary"
-    rows = docs.where(chosen & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(count, kinds).repartition("lang", "part").mapInArrow(add, kinds).collect()
+    rows = docs.where(chosen & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(tb.tidy(count), kinds).repartition("lang", "part").mapInArrow(tb.tidy(add), kinds).collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.zeros((len(langs), BUCKETS + _PART), np.float64)
     for r in rows:

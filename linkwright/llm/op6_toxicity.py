@@ -290,7 +290,7 @@ def learn(rows: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([x.get(t, 0) for t in some], pa.int64()) for x in (toxic, clean, times))], names=["term", "toxic", "clean", "times"])
 
     rows = stored(rows.select("text", "y"), "sample")
-    counts = stored(rows.mapInArrow(count, "term string, toxic long, clean long, times long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "times"))), "terms")
+    counts = stored(rows.mapInArrow(tb.tidy(count), "term string, toxic long, clean long, times long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "times"))), "terms")
     top = counts.where("term = ''").first()
     n_toxic, n_clean, n_words = (top["toxic"], top["clean"], top["times"]) if top else (0, 0, 0)
     lift = (F.col("toxic") + 0.5) * (n_clean + 1) / ((F.col("clean") + 0.5) * (n_toxic + 1))
@@ -313,7 +313,7 @@ def learn(rows: DataFrame) -> Lexicon:
 
     by: dict[int, set[int]] = {}
     against: dict[int, int] = {}
-    for k, row in enumerate(rows.mapInArrow(marked, "y int, terms array<int>").where("size(terms) > 0").collect()):
+    for k, row in enumerate(rows.mapInArrow(tb.tidy(marked), "y int, terms array<int>").where("size(terms) > 0").collect()):
         for i in row["terms"]:
             if row["y"]:
                 by.setdefault(i, set()).add(k)

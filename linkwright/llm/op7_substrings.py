@@ -258,12 +258,12 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             spans = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(keys[which].view(np.int64)), pa.array(spans, pa.binary())], names=["doc_id", "text_key", "spans"])
 
-    sent = docs.mapInArrow(hashed, _ROWS)
+    sent = docs.mapInArrow(tb.tidy(hashed), _ROWS)
     if bits > first:  # a coarse range goes to several tasks
         salts = max(1, parts >> first)
-        sent = sent.repartition(parts, F.col("range"), F.pmod(F.xxhash64("chunk"), F.lit(salts))).sortWithinPartitions("range").mapInArrow(split, _ROWS)
-    answers = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(counted, "chunk long, a binary, b binary, c binary")
-    spans = answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(merged, "doc_id long, text_key long, spans binary")
+        sent = sent.repartition(parts, F.col("range"), F.pmod(F.xxhash64("chunk"), F.lit(salts))).sortWithinPartitions("range").mapInArrow(tb.tidy(split), _ROWS)
+    answers = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(tb.tidy(counted), "chunk long, a binary, b binary, c binary")
+    spans = answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tb.tidy(merged), "doc_id long, text_key long, spans binary")
     return spans.groupBy("doc_id", "text_key").agg(F.min("spans").alias("spans"))  # rows that repeat have the same spans
 
 

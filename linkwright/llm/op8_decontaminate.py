@@ -146,7 +146,7 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
                     found = list({b" ".join(words[i : i + WINDOW]) for i in starts[at : at + BLOCK]})
                     yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in found], pa.string()), pa.array([item] * len(found), pa.string())], names=["window", "item_id"])
 
-    return stored(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, "window string, item_id string").distinct(), "windows")
+    return stored(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(tb.tidy(cut), "window string, item_id string").distinct(), "windows")
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -180,7 +180,7 @@ def shingle_counts(docs: DataFrame, wanted: Block) -> tuple[np.ndarray, np.ndarr
             some = np.flatnonzero(totals[s])
             yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted[some].view(np.int64)), pa.array(totals[s][some])], names=["shingle", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tb.tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
 
 

@@ -40,7 +40,7 @@ from .op3_counts import cut_after, cut_points
 
 SEED, RATE = 17, 0.1
 #: So many remembered choices are forgotten before the next batch.
-NODES = 400_000
+NODES = 200_000
 SPACE = "▁"
 #: Up to this many characters a list beats a heap as agenda.
 SHORT = 64

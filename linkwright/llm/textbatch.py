@@ -7,6 +7,9 @@ by numpy over the UTF-8 bytes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -220,6 +223,24 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have left free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, in a worker that begins each task with release(): workers live through many stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from fn(batches)
+
+    return run
+
+
 def with_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """df and new columns that fn makes for each slice of its rows.
 
@@ -236,4 +257,4 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], fn: Callable[[pa.
             new = [x if isinstance(x, pa.Array) else pa.array(x) for x in fn(part)]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
