@@ -41,9 +41,11 @@ from . import textbatch as tb
 from .op7_substrings import delta, pack, unpack
 from .shared import forget, input_bytes, shared_dir, stored
 
-SCALE, LANES, CHECKPOINT, BLOCK = 20, 2048, 128, 1 << 20
+SCALE, LANES, CHECKPOINT, BLOCK = 20, 2048, 128, 1 << 18
 #: Stored bytes of input for a file; words that a worker remembers, and their greatest length.
-FILE_BYTES, CACHE, LONG = 24 << 20, 600_000, 64
+FILE_BYTES, CACHE, LONG = 16 << 20, 500_000, 64
+#: Blocks in a file of the intermediate table.
+RAW = 8
 #: Files whose ids are added up together, and files whose places are sent to all executors.
 GROUP, FEW = 4096, 1 << 16
 _MAGIC, _LOW = b"RANS0001", np.uint64(1 << 31)
@@ -300,7 +302,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, to: str | Non
     """Write the token files of docs (doc_id, text) and return their folder: blocks/ and table/."""
     spark = docs.sparkSession
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    raw = stored(_tokenized(docs, tokenizer, end_id), "raw-tokens")
+    raw = stored(_tokenized(docs, tokenizer, end_id), "raw-tokens", rows=RAW)  # Spark's reader holds a file's rows at once
     counts = token_counts(raw)
     spark.createDataFrame(sorted(counts.items()), "id long, n long").coalesce(1).write.parquet(f"{to}/table")
     table = spark.sparkContext.broadcast(counts)

@@ -27,10 +27,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(small))
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, rows: int = 0) -> DataFrame:
     """df written as Parquet to a new folder of the shared directory and read back; see storage.stored."""
     small_batches(df.sparkSession)
-    return storage.stored(df, name, keep)
+    return storage.stored(df, name, keep, rows)
 
 
 def steady(df: DataFrame, name: str) -> DataFrame:
