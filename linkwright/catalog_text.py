@@ -181,8 +181,10 @@ _WORD = f"CASE WHEN rx <> '' AND ry <> '' AND {sql_levenshtein('rx', 'ry')} >= 8
 
 @query(f"SELECT doc_id, kind, round(CASE WHEN kx = ky THEN 100.0::DOUBLE ELSE greatest((1.0::DOUBLE - levenshtein(kx, ky)::DOUBLE / greatest(length(kx), length(ky))) * 100, {_WORD}) END, 6) AS similarity FROM ({_P3})")
 def similarity_uzbek_phonetic(spark, sf_dir):
-    x, y = T.phonetic_form(F.col("a")), T.phonetic_form(F.col("b"))
-    return pairs(spark, sf_dir).select("doc_id", "kind", F.round(S.uzbek_phonetic(x, y), 6).alias("similarity"))
+    forms = pairs(spark, sf_dir).withColumns({"x": T.phonetic_form(F.col("a")), "y": T.phonetic_form(F.col("b"))})
+    keyed = forms.withColumns({"u": T.phonetic_key(F.col("x")), "v": T.phonetic_key(F.col("y"))})
+    score = S.uzbek_phonetic(F.col("x"), F.col("y"), keys=(F.col("u"), F.col("v")))
+    return keyed.select("doc_id", "kind", F.round(score, 6).alias("similarity"))
 
 
 @query(None)

@@ -151,10 +151,10 @@ def word_rule(a: Column, b: Column) -> Column:
     return F.when(variant, 90.0).otherwise(levenshtein(a, b))
 
 
-def uzbek_phonetic(a: Column, b: Column, compose: bool = True) -> Column:
-    """Of phonetic forms: 100 for equal keys, else the better of key distance and the word rule."""
-    same = T.phonetic_key(a, compose) == T.phonetic_key(b, compose)
-    return F.when(same, 100.0).otherwise(F.greatest((F.lit(1.0) - T.phonetic_distance(a, b, compose)) * 100.0, word_rule(a, b)))
+def uzbek_phonetic(a: Column, b: Column, compose: bool = True, keys: tuple[Column, Column] | None = None) -> Column:
+    """Of phonetic forms: 100 for equal keys, else the better of key distance and the word rule.  keys: their phonetic keys, where they are columns already."""
+    u, v = keys or (T.phonetic_key(a, compose), T.phonetic_key(b, compose))
+    return F.when(u == v, 100.0).otherwise(F.greatest((F.lit(1.0) - key_distance(u, v)) * 100.0, word_rule(a, b)))
 
 
 def boosted(score: Column, a: Column, b: Column, compose: bool = True) -> Column:

@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import forget, stored
+from ..storage import plan_bytes, scratch, stored
 from . import blocking
-from .scoring import ORDER, Algorithm, FieldMapping, best, prepared, prepared_columns, with_scores
+from .scoring import ORDER, Algorithm, FieldMapping, prepared, prepared_columns, scored
 
 CARDINALITIES = ("many_to_many", "one_to_one", "one_to_many", "many_to_one")
 HIGH = 85.0
+#: Bytes of stored normal forms that are sent to all executors; pairs that a task scores at least, and tasks at most.
+SENT, PAIRS, TASKS = 16 << 20, 50_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -70,21 +72,20 @@ def candidates(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linkage
 
 
 def score_pairs(pairs: DataFrame, d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: LinkageConfig) -> DataFrame:
-    """id1, id2, similarity, confidence, matched_fields, algorithm, field_results of every pair that scores above 0.
+    """id1, id2, similarity, confidence, matched_fields, algorithm, field_results of every pair that reaches the threshold.
 
-    Normal forms are worked out once a record, before pairing.  Only what is
-    compared travels with a pair; the records join again after the threshold.
+    Normal forms are worked out once a record and stored, before pairing.  They are
+    sent to the pairs while their files stay below SENT; above that both are
+    shuffled.  Only what is compared travels with a pair; the records join again
+    after the threshold.
     """
-    algorithms, mappings = config.enabled(), list(config.mappings)
-    sides = []
-    for side, df, key, attribute in (("a", d1, id1, "source"), ("b", d2, id2, "target")):
+    algorithms, mappings, both = config.enabled(), list(config.mappings), pairs
+    for side, df, key, attribute, name in (("a", d1, id1, "source", "id1"), ("b", d2, id2, "target", "id2")):
         fields = [getattr(m, attribute) for m in mappings]
-        ready = prepared(df.select(F.col(key).alias(f"id{1 + len(sides)}"), *dict.fromkeys(fields)), side, fields, algorithms, config.strict)
-        sides.append(ready.select(f"id{1 + len(sides)}", *[c for i in range(len(fields)) for c in prepared_columns(side, i, algorithms)]))
-    both = with_scores(pairs.join(sides[0], "id1").join(sides[1], "id2"), mappings, algorithms, config.strict)
-    top = best([(a.kind, F.col(f"s{k}")) for k, a in enumerate(algorithms)])
-    # the one-element array keeps later filters above the scores: pushed below, they would repeat every step's expressions
-    return both.select("id1", "id2", F.explode(F.array(top)).alias("m")).where("m IS NOT NULL").select("id1", "id2", "m.*")
+        ready = prepared(df.select(F.col(key).alias(name), *dict.fromkeys(fields)), side, fields, algorithms, config.strict)
+        ready = stored(ready.select(name, *[c for i in range(len(fields)) for c in prepared_columns(side, i, algorithms)]), "ready")
+        both = both.join(F.broadcast(ready) if plan_bytes(ready) <= SENT else ready.hint("merge"), name)
+    return scored(both, mappings, algorithms, config.strict, config.threshold)
 
 
 def with_cardinality(matches: DataFrame, cardinality: str) -> DataFrame:
@@ -133,13 +134,16 @@ def find_matches(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linka
     """
     if d1 is None or d2 is None:
         raise ValueError("two tables are needed")
-    pairs, n1, n2 = candidates(d1, d2, id1, id2, config), d1.count(), d2.count()
-    pairs = stored(pairs, "pairs") if config.use_blocking else pairs
-    n_compared = pairs.count() if config.use_blocking else n1 * n2
-    scored = score_pairs(pairs, d1, d2, id1, id2, config).where(F.col("confidence") >= config.threshold)
-    matches = stored(with_cardinality(scored, config.cardinality), "matches")
-    if config.use_blocking:
-        forget(pairs)
+    n1, n2 = d1.count(), d2.count()
+    with scratch(d1.sparkSession):  # candidates and normal forms go when the matches are stored
+        pairs, n_compared = candidates(d1, d2, id1, id2, config), n1 * n2
+        if config.use_blocking:
+            pairs = stored(pairs, "pairs")
+            n_compared = pairs.count()
+            # few bytes but much work each: dealt out by number, not by size
+            pairs = pairs.repartition(max(1, -(-n_compared // max(PAIRS, n_compared // TASKS))))
+        found = score_pairs(pairs, d1, d2, id1, id2, config)
+        matches = stored(with_cardinality(found, config.cardinality), "matches", keep=True)
     r1 = d1.select(F.col(id1).alias("id1"), F.struct(*[F.col(f"`{c}`") for c in d1.columns]).alias("record1"))
     r2 = d2.select(F.col(id2).alias("id2"), F.struct(*[F.col(f"`{c}`") for c in d2.columns]).alias("record2"))
     full = matches.join(r1, "id1").join(r2, "id2")

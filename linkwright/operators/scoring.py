@@ -97,10 +97,12 @@ def prepared_columns(side: str, i: int, algorithms: list[Algorithm]) -> list[str
     return [f"{side}{k}{i}" for k in wanted]
 
 
-def with_scores(pairs: DataFrame, mappings: list[FieldMapping], algorithms: list[Algorithm], strict: bool = False) -> DataFrame:
-    """Pairs of prepared records (sides a and b) with one struct s0, s1, .. for each algorithm.
+def scored(pairs: DataFrame, mappings: list[FieldMapping], algorithms: list[Algorithm], strict: bool = False, least: float = 0.0) -> DataFrame:
+    """Pairs of prepared records (sides a and b) with the best algorithm's similarity, confidence, matched_fields, algorithm and field_results.
 
-    A struct has similarity, confidence, matched_fields and field_results.
+    Of the algorithms with a similarity above 0 the highest one is best, the earlier
+    of equals.  Numbers come first; names and results by field are put together
+    only for pairs whose confidence reaches least.
     """
     fields = range(len(mappings))
     both = lambda k, i: (F.col(f"a{k}{i}"), F.col(f"b{k}{i}"))
@@ -117,17 +119,15 @@ def with_scores(pairs: DataFrame, mappings: list[FieldMapping], algorithms: list
                 method = p.get("method") if p.get("method") in S.FUZZY_METHODS else "combined"
                 first[c] = getattr(S, method)(x, y)
                 if p.get("normalize_uzbek", True):
-                    spoken[f"d{k}_{i}"] = 100.0 - S.key_distance(*both("sk", i)) * 100.0
-                    (u, v), d = both("uz", i), F.col(f"d{k}_{i}")
-                    last[c] = F.when(u & v & (d > F.col(c)), F.least(F.col(c) + F.least((d - F.col(c)) * 0.3, F.lit(15.0)), F.lit(100.0))).otherwise(F.col(c))
+                    u, v = both("uz", i)
+                    spoken[f"d{k}_{i}"] = F.when(u & v, 100.0 - S.key_distance(*both("sk", i)) * 100.0)
+                    d = F.col(f"d{k}_{i}")
+                    last[c] = F.when(d > F.col(c), F.least(F.col(c) + F.least((d - F.col(c)) * 0.3, F.lit(15.0)), F.lit(100.0))).otherwise(F.col(c))
             elif a.kind == "phonetic":
                 x, y = both("ph", i)
                 method = p.get("method") if p.get("method") in S.PHONETIC_METHODS else "uzbek_phonetic"
                 if method == "uzbek_phonetic":
-                    score = S.word_rule(x, y)
-                    if p.get("normalize_uzbek", True):
-                        u, v = both("pk", i)
-                        score = F.when(u == v, 100.0).otherwise(F.greatest(100.0 - S.key_distance(u, v) * 100.0, score))
+                    score = S.uzbek_phonetic(x, y, keys=both("pk", i)) if p.get("normalize_uzbek", True) else S.word_rule(x, y)
                 else:
                     score = getattr(S, method)(x, y)
                 score = S.empty_cases(x, y, score)
@@ -142,23 +142,34 @@ def with_scores(pairs: DataFrame, mappings: list[FieldMapping], algorithms: list
             x, y = both("raw", i)
             record[f"f{k}_{i}"] = F.when((x != "") & (y != ""), F.col(f"f{k}_{i}"))
     out = out.withColumns(record)
-    return out.withColumns({f"s{k}": _record(k, a.kind, mappings) for k, a in enumerate(algorithms)})
+    out = out.withColumns({n: c for k, a in enumerate(algorithms) for n, c in zip((f"sim{k}", f"con{k}"), _totals(k, a.kind, mappings), strict=True)})
+    top = F.greatest(*[F.col(f"sim{k}") for k in range(len(algorithms))], F.lit(0.0))
+    pick = lambda values, by: _chain([(by == k, v) for k, v in enumerate(values)])
+    out = out.withColumn("best", _chain([(F.col(f"sim{k}") == top, F.lit(k)) for k in range(len(algorithms))]))
+    numbers = F.struct(top.alias("similarity"), pick([F.col(f"con{k}") for k in range(len(algorithms))], F.col("best")).alias("confidence"), "best", *[pick([F.col(f"f{k}_{i}") for k in range(len(algorithms))], F.col("best")).alias(f"f{i}") for i in fields])
+    # the one-element array keeps the filters above the numbers: pushed below, they would repeat every step's expressions
+    kept = out.select("id1", "id2", F.explode(F.array(numbers)).alias("m")).where((F.col("m.similarity") > 0) & (F.col("m.confidence") >= least))
+    kinds = [a.kind for a in algorithms]
+    own = [(m.source, F.col(f"m.f{i}"), pick([S.confidence(F.col(f"m.f{i}"), PENALTY.get(kind, 0.0)) for kind in kinds], F.col("m.best")), float(m.weight)) for i, m in enumerate(mappings)]
+    matched = F.array_compact(F.array(*[F.when(c >= MATCHED, F.lit(name)) for name, _, c, _ in own]))
+    last = {name: F.when(f.isNotNull(), F.struct(F.lit(name).alias("key"), F.struct(f.alias("similarity"), c.alias("confidence"), F.lit(w).alias("weight"), (f * w).alias("weighted_score")).alias("value"))) for name, f, c, w in own}
+    results = F.map_from_entries(F.array_compact(F.array(*last.values())))  # a field mapped twice keeps the later result
+    return kept.select("id1", "id2", "m.similarity", "m.confidence", matched.alias("matched_fields"), pick([F.lit(kind) for kind in kinds], F.col("m.best")).alias("algorithm"), results.alias("field_results"))
 
 
-def _record(k: int, kind: str, mappings: list[FieldMapping]) -> Column:
-    scored = [(m.source, F.col(f"f{k}_{i}"), S.confidence(F.col(f"f{k}_{i}"), PENALTY.get(kind, 0.0)), float(m.weight)) for i, m in enumerate(mappings)]
-    weights = sum(F.when(s.isNotNull(), w).otherwise(0.0) for _, s, _, w in scored)
-    total = sum(F.coalesce(s * w, F.lit(0.0)) for _, s, _, w in scored)
-    similarity = F.when(weights > 0, total / weights).otherwise(0.0)
-    matched = F.array_compact(F.array(*[F.when(c >= MATCHED, F.lit(name)) for name, _, c, _ in scored]))
-    boosted = F.least(similarity + F.least(F.lit(BOOST) * F.size(matched), F.lit(MAX_BOOST)), F.lit(100.0))
-    last = {name: F.when(s.isNotNull(), F.struct(F.lit(name).alias("key"), F.struct(s.alias("similarity"), c.alias("confidence"), F.lit(w).alias("weight"), (s * w).alias("weighted_score")).alias("value"))) for name, s, c, w in scored}
-    results = F.map_from_entries(F.array_compact(F.array(*last.values())))  # a field mapped twice keeps the later result
-    return F.struct(similarity.alias("similarity"), F.when(weights > 0, boosted).otherwise(0.0).alias("confidence"), matched.alias("matched_fields"), results.alias("field_results"))
+def _chain(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first case that holds."""
+    out = F.when(*cases[0])
+    for holds, value in cases[1:]:
+        out = out.when(holds, value)
+    return out
 
 
-def best(scores: list[tuple[str, Column]]) -> Column:
-    """The algorithm with the highest similarity above 0; the earlier one of equals.  Null if none."""
-    top = F.array_max(F.array(*[F.struct(s["similarity"].alias("s"), F.lit(-i).alias("o")) for i, (_, s) in enumerate(scores)]))
-    each = F.array(*[F.struct(s["similarity"].alias("similarity"), s["confidence"].alias("confidence"), s["matched_fields"].alias("matched_fields"), F.lit(name).alias("algorithm"), s["field_results"].alias("field_results")) for name, s in scores])
-    return F.when(top["s"] > 0, F.element_at(each, F.lit(1) - top["o"]))
+def _totals(k: int, kind: str, mappings: list[FieldMapping]) -> tuple[Column, Column]:
+    """Similarity and confidence of an algorithm: the weighted mean over filled fields, raised for each matched one."""
+    each = [(F.col(f"f{k}_{i}"), S.confidence(F.col(f"f{k}_{i}"), PENALTY.get(kind, 0.0)), float(m.weight)) for i, m in enumerate(mappings)]
+    weights = sum(F.when(s.isNotNull(), w).otherwise(0.0) for s, _, w in each)
+    total = sum(F.coalesce(s * w, F.lit(0.0)) for s, _, w in each)
+    similarity = F.when(weights > 0, total / weights).otherwise(0.0)
+    n = sum(F.when(c >= MATCHED, 1.0).otherwise(0.0) for _, c, _ in each)
+    return similarity, F.when(weights > 0, F.least(similarity + F.least(F.lit(BOOST) * n, F.lit(MAX_BOOST)), F.lit(100.0))).otherwise(0.0)

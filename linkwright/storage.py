@@ -32,18 +32,23 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str = "table", keep: bool = False, rows: int = 0) -> DataFrame:
     """df written to a new shared folder and read back: plans don't grow, nothing is worked out twice, and no row changes its place.
 
-    keep: not deleted by a scratch() around it.
+    keep: not deleted by a scratch() around it.  rows: the most a file holds (0: any number).
     """
     path = new_path(df.sparkSession, name)
     if (made := _made.get()) is not None and not keep:
         made.append(path)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size of a plan's result as Spark's optimizer knows it: of a stored table, that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
