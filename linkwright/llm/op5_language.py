@@ -39,6 +39,11 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def _within(ends: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Where texts that end there begin and end within the n characters from at on."""
+    return np.clip(np.concatenate([np.zeros(1, np.int64), ends]) - at, 0, n)
+
+
 def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of all n-grams and the text of each, for CHARS characters of the texts at a time."""
     lowered = [(t or "").lower() for t in texts]
@@ -56,12 +61,13 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         keep[0] |= at == 0
         last = bool(letter[-1])
         kept.append(np.where(letter, some, 0x20)[keep].astype(np.uint32))
-        sizes += np.bincount(np.searchsorted(ends, at + np.flatnonzero(keep), "right"), minlength=len(texts))
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
+        sizes += np.diff(upto[_within(ends, at, len(some))])
     code, ends = np.concatenate(kept), np.cumsum(sizes)
     longest = max(GRAMS)
     for at in range(0, len(code), CHARS):
         some = code[at : at + CHARS + longest - 1].astype(np.uint64)
-        row, letter = np.searchsorted(ends, at + np.arange(len(some)), "right"), some != 0x20
+        row, letter = np.repeat(np.arange(len(texts)), np.diff(_within(ends, at, len(some)))), some != 0x20
         buckets, rows = [], []
         for n in GRAMS:
             m = min(CHARS, len(some) - n + 1)
