@@ -313,12 +313,11 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     doc_id and fingerprint the least text hash stays, of equal rows one.  A null
     text stays unless an earlier document has no words either.
     """
-    columns = docs.columns
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
     near = near_duplicates(rows, max_bits).where("doc_id = component_id")
-    chosen = near.groupBy("doc_id", "fp").agg(F.min("text_key").alias("__key")).select(F.col("doc_id").alias("__id"), "__key").distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), last), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    order = Window.partitionBy("__id", "__key").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    kept = keyed.join(chosen, ["__id", "__key"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return kept.select(*[f"`{c}`" for c in columns])
+    chosen = near.groupBy("doc_id", "fp").agg(F.min("text_key").alias("key")).select(F.col("doc_id").alias("id"), "key").distinct()
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*whole).alias("row"), F.xxhash64(*[c.cast("string") for c in whole]).alias("rank"))
+    kept = keyed.join(chosen, ["id", "key"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("rank"))).where("n = 1")
+    return kept.select("row.*")

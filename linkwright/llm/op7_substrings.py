@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import input_bytes, shuffle_partitions, small_batches, steady, stored
+from .shared import apart, input_bytes, shuffle_partitions, small_batches, steady, stored
 
 WINDOW = 50
 #: Windows of a chunk; bounds a task's memory.
@@ -287,6 +287,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Only documents that a bitmap of fixed size says may lose words are shuffled to
     meet their spans; the bitmap alone is sent to all tasks.
     """
+    return apart(docs, lambda rows: _cut(rows, window), [name for name, _ in FIELDS])
+
+
+def _cut(docs: DataFrame, window: int) -> DataFrame:
     spans = stored(removed_spans(docs, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "spans")
     mine = F.col("doc_id").cast("long")
     placed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__place", _place(mine, F.col("__own")))

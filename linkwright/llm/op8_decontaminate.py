@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import forget, small_batches, stored
+from .shared import apart, forget, small_batches, stored
 
 WINDOW, SHINGLE = 10, 3
 #: Pairs and bytes that a block has, about.
@@ -186,8 +186,11 @@ def shingle_counts(docs: DataFrame, wanted: Block) -> tuple[np.ndarray, np.ndarr
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, n_hit, hit_words (one bit for each word) and items (sorted ids with a window in the text)."""
-    out = docs.drop(*[name for name, _ in FIELDS]).withColumns({"hit_words": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    found = False
+    return apart(docs, lambda rows: _found(rows, benchmark), [name for name, _ in FIELDS])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    out, found = docs.withColumns({"hit_words": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")}), False
     for block in blocks(benchmark):
         block.file(*shingle_counts(docs, block))
         out, found = _marked(out, block), True

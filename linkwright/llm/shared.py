@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..storage import forget, scratch, shared_dir
 
-__all__ = ["documents", "forget", "input_bytes", "remainder", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "steady", "stored"]
+__all__ = ["apart", "documents", "forget", "input_bytes", "remainder", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "steady", "stored"]
 
 
 #: Session settings of Arrow batches that the operators put in place of Spark's defaults.
@@ -61,3 +63,21 @@ def remainder(column: str, n: int):
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: The column that stands for all others than doc_id and text while an operator works.
+_OTHERS = "__others"
+
+
+def apart(docs: DataFrame, run: Callable[[DataFrame], DataFrame], added: list[str]) -> DataFrame:
+    """run(doc_id, text and one column for all others), then the columns of docs again and those that run added.
+
+    So no column of docs can take the name of one that the operator uses on its
+    way; one named like a result is replaced by it.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *added)]
+    if not others:
+        return run(docs.select("doc_id", "text")).select("doc_id", "text", *added)
+    out = run(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias(_OTHERS)))
+    whole = [F.col(c) if c in ("doc_id", "text") else F.col(_OTHERS)[c].alias(c) for c in docs.columns if c not in added]
+    return out.select(*whole, *added)

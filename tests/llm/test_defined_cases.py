@@ -47,7 +47,7 @@ def test_a_text_of_20_mb(spark, long, benchmark):
     r = op7_substrings.remove_repeats(long).select("n_words", "n_removed", F.length("kept_text").alias("n")).first()
     assert tuple(r) == (4 * N, 0, len(UNIT) * N - 1)
     r = op8_decontaminate.contamination(long, benchmark).select("n_words", "n_hit", "items").first()
-    assert tuple(r) == (4 * N, 4 * N, ["a"])
+    assert tuple(r) == (4 * N, 4 * N - 2, ["a"])  # the last window ends two words before the end
     r = op9_dropout.decode(op9_dropout.encode(long, PIECES), PIECES).select("n_ids", F.expr("decoded <=> text").alias("same")).first()
     assert r["same"] and r["n_ids"] > per * N
     r = op10_lines.clean_lines(long).drop("clean_text", "text").first()
