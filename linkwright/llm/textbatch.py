@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
@@ -25,6 +26,8 @@ from .shared import small_batches
 SLICE_BYTES = 1 << 19
 #: What is worked out byte by byte goes by pieces of so many bytes, so a long text needs no more.
 PIECE = 1 << 19
+#: Bytes of a word up to which the polynomial hashes are used.
+SHORT_WORD = 32
 _U64 = np.uint64
 #: Odd multipliers of the polynomial hashes modulo 2**64, and a second pair for independent ones.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -159,7 +162,11 @@ class Words:
         return len(self.starts)
 
     def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
-        """A hash of each word; another base gives an independent one."""
+        """A hash of each word; another base gives an independent one.
+
+        Words above SHORT_WORD bytes are hashed by XXH64: sums modulo 2**64 are alike for
+        some long words whatever the base (a Thue-Morse word and its complement).
+        """
         out, at, codes = np.empty(len(self), _U64), 0, byte_codes()
         while at < len(self):
             low = int(self.starts[at])
@@ -167,13 +174,10 @@ class Words:
             if to > at:
                 p = prefix_hashes(codes[self.buf[low : self.ends[to - 1]]], base)
                 out[at:to] = span_hashes(p, self.starts[at:to] - low, self.ends[at:to] - low, base)
-            else:  # a word longer than a piece
-                to, total = at + 1, 0
-                for k in range(low, int(self.ends[at]), PIECE):
-                    p = prefix_hashes(codes[self.buf[k : min(k + PIECE, self.ends[at])]], base)
-                    total += int(p[-1]) * pow(base, k - low, 1 << 64)
-                out[at:to] = mix64(np.array([total & (1 << 64) - 1], _U64))
-            at = to
+            at = max(to, at + 1)  # a word longer than a piece is a long one
+        raw, seed = memoryview(self.buf), base & (1 << 64) - 1
+        for k in np.flatnonzero(self.ends - self.starts > SHORT_WORD).tolist():
+            out[k] = xxhash.xxh64_intdigest(raw[self.starts[k] : self.ends[k]], seed)
         return out
 
     def rows(self) -> np.ndarray:
