@@ -61,3 +61,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 2 * lost <= n_words AS kept
 FROM base
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text by the table tab, which the query has to have."""
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+OP13 = f"""
+WITH RECURSIVE
+t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))),
+raw AS (SELECT *, unnest(range(greatest(coalesce(click_id % 3, 0), 0) + 1)) AS j FROM clicks WHERE arrived_at IS NOT NULL),
+coded AS (SELECT raw.*, {_crc32("coalesce(click_id::VARCHAR, '') || ':' || j::VARCHAR")} AS c FROM raw, t),
+timed AS (SELECT click_id, floor(epoch_us(arrived_at) / 3600000000)::BIGINT + 6 * j * (c % 10) AS hour, c,
+                 sha256(coalesce(client_id::VARCHAR, '') || '|' || coalesce(kind, '') || '|' || coalesce(floor(100 * value + 0.5)::BIGINT::VARCHAR, '') || '|'
+                        || coalesce(epoch_us(ts)::VARCHAR, '') || '|' || coalesce(props, '') || '|' || (c % 3)::VARCHAR) AS hash FROM coded),
+late AS (SELECT click_id, hour, hash, hour + (c // 10) % 200 AS l FROM timed),
+cut AS (SELECT click_id, hour, hash, ((l - min(l) OVER ()) * 12) // (max(l) OVER () - min(l) OVER () + 1) AS batch FROM late),
+step AS (SELECT b, (SELECT max(hour) FROM cut WHERE batch < b) AS m FROM range(13) r(b)),
+kept AS (SELECT click_id, hour, hash, batch, row_number() OVER (PARTITION BY click_id ORDER BY batch, hour, hash) AS k
+         FROM cut JOIN step ON b = batch WHERE batch = 0 OR hour >= m - 48),
+walk AS (SELECT click_id, k, hour AS start_hour, batch AS opened, hash AS opener, 1 AS w, hash, batch FROM kept WHERE k = 1
+         UNION ALL
+         SELECT kept.click_id, kept.k, CASE WHEN kept.hour <= start_hour + 72 THEN start_hour ELSE kept.hour END, CASE WHEN kept.hour <= start_hour + 72 THEN opened ELSE kept.batch END,
+                CASE WHEN kept.hour <= start_hour + 72 THEN opener ELSE kept.hash END, CASE WHEN kept.hour <= start_hour + 72 THEN w ELSE w + 1 END, kept.hash, kept.batch
+         FROM walk JOIN kept ON kept.click_id IS NOT DISTINCT FROM walk.click_id AND kept.k = walk.k + 1),
+summed AS (SELECT click_id, w, any_value(start_hour) AS start_hour, any_value(opened) AS opened, any_value(opener) AS hash, count(*) - 1 AS n_repeats, count(*) FILTER (walk.hash <> opener) AS n_conflicts,
+                  coalesce(sum({_crc32("walk.hash")}) FILTER (walk.hash <> opener), 0) AS conflict_crc
+           FROM walk, t GROUP BY click_id, w),
+ends AS (SELECT *, lead(opened) OVER (PARTITION BY click_id ORDER BY w) AS next FROM summed)
+SELECT click_id, start_hour, least(coalesce(next, 11), coalesce((SELECT min(b) - 1 FROM step WHERE b > opened AND start_hour + 72 < m - 48), 11), 11)::BIGINT AS closed_batch,
+       n_repeats::BIGINT AS n_repeats, n_conflicts::BIGINT AS n_conflicts, conflict_crc::BIGINT AS conflict_crc, hash
+FROM ends
+"""

@@ -1,4 +1,4 @@
-"""Driver queries of the ten operators; each derives its contract's columns from its operator."""
+"""Driver queries of the dealt operators; each derives its contract's columns from its operator."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from .op3_counts import count_tokens
 from .op7_substrings import remove_repeats
 from .op8_decontaminate import contamination
 from .op10_lines import clean_lines
+from .op13_clicks import deduplicate
 from .shared import documents, remainder
 
 
@@ -79,5 +80,9 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines)}
-ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10}
+def op13_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines, op13_clicks)}
+ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10, "op13_clicks": oracles.OP13}
