@@ -10,6 +10,7 @@ from . import op4_quality as quality
 from . import op5_language as language
 from . import op6_toxicity as toxicity
 from . import op9_dropout as dropout
+from . import op12_bytes as byte_bpe
 from . import oracles
 from .labelled import sample
 from .op1_rans import encode_documents, read_documents
@@ -80,9 +81,15 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks).drop("text")
+    return byte_bpe.decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines, op13_clicks)}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines, op12_bytes, op13_clicks)}
 ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10, "op13_clicks": oracles.OP13}
