@@ -19,6 +19,7 @@ from .op3_counts import count_tokens
 from .op7_substrings import remove_repeats
 from .op8_decontaminate import contamination
 from .op10_lines import clean_lines
+from .op11_phrases import collocations
 from .op13_clicks import deduplicate
 from .shared import documents, remainder
 
@@ -81,6 +82,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op12_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks).drop("text")
@@ -91,5 +96,5 @@ def op13_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines, op12_bytes, op13_clicks)}
-ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10, "op13_clicks": oracles.OP13}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_simhash, op3_counts, op4_quality, op5_language, op6_toxicity, op7_substrings, op8_decontaminate, op9_dropout, op10_lines, op11_phrases, op12_bytes, op13_clicks)}
+ORACLE_SQL = {"op7_substrings": oracles.OP7, "op8_decontaminate": oracles.OP8, "op10_lines": oracles.OP10, "op11_phrases": oracles.OP11, "op13_clicks": oracles.OP13}
