@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import soundex_code
+from ..storage import plan_bytes, stored
 
 PREFIXES, NGRAM = (2, 3, 4), 3
 #: Expected records a key, by strategy, for the selectivity estimate.
@@ -116,6 +117,38 @@ def candidate_pairs(left: DataFrame, right: DataFrame, max_block: int | None = N
     return pairs.select("id1", "id2").distinct()
 
 
+#: Rows of one side that a part of a block has, about; pairs that a task makes, about; tasks at most; bytes of a table that is sent to all.
+PART_ROWS, TASK_PAIRS, TASKS, SENT = 2_000, 4_000_000, 20_000, 8 << 20
+
+
+def adaptive_pairs(left: DataFrame, right: DataFrame, part_rows: int = PART_ROWS, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Distinct (id1, id2) of two indexes whose records share a key, as candidate_pairs gives them, in tasks of like size.
+
+    A block with more rows of a side than part_rows is cut into parts of that side by
+    a hash of the id; each part of the left meets each part of the right, so no pair
+    is lost and a row is sent once for each part of the other side.  Parts are dealt
+    out over as many tasks as their pairs need, which Spark doesn't merge again: it
+    would go by their bytes, which say nothing of the pairs.
+    """
+    count = lambda rows, n: rows.groupBy("strategy", "key").agg(F.count("*").alias(n))
+    parts = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
+    sizes = stored(count(left, "n1").join(count(right, "n2"), ["strategy", "key"]).select("strategy", "key", "n1", "n2", parts("n1").alias("parts1"), parts("n2").alias("parts2")), "blocks")
+    total = sizes.agg(F.sum(F.col("n1").cast("double") * F.col("n2"))).first()[0] or 0.0
+    tasks = int(min(TASKS, max(1, -(-total // task_pairs), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    large = stored(sizes.where("parts1 > 1 OR parts2 > 1").drop("n1", "n2"), "large")  # few: each holds more than part_rows rows
+    sent = F.broadcast(large) if plan_bytes(large) <= SENT else large
+
+    def cut(rows: DataFrame, own: int, other: int) -> DataFrame:
+        """Every row in its part of its block, once for each part of the other side."""
+        rows = rows.withColumnRenamed("id", f"id{own}").join(sent, ["strategy", "key"], "left")
+        mine = F.pmod(F.xxhash64(f"id{own}"), F.coalesce(F.col(f"parts{own}"), F.lit(1))).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"parts{other}"), F.lit(1)) - 1))
+        return rows.select("strategy", "key", f"id{own}", mine.alias(f"part{own}"), theirs.alias(f"part{other}")).repartition(tasks, "strategy", "key", "part1", "part2")
+
+    on = ["strategy", "key", "part1", "part2"]
+    return cut(left, 1, 2).join(cut(right, 2, 1).hint("shuffle_hash"), on).select("id1", "id2").distinct()
+
+
 def block_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("strategy", "key").agg(F.countDistinct("id").alias("size"))
 

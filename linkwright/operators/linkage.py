@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..storage import plan_bytes, scratch, stored
 from . import blocking
+from .canopy import canopy_pairs
+from .ordering import neighbour_pairs
 from .scoring import ORDER, Algorithm, FieldMapping, prepared, prepared_columns, scored
 
-CARDINALITIES = ("many_to_many", "one_to_one", "one_to_many", "many_to_one")
+CARDINALITIES = ("many_to_many", "one_to_one", "one_to_many", "many_to_one", "stable_one_to_one")
+METHODS = ("keys", "adaptive", "sorted_neighbourhood", "canopy")
 HIGH = 85.0
 #: Bytes of stored normal forms that are sent to all executors; pairs that a task scores at least, and tasks at most.
 SENT, PAIRS, TASKS = 16 << 20, 50_000, 20_000
@@ -36,6 +41,11 @@ class LinkageConfig:
     max_block: int | None = None
     #: Pairs of fields that the blocking keys are made of, instead of those that are compared.
     block_on: tuple[tuple[str, str], ...] | None = None
+    #: How candidates are found: keys in common; the same in tasks of like size; places in sorted orders; canopies in common.
+    method: str = "keys"
+    #: Places of the sorted neighbourhood; loose and tight similarity of canopies.
+    window: int = 10
+    canopy: tuple[float, float] = (0.4, 0.6)
 
     def __post_init__(self):
         if not self.mappings:
@@ -44,6 +54,10 @@ class LinkageConfig:
             raise ValueError("the threshold lies between 0 and 100")
         if self.cardinality not in CARDINALITIES:
             raise ValueError(f"cardinality is one of {CARDINALITIES}")
+        if self.method not in METHODS:
+            raise ValueError(f"method is one of {METHODS}")
+        if self.max_block is not None and self.method != "keys":
+            raise ValueError("max_block goes with keys alone")
 
     def enabled(self) -> list[Algorithm]:
         """Enabled algorithms, the fixed order first; all three if none is configured."""
@@ -64,10 +78,19 @@ def candidates(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linkage
     """(id1, id2) to compare: blocked, or all (the opt-in without blocking)."""
     if not config.use_blocking:
         return d1.select(F.col(id1).alias("id1")).crossJoin(d2.select(F.col(id2).alias("id2")))
-    fields1, fields2 = map(list, zip(*(config.block_on or [(m.source, m.target) for m in config.mappings]), strict=True))
+    on = config.block_on or [(m.source, m.target) for m in config.mappings]
+    if config.method == "sorted_neighbourhood":
+        key = lambda f: F.lower(T.trimmed(F.col(f"`{f}`").cast("string")))
+        return neighbour_pairs(d1, d2, id1, id2, [(key(a), key(b)) for a, b in on], config.window)
+    if config.method == "canopy":
+        found = [canopy_pairs(d1, d2, id1, id2, a, b, *config.canopy) for a, b in on]
+        return reduce(DataFrame.union, found).distinct()
+    fields1, fields2 = map(list, zip(*on, strict=True))
     strategies = list(config.strategies or blocking.select_strategies(d1, fields1, id1, config.strict))
     fewer = config.max_block is None  # a bound on blocks is meant for all keys
     left, right = blocking.index(d1, id1, fields1, strategies, fewer), blocking.index(d2, id2, fields2, strategies, fewer)
+    if config.method == "adaptive":
+        return blocking.adaptive_pairs(left, right)
     return blocking.candidate_pairs(left, right, config.max_block)
 
 
@@ -89,7 +112,9 @@ def score_pairs(pairs: DataFrame, d1: DataFrame, d2: DataFrame, id1: str, id2: s
 
 
 def with_cardinality(matches: DataFrame, cardinality: str) -> DataFrame:
-    """many_to_one keeps the best of each id1, one_to_many of each id2, one_to_one the mutually best."""
+    """many_to_one keeps the best of each id1, one_to_many of each id2, one_to_one the mutually best; for stable_one_to_one see stable_pairs."""
+    if cardinality == "stable_one_to_one":
+        return stable_pairs(matches)
     out = matches
     for key, other, kinds in (("id1", "id2", ("many_to_one", "one_to_one")), ("id2", "id1", ("one_to_many", "one_to_one"))):
         if cardinality in kinds:
@@ -100,6 +125,27 @@ def with_cardinality(matches: DataFrame, cardinality: str) -> DataFrame:
     return out.select(*matches.columns)
 
 
+def stable_pairs(matches: DataFrame, seed: int = 0) -> DataFrame:
+    """One-to-one matches of which none that is left out could be added or put in place of worse ones.
+
+    In rounds, mutually best pairs are taken and all others of their records removed,
+    until none is left: the same as taking all pairs in their order, the best first,
+    where both records are free.  Order: confidence, similarity (both
+    to nine digits), a keyed hash of the pair, ids.  The hash lets groups of equal records pair off in a few rounds; by ids
+    alone each round would settle one pair of a group.
+    """
+    score = lambda c: (-F.round(c, 9)).alias(c)
+    place = F.struct(score("confidence"), score("similarity"), F.md5(F.concat_ws(":", F.lit(str(seed)), "id1", "id2").cast("binary")).alias("hash"), "id1", "id2")
+    left, chosen = stored(matches.select("id1", "id2", place.alias("o")), "pairs"), []
+    while not left.isEmpty():
+        first = lambda c: F.min("o").over(Window.partitionBy(c))
+        ranked = left.withColumn("b1", first("id1")).withColumn("b2", first("id2"))
+        best = stored(ranked.where("o = b1 AND o = b2").select("id1", "id2"), "best")
+        chosen.append(best)
+        left = stored(left.join(best.select("id1"), "id1", "left_anti").join(best.select("id2"), "id2", "left_anti").select("id1", "id2", "o"), "pairs")
+    return matches.join(reduce(DataFrame.union, chosen), ["id1", "id2"], "left_semi") if chosen else matches
+
+
 def unmatched(df: DataFrame, id_column: str, matched_ids: DataFrame, by_value: bool = False) -> DataFrame:
     """Records without a match: by id, or (strict) also without an equal record that has one."""
     ids = matched_ids.distinct()
@@ -143,6 +189,8 @@ def find_matches(d1: DataFrame, d2: DataFrame, id1: str, id2: str, config: Linka
             # few bytes but much work each: dealt out by number, not by size
             pairs = pairs.repartition(max(1, -(-n_compared // max(PAIRS, n_compared // TASKS))))
         found = score_pairs(pairs, d1, d2, id1, id2, config)
+        if config.cardinality == "stable_one_to_one":
+            found = stored(found, "found")  # read in every round
         matches = stored(with_cardinality(found, config.cardinality), "matches", keep=True)
     r1 = d1.select(F.col(id1).alias("id1"), F.struct(*[F.col(f"`{c}`") for c in d1.columns]).alias("record1"))
     r2 = d2.select(F.col(id2).alias("id2"), F.struct(*[F.col(f"`{c}`") for c in d2.columns]).alias("record2"))
