@@ -188,6 +188,15 @@ def scan_find_bytes(spark, sf_dir):
     return files.find_bytes(spark, path, b"ring").select(F.split("line", ",")[0].cast("long").alias("p_partkey"), F.col("at").cast("long").alias("at"))
 
 
+@query("WITH p AS (SELECT unnest(['ring', 'e', 'ee']) AS pattern) SELECT pattern, count(*)::BIGINT AS places FROM (SELECT pattern, unnest(range(1, length(p_name) + 1)) AS i, p_name FROM part, p) WHERE substr(p_name, i, length(pattern)) = pattern GROUP BY pattern")
+def scan_find_places(spark, sf_dir):
+    """How often each pattern begins in files of all part names."""
+    path = shared(spark)
+    table(spark, sf_dir, "part").select("p_name").write.text(path)
+    found = [files.find_places(spark, path, x.encode()).select(F.lit(x).alias("pattern")) for x in ("ring", "e", "ee")]
+    return found[0].union(found[1]).union(found[2]).groupBy("pattern").agg(F.count("*").alias("places"))
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def scan_json_lines(spark, sf_dir):
     path = sinks.save(table(spark, sf_dir, "nation"), shared(spark), "json")[0]

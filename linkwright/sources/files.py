@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -58,16 +59,35 @@ def detect_encoding(data: bytes) -> str:
         return "windows-1251" if letters > 0.2 * max(1, len(data)) else "ISO-8859-1"
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The encoding of whole files: by the head where that tells, else UTF-8 only if every line is.
+
+    A head of plain ASCII says nothing of what follows, so all lines are checked, in
+    one pass.  Of lines that aren't UTF-8, bytes above 127 that stand together are
+    Cyrillic words, single ones are accented letters.
+    """
+    data = head(spark, path)
+    named = detect_encoding(data)
+    if named != "UTF-8" or data.startswith(codecs.BOM_UTF8):
+        return named
+    lines = spark.read.text(path).where("NOT is_valid_utf8(value)").select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("t"))
+    high, runs = (F.sum(F.length("t") - F.length(F.regexp_replace("t", p, ""))) for p in ("[\u0080-\u00FF]", "[\u0080-\u00FF]{2,}"))
+    found = lines.agg(F.count("*").alias("n"), high.alias("high"), runs.alias("runs")).first()
+    if not found["n"]:
+        return named
+    return "windows-1251" if 2 * found["runs"] > found["high"] else "ISO-8859-1"
+
+
 def detect_delimiter(line: str) -> str:
     """The first usual delimiter that parts the header; a comma for a single column."""
     return next((d for d in DELIMITERS if d in line), ",")
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, infer: bool = False) -> DataFrame:
-    """Header and text columns; delimiter and encoding are detected where not given."""
+    """Header and text columns; delimiter (by the header) and encoding (by all bytes, a pass of its own) are detected where not given."""
     if delimiter is None or encoding is None:
         data = head(spark, path)
-        encoding = encoding or detect_encoding(data)
+        encoding = encoding or encoding_of(spark, path)
         delimiter = delimiter or detect_delimiter(data.decode(encoding, "replace").lstrip("﻿").split("\n", 1)[0])
     known = encoding.lower() != "windows-1251"  # which Spark doesn't read: bytes are read as they are and then translated
     df = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding if known else "ISO-8859-1").option("inferSchema", infer).csv(path)
@@ -141,12 +161,77 @@ def count_lines_csv(spark: SparkSession, path: str, delimiter: str = ",") -> int
 
 
 def find_bytes(spark: SparkSession, path: str, pattern: bytes) -> DataFrame:
-    """(path, at, line): the lines of files that hold a byte pattern, with the place (in bytes, from 0) where it first begins in the line."""
+    """(path, at, line): the lines of files that hold a byte pattern, with the place (in bytes, from 0) where it first begins in the line; bytes of any encoding."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    at = F.expr(f"instr(decode(encode(value, 'UTF-8'), 'ISO-8859-1'), decode(unhex('{pattern.hex()}'), 'ISO-8859-1')) - 1")
+    at = F.expr(f"instr(decode(cast(value AS binary), 'ISO-8859-1'), decode(unhex('{pattern.hex()}'), 'ISO-8859-1')) - 1")
     return lines.select("path", at.alias("at"), F.col("value").alias("line")).where("at >= 0")
 
 
+def find_places(spark: SparkSession, path: str, pattern: bytes) -> DataFrame:
+    """(path, at): every place, in bytes from 0, where a pattern begins in files of any bytes; places may overlap.
+
+    Tasks read ranges of bytes.  Records end at a byte that the pattern doesn't have
+    (the most frequent such ASCII byte of the head), so none crosses two of them, line
+    ends or not.  A record's place is the bytes of earlier ranges, which are summed up
+    by range, and those before it in its own.  A byte order mark, which the reader
+    leaves out, is told by the file's size and put back.
+    """
+    if not pattern:
+        raise ValueError("the pattern is empty")
+    free = [b for b in range(128) if b not in pattern]
+    if not free:
+        raise ValueError("the pattern has every ASCII byte")
+    data = head(spark, path)
+    end = max(free, key=lambda b: (data.count(bytes([b])), b == 10))
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_size")]
+    records = spark.read.option("lineSep", chr(end)).text(path).select(*meta, F.col("value").cast("binary").alias("data"))
+    ranges = records.groupBy("file_path", "file_size", "file_block_start").agg(F.sum(F.length("data") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("n").over(Window.partitionBy("file_path"))
+    mark = F.when(F.col("file_size") - F.col("whole") >= 2, len(codecs.BOM_UTF8)).otherwise(0)  # without one, all but the last record's end is there
+    ranges = ranges.select("file_path", "file_block_start", F.coalesce(before, F.lit(0)).alias("before"), whole.alias("whole"), "file_size").withColumn("mark", mark)
+
+    def run(batches):
+        now, at = None, 0
+        for batch in batches:
+            out = []
+            for name, start, record in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if (name, start) != now:
+                    now, at = (name, start), 0
+                    if start == 0:  # places in a byte order mark, should there be one
+                        marked = codecs.BOM_UTF8 + record
+                        out += [(name, start, k - 3) for k in range(3) if marked.startswith(pattern, k)]
+                k = record.find(pattern)
+                while k >= 0:
+                    out.append((name, start, at + k))
+                    k = record.find(pattern, k + 1)
+                at += len(record) + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file_path", "file_block_start", "place"])
+
+    found = records.mapInArrow(run, "file_path string, file_block_start long, place long")
+    joined = found.join(ranges, ["file_path", "file_block_start"]).where("place >= 0 OR mark > 0")
+    return joined.select(F.col("file_path").alias("path"), (F.col("before") + F.col("place") + F.col("mark")).alias("at"))
+
+
+def read_line(spark: SparkSession, path: str, offset: int = 0, chunk: int = 1 << 16) -> tuple[bytes, int]:
+    """The bytes from an offset to the end of its line, line feed included, and the offset behind them; nothing at or behind the end of the file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, line = fs.getFileStatus(p).getLen(), b""
+    if offset >= size:
+        return b"", offset
+    stream = fs.open(p)
+    try:
+        stream.seek(offset)
+        while offset + len(line) < size and not line.endswith(b"\n"):
+            more = bytes(stream.readNBytes(min(chunk, size - offset - len(line))))
+            line += more[: more.find(b"\n") + 1] if b"\n" in more else more
+    finally:
+        stream.close()
+    return line, offset + len(line)
+
+
 def map_chunks(df: DataFrame, f: Callable, schema: str, chunk_rows: int = 10_000) -> DataFrame:
     """f(pandas frame) over chunks of at most chunk_rows rows; None is left out."""
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators import results as R
 from ..storage import delete, new_path
 
+#: Bytes of a file that is read as one document.
+SMALL = 1 << 30
 FORMATS = ("csv", "json", "excel", "parquet")
 
 
@@ -28,10 +30,13 @@ def _write_text(spark: SparkSession, path: str, data: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """A whole small file (a report, a session document) from any store."""
+    """A whole small file (a report, a session document) from any store; one above SMALL bytes is refused, not cut."""
     from .files import head
 
-    return head(spark, path, 1 << 30).decode("utf-8-sig")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() > SMALL:
+        raise ValueError(f"{path} is larger than {SMALL} bytes")
+    return head(spark, path, SMALL).decode("utf-8-sig")
 
 
 def _written_rows(df: DataFrame, write) -> int:
