@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import soundex_code
 from ..storage import plan_bytes, stored
+from .ordering import numbered
 
 PREFIXES, NGRAM = (2, 3, 4), 3
 #: Expected records a key, by strategy, for the selectivity estimate.
@@ -173,11 +174,15 @@ def block_info(rows: DataFrame) -> DataFrame:
 
 
 def split_blocks(rows: DataFrame, max_size: int) -> DataFrame:
-    """Keys of large blocks get the number of their part, parts of max_size in the order of the ids."""
-    by = Window.partitionBy("strategy", "key")
-    part = F.floor((F.row_number().over(by.orderBy("id")) - 1) / max_size)
-    large = F.count("*").over(by) > max_size
-    return rows.select("strategy", F.when(large, F.concat_ws("_", "key", part.cast("string"))).otherwise(F.col("key")).alias("key"), "id")
+    """Keys of large blocks get the number of their part, parts of max_size in the order of the ids.
+
+    Rows are numbered over the whole index in ranges, so a large block isn't sorted
+    by one task; a block's first number makes them numbers of its own.
+    """
+    placed = numbered(rows.select("strategy", "key", "id"), ["strategy", "key", "id"])
+    blocks = placed.groupBy("strategy", "key").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    part = F.floor((F.col("place") - F.col("first")) / max_size).cast("string")
+    return placed.join(blocks, ["strategy", "key"]).select("strategy", F.when(F.col("n") > max_size, F.concat_ws("_", "key", part)).otherwise(F.col("key")).alias("key"), "id")
 
 
 def selectivity(values: DataFrame, column: str, strategy: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row numbers of a whole table, and sorted neighbours, without a task that holds all rows."""
+"""Row numbers and running sums of a whole table, and sorted neighbours, without a task that holds all rows."""
 
 from __future__ import annotations
 
@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """df with name: 0, 1, ... in the order of the columns, nulls first.
+def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with name: the sum of value over all rows before it in the order of the columns (nulls first).
 
     Rows are dealt out by ranges of the order and stored, so that their range is
-    fixed; a number is the rows of smaller ranges and the row's place within its own.
+    fixed; a row's sum is that of smaller ranges and of the rows before it in its own.
     Rows equal in all columns of the order stay in one range, so end it with an id.
     """
-    rows = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    rows = stored(df.repartitionByRange(*order).withColumns({"__range": F.spark_partition_id(), "__value": value}), "ranges")
+    sizes = rows.groupBy("__range").agg(F.sum("__value").alias("__n"))  # a row a range
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__range") < F.col("a.__range"), "left")
     before = before.groupBy(F.col("a.__range").alias("__range")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]))
-    return rows.withColumn("__in", inside).join(before, "__range").withColumn(name, F.col("__before") + F.col("__in") - 1).drop("__range", "__in", "__before")
+    earlier = Window.partitionBy("__range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("__in", F.coalesce(F.sum("__value").over(earlier), F.lit(0)))
+    return inside.join(before, "__range").withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__value", "__in", "__before")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """df with name: 0, 1, ... in the order of the columns, nulls first; see running()."""
+    return running(df, order, F.lit(1).cast("long"), name)
 
 
 def within(left: DataFrame, right: DataFrame, place: str, reach: int) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .results import text_columns
 
 # The detectors (Java and Python read them alike) and the default rules.
@@ -164,17 +165,9 @@ def anonymize(df: DataFrame, policy: Policy | None = None, columns: list[str] |
 
 
 def pseudonymize(df: DataFrame, column: str, order: str, prefix: str = "ANON") -> DataFrame:
-    """Values replaced by prefix_000001.. in the order in which they first appear.
-
-    Numbers come from a sort of the distinct values in ranges: a count for each
-    range, then numbers inside ranges, so no task sees all values.
-    """
+    """Values replaced by prefix_000001.. in the order in which they first appear; numbers of ranges of the distinct values, see numbered()."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.min(order).alias("__o"))
-    ranged = firsts.repartitionByRange("__o", "__v").withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy("__o", "__v")))
-    totals = ranged.groupBy("__p").agg(F.max("__n").alias("__c"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__c"), F.lit(0)).alias("__b"))
-    names = ranged.join(before, "__p").select("__v", F.format_string(f"{prefix}_%06d", F.col("__n") + F.col("__b")).alias("__name"))
+    names = numbered(firsts, ["__o", "__v"], "__k").select("__v", F.format_string(f"{prefix}_%06d", F.col("__k") + 1).alias("__name"))
     joined = df.join(names, df[column] == names["__v"], "left")
     return joined.withColumn(column, F.col("__name")).select(*df.columns)
 

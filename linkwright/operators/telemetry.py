@@ -8,33 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .ordering import running
 
 SLOW, VERY_SLOW, ERRORS, MANY_ERRORS = 5.0, 10.0, 0.1, 0.2
 
 
-def exact_place(df: DataFrame, keys: list[str], column: str, qs: dict[str, float], ranges: int = 1024) -> DataFrame:
+def exact_place(df: DataFrame, keys: list[str], column: str, qs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """For each group the values (numbers) at places int(q n), exactly, without sorting a group in one task.
 
-    A histogram of each group between its least and greatest value says in which
-    range a place lies; only distinct values of those ranges are then numbered.
+    A quantile sketch of each group gives, for every place, two values that it lies
+    between, some 8 / accuracy of the group apart by rank whatever the values are.
+    Values below are counted, and only the distinct ones between are put in order.  A
+    place outside (a sketch worse than it promises) is looked for in the whole group.
     """
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v"))
-    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
-    by = Window.partitionBy(*(keys or [F.lit(0)]))
     same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys], F.lit(True))
     rest = lambda a: [F.col(f"{a}.`{k}`") for k in keys]
-    width = F.greatest((F.col("e.__high") - F.col("e.__low")).cast("double"), F.lit(1e-300))
-    number = F.least(F.floor((F.col("r.__v") - F.col("e.__low")).cast("double") / width * ranges), F.lit(ranges - 1)).cast("long")
-    counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k"))  # distinct values combine before any shuffle
-    ranged = counted.alias("r").join(ends.alias("e"), same("r", "e")).select(*rest("r"), "r.__v", "r.__k", "e.__n", number.alias("__b"))
-    sums = ranged.groupBy(*keys, "__b").agg(F.sum("__k").alias("__s"), F.first("__n").alias("__n"))
-    upto = sums.withColumn("__before", F.coalesce(F.sum("__s").over(by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    places = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1).cast("long").alias("at")) for name, q in qs.items()])
-    hit = upto.withColumn("p", F.explode(places)).where((F.col("p.at") >= F.col("__before")) & (F.col("p.at") < F.col("__before") + F.col("__s")))
-    hit = hit.select(*keys, "__b", "p.name", (F.col("p.at") - F.col("__before")).alias("__at"))
-    inside = ranged.alias("r").join(hit.alias("h"), same("r", "h") & (F.col("r.__b") == F.col("h.__b"))).select(*rest("r"), "h.name", "h.__at", "r.__v", "r.__k")
-    run = inside.withColumn("__c", F.sum("__k").over(Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*keys).agg(*[F.min(F.when((F.col("name") == name) & (F.col("__c") > F.col("__at")), F.col("__v"))).alias(name) for name in qs])
+    near = lambda q: F.percentile_approx("__v", min(1.0, max(0.0, q)), accuracy)
+    ends = [x for i, q in enumerate(qs.values()) for x in (near(q - 4 / accuracy).alias(f"__l{i}"), near(q + 4 / accuracy).alias(f"__h{i}"))]
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *ends)
+    place = lambda q: F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1).cast("long")
+    each = F.array(*[F.struct(F.lit(name).alias("name"), place(q).alias("at"), F.col(f"__l{i}").alias("low"), F.col(f"__h{i}").alias("high")) for i, (name, q) in enumerate(qs.items())])
+    bounds = stored(bounds.select(*keys, "__min", "__max", F.explode(each).alias("p")).select(*keys, "__min", "__max", "p.*"), "bounds")
+    counted = stored(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k")), "values")  # distinct values combine before any shuffle
+    within = F.when(F.col("v.__v") < F.col("b.low"), 0).when(F.col("v.__v") <= F.col("b.high"), 1)
+    sums = counted.alias("v").join(bounds.alias("b"), same("v", "b")).groupBy(*rest("b"), "b.name").agg(F.coalesce(F.sum(F.when(within == 0, F.col("v.__k"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(within == 1, F.col("v.__k"))), F.lit(0)).alias("inside"))
+    both = bounds.alias("b").join(sums.alias("s"), same("b", "s") & (F.col("b.name") == F.col("s.name")))
+    found = (F.col("s.below") <= F.col("b.at")) & (F.col("b.at") < F.col("s.below") + F.col("s.inside"))
+    state = both.select(*rest("b"), "b.name", F.when(found, F.col("b.low")).otherwise(F.col("b.__min")).alias("low"), F.when(found, F.col("b.high")).otherwise(F.col("b.__max")).alias("high"), F.when(found, F.col("b.at") - F.col("s.below")).otherwise(F.col("b.at")).alias("at"))
+    held = counted.alias("v").join(state.alias("t"), same("v", "t") & F.col("v.__v").between(F.col("t.low"), F.col("t.high"))).select(*rest("v"), "t.name", "t.at", "v.__v", "v.__k")
+    run = held.withColumn("__c", F.sum("__k").over(Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys).agg(*[F.min(F.when((F.col("name") == name) & (F.col("__c") > F.col("at")), F.col("__v"))).alias(name) for name in qs])
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
@@ -138,25 +142,12 @@ def processed_files(files: DataFrame, recent: int = 10) -> DataFrame:
     return counts.join(last, F.col("user").eqNullSafe(F.col("__u"))).drop("__u")
 
 
-def evict(results: DataFrame, limit: int, target: float = 0.8, buckets: int = 1024) -> DataFrame:
-    """Results to delete, least recently used first, until target of the limit is left.
-
-    Running sums go by buckets of the access time: sums by bucket first (one
-    small row each), then inside buckets, so no task sorts the whole table.
-    """
-    total = results.agg(F.sum("size").alias("s"), F.min("last_accessed").alias("a"), F.max("last_accessed").alias("b")).first()
-    excess = (total["s"] or 0) - target * limit
-    if (total["s"] or 0) <= limit:
+def evict(results: DataFrame, limit: int, target: float = 0.8) -> DataFrame:
+    """Results to delete, least recently used first (then by id), until target of the limit is left; running sums go by ranges of rows."""
+    total = results.agg(F.sum("size")).first()[0] or 0
+    if total <= limit:
         return results.limit(0)
-    low, high = (x.timestamp() for x in (total["a"], total["b"]))
-    width = max(1e-6, (high - low) / buckets)
-    b = F.floor((F.unix_micros(F.col("last_accessed").cast("timestamp")) / 1e6 - low) / width)
-    keyed = results.withColumn("__b", b)
-    sums = keyed.groupBy("__b").agg(F.sum("size").alias("__s"))
-    before = sums.alias("x").join(F.broadcast(sums).alias("y"), F.col("y.__b") < F.col("x.__b"), "left").groupBy("x.__b").agg(F.coalesce(F.sum("y.__s"), F.lit(0)).alias("__before"))
-    order = Window.partitionBy("__b").orderBy("last_accessed", "result_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = keyed.join(F.broadcast(before), "__b").withColumn("__freed", F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    return own.where(F.col("__freed") < excess).select(*results.columns)
+    return running(results, ["last_accessed", "result_id"], F.col("size"), "__freed").where(F.col("__freed") < total - target * limit).select(*results.columns)
 
 
 def size_class(c: Column) -> Column:

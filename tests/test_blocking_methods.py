@@ -146,3 +146,16 @@ def test_linkage_by_every_method(spark):
         L.LinkageConfig(**base, method="guess")
     with pytest.raises(ValueError):
         L.LinkageConfig(**base, method="canopy", max_block=3)
+
+
+def test_running_sums_and_parts_of_large_blocks(spark):
+    rng = random.Random(2)
+    rows = [("s", rng.choice(["hot", "hot", "a", "b"]), i) for i in range(900)]
+    got = {tuple(r) for r in B.split_blocks(spark.createDataFrame(rows, "strategy string, key string, id long"), 40).collect()}
+    want = set()
+    for key in ("hot", "a", "b"):
+        ids = sorted(i for _, k, i in rows if k == key)
+        want |= {("s", f"{key}_{n // 40}" if len(ids) > 40 else key, i) for n, i in enumerate(ids)}
+    assert got == want
+    plan = B.split_blocks(spark.createDataFrame(rows, "strategy string, key string, id long"), 40)._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(strategy" not in plan
