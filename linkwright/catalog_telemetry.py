@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import counters
 from .operators import telemetry as T
 from .registry import query, table
 from .streaming import monitor
@@ -207,6 +209,37 @@ def recording_weekly_average(spark, sf_dir):
     return T.average_over_time(_rounded_rates(spark, sf_dir), "avg_value").select("day", F.round("average", 5).alias("average"))
 
 
+def _counter(spark, sf_dir):
+    """A counter of events by type that is reset every midnight: a sample at each event."""
+    day = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    return events(spark, sf_dir).select("event_type", "ts", "event_id", F.row_number().over(day).cast("double").alias("value"))
+
+
+_COUNTER = """WITH s AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id)::DOUBLE AS value FROM events),
+p AS (SELECT *, lag(value) OVER v AS pv, lag(ts) OVER v AS pt FROM s WINDOW v AS (PARTITION BY event_type ORDER BY ts, event_id)),
+w AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * i AS ws FROM p, range(6) r(i))"""
+
+
+@query(f"""{_COUNTER},
+g AS (SELECT event_type, ws, count(*) AS n, count(*) FILTER (pt >= ws AND value < pv) AS resets, sum(CASE WHEN pt >= ws THEN value - CASE WHEN value < pv THEN 0 ELSE pv END END) AS raw,
+      arg_min(value, (ts, event_id)) AS first, epoch_us(min(ts)) / 1e6 AS t0, epoch_us(max(ts)) / 1e6 AS t1 FROM w GROUP BY 1, 2 HAVING count(*) > 1),
+e AS (SELECT *, epoch_us(ws) / 1e6 AS a, epoch_us(ws) / 1e6 + 21600 AS b, t1 - t0 AS span, (t1 - t0) / (n - 1) AS mean FROM g WHERE t1 > t0),
+x AS (SELECT *, CASE WHEN t0 - a < 1.1 * mean THEN t0 - a ELSE mean / 2 END AS ahead, CASE WHEN b - t1 < 1.1 * mean THEN b - t1 ELSE mean / 2 END AS behind, CASE WHEN raw > 0 THEN span * first / raw END AS zero FROM e),
+r AS (SELECT *, raw * (span + least(ahead, zero) + behind) / span AS increase FROM x)
+SELECT event_type, ws AS window_start, n AS samples, resets, round(increase, 5) AS increase, round(increase / 21600, 8) AS rate FROM r""")
+def recording_counter_rates(spark, sf_dir):
+    """Increase and rate of a counter with resets, over six hours from every hour on."""
+    r = counters.increases(_counter(spark, sf_dir), ["event_type"], "6 hours", "1 hour", ("ts", "event_id"))
+    return r.withColumns({"increase": F.round("increase", 5), "rate": F.round("rate", 8)})
+
+
+@query(f"""{_COUNTER}, l AS (SELECT event_type, ws, value - CASE WHEN value < pv THEN 0 ELSE pv END AS grown, (epoch_us(ts) - epoch_us(pt)) / 1e6 AS span, row_number() OVER (PARTITION BY event_type, ws ORDER BY ts DESC, event_id DESC) AS k FROM w WHERE pt >= ws)
+SELECT event_type, ws AS window_start, round(grown / span, 8) AS rate FROM l WHERE k = 1 AND span > 0""")
+def recording_latest_rates(spark, sf_dir):
+    """The counter's rate between the last two samples of the same windows."""
+    return counters.latest_rates(_counter(spark, sf_dir), ["event_type"], "6 hours", "1 hour", ("ts", "event_id")).withColumn("rate", F.round("rate", 8))
+
+
 @query("SELECT event_type, round(avg(value), 6) AS average FROM events GROUP BY 1")
 def recording_average_by(spark, sf_dir):
     return T.average_by(events(spark, sf_dir), "event_type", "value").withColumn("average", F.round("average", 6))
