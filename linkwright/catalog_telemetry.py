@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .operators import counters
 from .operators import telemetry as T
 from .registry import query, table
-from .streaming import monitor
+from .storage import new_path
+from .streaming import alerting, monitor
 
 NOW = "2024-01-20 00:00:00"
 
@@ -381,6 +382,35 @@ def stream_alerts(spark, sf_dir):
     return monitor.run_once(monitor.alerts(hits, 3600.0), "append").drop("batch")
 
 
+def _alerts_in_parts(hits, cooldown, parts, late):
+    """Alerts of a table of hits that arrives in parts, each a start of the stream: by their time and some minutes more or less."""
+    spark, root = hits.sparkSession, new_path(hits.sparkSession, "alerts")
+    hits = hits.withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = hits.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    if ends["a"] is None:
+        return spark.createDataFrame([], "rule string, ts timestamp, value double")
+    arrived = F.unix_micros("ts") - ends["a"] + F.pmod(F.xxhash64("ts", "rule"), F.lit(3_600_000_000))
+    part = F.least(F.floor(arrived * parts / (ends["b"] - ends["a"] + 3_600_000_000)), F.lit(parts - 1)).cast("int")
+    with alerting.settings(spark):
+        for k in range(parts):
+            hits.where(part == k).write.parquet(f"{root}/in/{k}")
+            if k == parts - 1:
+                alerting.end_mark(spark, F.timestamp_micros(F.lit(ends["b"]).cast("long")) + F.expr("INTERVAL 1000 DAYS")).write.parquet(f"{root}/in/end")
+            stream = spark.readStream.schema("rule string, ts timestamp, value double").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+            sink = alerting.alerts(stream, cooldown, late).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+            sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("rule string, ts timestamp, value double").parquet(f"{root}/out")
+
+
+@query("""WITH RECURSIVE h AS (SELECT 'user ' || (user_id % 20)::VARCHAR AS rule, ts, value FROM events WHERE event_type = 'error'),
+a AS (SELECT rule, min(ts) AS ts FROM h GROUP BY rule UNION ALL SELECT a.rule, min(h.ts) FROM a JOIN h ON h.rule = a.rule AND h.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.rule)
+SELECT a.rule, a.ts::TIMESTAMP AS ts, min(h.value) AS value FROM a JOIN h ON h.rule = a.rule AND h.ts = a.ts GROUP BY ALL""")
+def stream_alerts_by_time(spark, sf_dir):
+    """Errors by group of users, an hour apart, of events that arrive in three parts, up to an hour late."""
+    hits = events(spark, sf_dir).where("event_type = 'error'").select(F.concat(F.lit("user "), (F.col("user_id") % 20).cast("string")).alias("rule"), "ts", "value")
+    return _alerts_in_parts(hits, 3600.0, 3, "2 hours")
+
+
 @query("SELECT user_id AS operation, coalesce(arg_min(event_type, ts) FILTER (event_type = 'error'), arg_max(event_type, ts)) AS status FROM events GROUP BY user_id")
 def progress_states(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("user_id").alias("operation"), "ts", F.col("event_type").alias("status"), F.col("event_id").alias("done"))
