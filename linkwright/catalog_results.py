@@ -342,3 +342,13 @@ def pii_audit_summary(spark, sf_dir):
 def results_access(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumns({"owner": F.when(F.col("o_orderkey") % 7 != 0, F.when(F.col("o_custkey") == 5, "me").otherwise("other")), "expires_at": F.col("o_orderdate"), "is_public": F.col("o_orderstatus") == "O", "shared_with": F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("me")))})
     return o.where(R.accessible("me", F.lit("1997-01-01").cast("timestamp_ntz"))).select("o_orderkey")
+
+
+@query("""WITH j AS (SELECT sale_id AS job_id, client_id::VARCHAR AS user, status, sold_at AS created_at FROM sales),
+h AS (SELECT job_id, status, row_number() OVER (ORDER BY created_at DESC NULLS LAST, job_id) AS k FROM j WHERE status = 'held')
+SELECT 'held' AS kind, job_id, status FROM h WHERE k <= 100 UNION ALL SELECT 'client', job_id, status FROM j WHERE "user" = '1'""")
+def job_lists(spark, sf_dir):
+    """Sales as jobs: the hundred newest held ones, and all of one client."""
+    jobs = table(spark, sf_dir, "sales").select(F.col("sale_id").alias("job_id"), F.col("client_id").cast("string").alias("user"), "status", F.col("sold_at").alias("created_at"))
+    held, own = R.listed(jobs, status="held", limit=100), R.listed(jobs, user="1")
+    return held.select(F.lit("held").alias("kind"), "job_id", "status").unionByName(own.select(F.lit("client").alias("kind"), "job_id", "status"))

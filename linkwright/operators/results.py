@@ -115,6 +115,15 @@ def newest(df: DataFrame, column: str, n: int, ties: tuple[str, ...]) -> DataFra
     return df.orderBy(F.col(column).desc(), *ties).limit(n)
 
 
+def listed(df: DataFrame, user: str | None = None, status: str | None = None, limit: int | None = None, created: str = "created_at", ties: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """Jobs of a user and of a status, where given, newest first, then by id; all of them or the first."""
+    for column, value in (("user", user), ("status", status)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    ordered = df.orderBy(F.col(created).desc_nulls_last(), *ties)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def accessible(user: str, now: Column) -> Column:
     """Whether a result can be read: no rule, or not expired and public, owned or shared."""
     open_ = F.col("expires_at").isNull() | (F.col("expires_at") > now)
