@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import text as T
 
 SOUNDEX_FROM, SOUNDEX_TO = "BFPVCGJKQSXZDTLMNR", "111122222222334556"
-#: Endings that variants of a word may have, taken off in this order.
+# Endings that variants of a word may have, taken off in this order.
 ENDINGS = ["LAR", "LAR", "DA", "TA", "NI", "GA", "DAN", "TAN"]
 FUZZY_METHODS = ("levenshtein", "jaro_winkler", "sequence", "combined")
 PHONETIC_METHODS = ("soundex", "metaphone", "uzbek_phonetic")

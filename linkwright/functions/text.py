@@ -22,8 +22,10 @@ ADMIN_WORDS = ["мчж", "mchj", "махалла", "mahalla", "туман", "tum
 PLACES = ["tashkent", "toshkent", "ташкент", "samarkand", "самарканд", "bukhara", "бухара", "andijan", "андижан", "namangan", "наманган"]
 # Characters that sound alike; a character's variations are these and the Cyrillic letters that map to it.
 SIMILAR = {
-    "i": "iyы", "y": "yiы", "ы": "ыiy", "o": "ouў", "u": "uoў", "ў": "ўou", "k": "kqқ", "q": "qkқ", "қ": "қkq", "g": "gғ", "ғ": "ғg",
-    "h": "hҳx", "ҳ": "ҳhx", "x": "xhҳ", "s": "sz", "z": "zs", "b": "bp", "p": "pb", "d": "dt", "t": "td", "v": "vw", "w": "wv",
+    "i": ["i", "y", "ы"], "y": ["y", "i", "ы"], "ы": ["ы", "i", "y"], "o": ["o", "u", "ў"], "u": ["u", "o", "ў"], "ў": ["ў", "o", "u"],
+    "k": ["k", "q", "қ"], "q": ["q", "k", "қ"], "қ": ["қ", "k", "q"], "g": ["g", "ғ"], "ғ": ["ғ", "g"], "h": ["h", "ҳ", "x"],
+    "ҳ": ["ҳ", "h", "x"], "x": ["x", "h", "ҳ"], "s": ["s", "z"], "z": ["z", "s"], "b": ["b", "p"], "p": ["p", "b"],
+    "d": ["d", "t"], "t": ["t", "d"], "v": ["v", "w"], "w": ["w", "v"],
 }
 
 

@@ -406,7 +406,7 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return without_nan(df.limit(min(100, max(1, n))))
 
 
-#: Words that relate two column names.
+# Words that relate two column names.
 COMMON = ["name", "id", "code", "region", "district", "city"]
 
 
