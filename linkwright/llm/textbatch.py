@@ -167,10 +167,10 @@ class Words:
         Words above SHORT_WORD bytes are hashed by XXH64: sums modulo 2**64 are alike for
         some long words whatever the base (a Thue-Morse word and its complement).
         """
-        out, at, codes = np.empty(len(self), _U64), 0, byte_codes()
+        out, at, codes, step = np.empty(len(self), _U64), 0, byte_codes(), max(PIECE, SHORT_WORD)
         while at < len(self):
             low = int(self.starts[at])
-            to = int(np.searchsorted(self.ends, low + PIECE, "right"))
+            to = int(np.searchsorted(self.ends, low + step, "right"))
             if to > at:
                 p = prefix_hashes(codes[self.buf[low : self.ends[to - 1]]], base)
                 out[at:to] = span_hashes(p, self.starts[at:to] - low, self.ends[at:to] - low, base)

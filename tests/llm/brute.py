@@ -100,7 +100,9 @@ def mix64(x):
 
 
 def word_hash(word, base=0x9E3779B97F4A7C15):
-    """Of a word's bytes, by a polynomial modulo 2**64."""
+    """Of a word's bytes, by a polynomial modulo 2**64; XXH64 above 32 bytes."""
+    if len(word) > 32:
+        return xxhash.xxh64_intdigest(word, base & MASK)
     return mix64(sum(mix64((b + 1) * 0x9E3779B97F4A7C15 & MASK) * pow(base, t, 1 << 64) for t, b in enumerate(word)) & MASK)
 
 
