@@ -50,11 +50,14 @@ from .shared import small_batches
 
 #: Characters of text that are cut at once; bytes from which a pre-token is a long one.
 PIECE, LONG = 1 << 20, 1 << 10
-#: Remembered pre-tokens, and bytes of one that is remembered.
-REMEMBERED, SHORT = 300_000, 48
+#: Remembered pre-tokens (twice as many with those before), and characters of one that is remembered.
+REMEMBERED, SHORT = 250_000, 48
 #: Bits of a word of the lower bitmap.
 SHIFT = 8
 _MASK = (1 << SHIFT) - 1
+_BIT = [1 << k for k in range(1 << SHIFT)]
+#: Linked lists of parts of one byte.
+_AFTER, _BEFORE = list(range(1, LONG + 1)), list(range(-1, LONG - 1))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,20 +124,19 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, odd: str | None = None):
         self.ranks = read_ranks(path)
-        self.longest, self.size = max(map(len, self.ranks)), max(self.ranks.values()) + 1
-        self.queue = RankQueue(self.size)
-        self.pairs: np.ndarray | None = None
+        self.size = max(self.ranks.values()) + 1
+        self.queue, self.packed = RankQueue(self.size), {r: r.to_bytes(4, "little") for r in self.ranks.values()}
+        self.pairs = np.full(1 << 16, -1, np.int32)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.pair_list = self.pairs.tolist()
         self.pattern, self.ascii, self.odd, self.own = patterns(pattern, newer(path, pattern) if odd is None else odd)
         self.tokens = {t.decode(): r.to_bytes(4, "little") for t, r in self.ranks.items() if _is_text(t)}
-        self.memo = _Memo(self)
+        self.memo = _Memo(self, {})
 
     def _long(self, piece: bytes) -> tuple[array, array, array]:
         """Linked list and ranks of a long piece; its first pairs go into the queue."""
-        if self.pairs is None:
-            self.pairs = np.full(1 << 16, -1, np.int32)
-            for token, rank in self.ranks.items():
-                if len(token) == 2:
-                    self.pairs[token[0] << 8 | token[1]] = rank
         b, n = np.frombuffer(piece, np.uint8), len(piece)
         ranks = np.full(n, -1, np.int32)
         ranks[:-1] = self.pairs[b[:-1].astype(np.int32) << 8 | b[1:]]
@@ -142,18 +144,13 @@ class Encoder:
         after, before = (array("i", np.arange(a, n + a, dtype=np.int32).tobytes()) for a in (1, -1))
         return after, before, array("i", ranks.tobytes())
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token by the queue."""
+    def merged(self, piece: bytes) -> bytes:
+        """Packed ids of one pre-token."""
+        return self._by_queue(piece) if len(piece) >= LONG else self._short(piece)
+
+    def _by_queue(self, piece: bytes) -> bytes:
         n, find, queue = len(piece), self.ranks.get, self.queue
-        if n >= LONG:
-            after, before, rank_at = self._long(piece)
-        else:
-            after, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-            for i in range(n - 1):
-                rank = find(piece[i : i + 2])
-                if rank is not None:
-                    rank_at[i] = rank
-                    queue.push(rank, i)
+        after, before, rank_at = self._long(piece)
         while queue.top:
             rank, i = queue.pop()
             if rank_at[i] != rank:
@@ -175,11 +172,76 @@ class Encoder:
                 elif rank_at[h] != rank:
                     rank_at[h] = rank
                     queue.push(rank, h)
-        ids, i = [], 0
+        ids, i = array("I"), 0
         while i < n:
             ids.append(self.ranks[piece[i : after[i]]])
             i = after[i]
-        return ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _short(self, piece: bytes) -> bytes:
+        """The same with the queue's steps in line and all positions in its buckets."""
+        n, find, pairs, words, top = len(piece), self.ranks.get, self.pair_list, self.queue.words, 0
+        after, before, buckets = _AFTER[:n], _BEFORE[:n], {}
+        rank_at = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:], strict=False)]
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> SHIFT] |= _BIT[rank & _MASK]
+                    top |= _BIT[rank >> SHIFT]
+        rank_at.append(-1)
+        while top:
+            low = top & -top
+            w = low.bit_length() - 1
+            word = words[w]
+            bit = word & -word
+            rank = w << SHIFT | bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[w] = word = word ^ bit
+                if not word:
+                    top ^= low
+            if rank_at[i] != rank:
+                continue  # stale
+            j = after[i]
+            after[i] = k = after[j]
+            rank_at[j] = rank_at[i] = -1
+            if k < n:
+                before[k] = i
+                rank = find(piece[i : after[k]])
+                if rank is not None:
+                    rank_at[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        words[rank >> SHIFT] |= _BIT[rank & _MASK]
+                        top |= _BIT[rank >> SHIFT]
+            h = before[i]
+            if h >= 0:
+                rank = find(piece[h:k])
+                if rank is None:
+                    rank_at[h] = -1
+                elif rank_at[h] != rank:
+                    rank_at[h] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], h)
+                    else:
+                        buckets[rank] = [h]
+                        words[rank >> SHIFT] |= _BIT[rank & _MASK]
+                        top |= _BIT[rank >> SHIFT]
+        ids, i, ranks, packed = [], 0, self.ranks, self.packed
+        while i < n:
+            k = after[i]
+            ids.append(packed[ranks[piece[i:k]]])
+            i = k
+        return b"".join(ids)
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text, in lists of about PIECE characters."""
@@ -200,19 +262,19 @@ class Encoder:
         for words in self.cut(text or ""):
             parts.append(b"".join(map(self.memo.__getitem__, words)))
             if len(self.memo) > len(self.tokens) + REMEMBERED:
-                self.memo = _Memo(self)
+                self.memo = _Memo(self, dict(self.memo))
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 class _Memo(dict):
-    """Ids of the tokens and of the pre-tokens met so far."""
+    """Ids of the tokens and of the pre-tokens met of late; what the memo before it has is taken over when it is met again."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
         super().__init__(encoder.tokens)
-        self.encoder = encoder
+        self.encoder, self.older = encoder, older
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.merged(word.encode()), "<u4").tobytes()
+        ids = self.older.get(word) or self.encoder.merged(word.encode())
         if len(word) <= SHORT:
             self[word] = ids
         return ids
