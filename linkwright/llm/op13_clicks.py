@@ -5,15 +5,21 @@ window's start are repeats of it, a later one closes it and opens another.  Wind
 that no admissible copy can reach any more close by themselves.
 
 The stream.  Copies arrive in batches; the watermark is the greatest hour of
-earlier batches less LATE hours, and Spark drops what lies before it.  Copies that
-are alike are counted within each Arrow batch before the shuffle.  The state isn't
-kept by click but by shard, a hash range of click ids whose number follows the
-input: one Arrow-packed blob of sorted arrays holds the open windows of a shard.  A
-shard's rows of a batch are sorted once, met with the blob by a merge join of sorted
-ids, and folded in rounds: each round extends the present windows of all clicks at
-once and opens the next ones.  One event-time timer a shard stands at its earliest
-deadline; when it fires, the expired windows are masked out and the blob is
-rewritten.  An end mark behind the last batch moves the watermark past all deadlines.
+earlier batches less LATE hours, and what lies before it is dropped.  Copies that are
+alike are counted when the batches are cut, in part before any shuffle, and come as
+one row with their number.  The state isn't kept by click but by shard, a hash range
+of click ids whose number follows the input: one Arrow-packed blob of sorted arrays
+holds the open windows of a shard.  A shard's rows of a batch are sorted once, met
+with the blob by a merge join of sorted ids, and folded in rounds: each round extends
+the present windows of all clicks at once and opens the next ones.  One event-time
+timer a shard stands at its earliest deadline; when it fires, the expired windows are
+masked out and the blob is rewritten.
+
+A start of the query runs one micro-batch.  Its watermark is the one after the batch
+before, in whose name what has expired is closed first, and by which late copies are
+dropped (Spark's own filter would lag a micro-batch behind without empty ones
+between).  An end mark in the last batch moves the watermark past all deadlines, and
+an empty micro-batch behind it closes the rest.
 
 Batches are written once and moved one by one into the folder that the stream
 watches; the query is started anew for each on one checkpoint, so a failed start is
@@ -26,7 +32,7 @@ Null fields are empty in the hash; a value that isn't a number counts as 0 there
 Repeated rows are copies that repeat the window's opener.  Ties of hour and hash are
 equal copies.  Extra columns aren't read.  An empty table has no windows.  Long
 props only enter the hash.  Copies of one click_id that differ meet in one task with
-their shard; equal ones come as one row for each Arrow batch.
+their shard; equal ones of a batch are one row.
 """
 
 from __future__ import annotations
@@ -43,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..storage import delete, new_path
+from . import textbatch as tb
 
 WINDOW, LATE, BATCHES = 72, 48, 12
 #: Rows of the input for a shard.
@@ -50,18 +57,19 @@ SHARD_ROWS = 50_000
 #: Fixed values of the copies: hours between them, spread of lateness in hours.
 STEP, SPREAD, DELAY = 6, 10, 200
 
-COPY = "known boolean, click_id long, hour long, at timestamp, hash binary"
-_COUNTED = f"shard int, {COPY}, n long"
+COPY = "shard int, known boolean, click_id long, hour long, at timestamp, hash binary, n long"
 RESULT = "known boolean, click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
 _HOUR = 3_600_000
 CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # a store holds a few blobs: its buffers needn't be those of a large database
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "4",
     # a store is opened for its task and closed again: each start of the query makes new ones, of some MB of disk each
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
 
 
@@ -225,42 +233,15 @@ def fold(state: Windows, rows: tuple[np.ndarray, ...], window: int = WINDOW) ->
 # --- the stream -----------------------------------------------------------------
 
 
-def counting(shards: int):
-    """For mapInArrow: equal copies of an Arrow batch as one row with their number, and their shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            real = np.asarray(b.column("hash").is_valid())
-            known, ids, hour = (b.column(k).to_numpy(zero_copy_only=False) for k in ("known", "click_id", "hour"))
-            at = b.column("at").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            offset = int((at - hour * 3_600_000_000)[0]) if len(at) else 0  # the same in every row that is no end mark
-            if real.any():
-                offset = int((at - hour * 3_600_000_000)[real][0])
-            k, i, h, w, n = counted(known[real], ids[real], hour[real], as_words(b.column("hash").filter(pa.array(real)).to_pylist()), np.ones(int(real.sum()), np.int64))
-            yield _rows(_shard(i, shards), k, i, h, h * 3_600_000_000 + offset, as_bytes(w), n)
-            for end in np.flatnonzero(~real).tolist():
-                yield _rows(np.zeros(1, np.int32), known[[end]], ids[[end]], hour[[end]], at[[end]], [None], np.zeros(1, np.int64))
-
-    return run
-
-
-def _rows(shard, known, ids, hour, at, hashes, n) -> pa.RecordBatch:
-    arrays = [pa.array(shard), pa.array(known), pa.array(ids), pa.array(hour), pa.array(at).cast(pa.timestamp("us", "UTC")), pa.array(hashes, pa.binary()), pa.array(n)]
-    return pa.RecordBatch.from_arrays(arrays, names=["shard", "known", "click_id", "hour", "at", "hash", "n"])
-
-
-def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
-    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-
-
 class Expiring(StatefulProcessor):
-    """Open windows of a shard in one blob; gives the windows that close, in the batch's name."""
+    """Open windows of a shard in one blob; gives the windows that close.
+
+    before: the last batch with rows before this one, after which the watermark was
+    set; end: event time in milliseconds behind all rows, where it is the end mark's.
+    """
 
-    def __init__(self, batch: int, offset: int, window: int):
-        self.batch, self.offset, self.window = batch, offset, window
+    def __init__(self, batch: int, before: int, offset: int, end: int, window: int):
+        self.batch, self.before, self.offset, self.end, self.window = batch, before, offset, end, window
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -284,9 +265,13 @@ class Expiring(StatefulProcessor):
         else:
             self.blob.clear()
 
-    def _result(self, closed: Windows) -> pd.DataFrame:
+    def _expired(self, state: Windows, watermark: int) -> tuple[np.ndarray, int]:
+        """Windows whose deadline has passed, and the batch after which it had."""
+        return (state.start + self.window) * _HOUR + self.offset < watermark, self.batch if watermark >= self.end else self.before
+
+    def _result(self, closed: Windows, batch: int) -> pd.DataFrame:
         return pd.DataFrame({
-            "known": closed.known, "click_id": closed.id, "start_hour": closed.start, "closed_batch": np.full(len(closed), self.batch, np.int64),
+            "known": closed.known, "click_id": closed.id, "start_hour": closed.start, "closed_batch": np.full(len(closed), batch, np.int64),
             "n_repeats": closed.repeats, "n_conflicts": closed.conflicts, "conflict_crc": closed.crc, "hash": pd.Series(as_bytes(closed.hash), dtype=object),
         })
 
@@ -295,32 +280,38 @@ class Expiring(StatefulProcessor):
         for df in rows:
             df = df[df["hash"].notna()]
             parts.append((df["known"].to_numpy(bool), df["click_id"].to_numpy(np.int64), df["hour"].to_numpy(np.int64), as_words(df["hash"].tolist()), df["n"].to_numpy(np.int64)))
-        state = self._state()
+        state, watermark = self._state(), timerValues.getCurrentWatermarkInMs()
         before = self._deadline(state)
-        after, closed = fold(state, counted(*(np.concatenate(x) for x in zip(*parts, strict=True))), self.window)
+        gone, batch = self._expired(state, watermark)
+        known, ids, hour, words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        early = hour * _HOUR + self.offset >= watermark
+        after, closed = fold(state.where(~gone), counted(known[early], ids[early], hour[early], words[early], n[early]), self.window)
         self._keep(before, after)
-        yield self._result(closed)
+        yield self._result(state.where(gone), batch)
+        yield self._result(closed, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self._state()
-        gone = (state.start + self.window) * _HOUR + self.offset < timerValues.getCurrentWatermarkInMs()
+        gone, batch = self._expired(state, timerValues.getCurrentWatermarkInMs())
         before = self._deadline(state)
         self._keep(None if before == expiredTimerInfo.getExpiryTimeInMs() else before, state.where(~gone))
-        yield self._result(state.where(gone))
+        yield self._result(state.where(gone), batch)
+
+    def close(self) -> None:
+        tb.release()
 
 
-def closed_windows(stream: DataFrame, shards: int, batch: int, offset: int, window: int = WINDOW, late: int = LATE) -> DataFrame:
+def closed_windows(stream: DataFrame, batch: int, before: int, offset: int, end: int, window: int = WINDOW, late: int = LATE) -> DataFrame:
     """The windows that close, of a stream of COPY rows whose `at` is their hour plus offset milliseconds; RESULT columns."""
-    rows = stream.select(*[c.split()[0] for c in COPY.split(", ")]).mapInArrow(counting(shards), _COUNTED)
-    # Spark drops what is not later than the watermark, so it stands a millisecond before the last hour let in
-    marked = rows.withWatermark("at", f"{late} hours 1 millisecond")
-    return marked.groupBy("shard").transformWithStateInPandas(Expiring(batch, offset, window), RESULT, "append", "EventTime")
+    marked = stream.withWatermark("at", f"{late} hours 1 millisecond")
+    return marked.groupBy("shard").transformWithStateInPandas(Expiring(batch, before, offset, end, window), RESULT, "append", "EventTime")
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in CONF}
-    for k, v in CONF.items():
+def _settings(spark: SparkSession, **more: str) -> Iterator[None]:
+    own = CONF | {f"spark.sql.streaming.{k}": v for k, v in more.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -339,18 +330,24 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES, window: int = WINDOW,
         shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ends["n"] // SHARD_ROWS))
         offset = (1 - ends["first"]) * _HOUR  # all event times lie after 1970, where Spark's first watermark stands
         at = lambda hour: F.timestamp_millis(hour * _HOUR + F.lit(offset))
-        dealt = each.select("known", "click_id", "hour", at(F.col("hour")).alias("at"), "hash", batch_of(F.col("late"), ends["least"], ends["most"], batches).alias("batch"))
-        dealt.write.partitionBy("batch").parquet(f"{root}/dealt")
-        end = spark.range(1).select(F.lit(False).alias("known"), F.lit(0).cast("long").alias("click_id"), F.lit(ends["last"]).cast("long").alias("hour"), at(F.lit(ends["last"] + window + late + 2).cast("long")).alias("at"), F.lit(None).cast("binary").alias("hash"))
-        end.write.parquet(f"{root}/dealt/end")
-        with _settings(spark):
-            for batch in range(batches):
-                _next(spark, f"{root}/dealt/batch={batch}", f"{root}/in/{batch}")
-                if batch == batches - 1:
-                    _next(spark, f"{root}/dealt/end", f"{root}/in/end")
+        shard = F.pmod(F.xxhash64("known", "click_id"), F.lit(shards)).cast("int")
+        keys = ["batch", "shard", "known", "click_id", "hour", "hash"]
+        dealt = each.withColumns({"batch": batch_of(F.col("late"), ends["least"], ends["most"], batches), "shard": shard}).groupBy(*keys).agg(F.count("*").alias("n"))
+        dealt.select("shard", "known", "click_id", "hour", at(F.col("hour")).alias("at"), "hash", "n", "batch").write.partitionBy("batch").parquet(f"{root}/dealt")
+        values = {"shard": F.lit(0), "known": F.lit(False), "click_id": F.lit(0).cast("long"), "hour": F.lit(ends["last"]).cast("long"), "at": at(F.lit(ends["last"] + window + late + 3).cast("long")), "hash": F.lit(None).cast("binary"), "n": F.lit(0).cast("long")}
+        spark.range(1).select(*[c.alias(k) for k, c in values.items()]).write.parquet(f"{root}/dealt/end")
+        before = -1
+        for batch in range(batches):
+            last = batch == batches - 1
+            some = _next(spark, f"{root}/dealt/batch={batch}", f"{root}/in/{batch}")
+            if last:
+                _next(spark, f"{root}/dealt/end", f"{root}/in/end")
+            with _settings(spark, **{"noDataMicroBatches.enabled": str(last).lower()}):
                 stream = spark.readStream.schema(COPY).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-                sink = closed_windows(stream, shards, batch, offset, window, late).writeStream.format("parquet").outputMode("append")
-                sink.option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+                found = closed_windows(stream, batch, before, offset, (ends["last"] + 1) * _HOUR + offset, window, late)
+                sink = found.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+                sink.trigger(availableNow=True).start().awaitTermination()
+            before = batch if some else before
         for folder in ("dealt", "in", "state"):
             delete(spark, f"{root}/{folder}")
         rows = result.parquet(f"{root}/out")
@@ -359,11 +356,14 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES, window: int = WINDOW,
     return rows.select(F.when(F.col("known"), F.col("click_id")).alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
 
 
-def _next(spark: SparkSession, source: str, target: str) -> None:
-    """Move a folder, if it is there, to where the stream looks."""
+def _next(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a folder, if it is there, to where the stream looks; tells whether it was."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     at, to = path(source), path(target)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(to.getParent())
-    if fs.exists(at) and not fs.rename(at, to):
+    if not fs.exists(at):
+        return False
+    if not fs.rename(at, to):
         raise OSError(f"{source} can't be moved to {target}")
+    return True

@@ -182,6 +182,14 @@ def test_windows_equal_plain_ones(spark):
     assert windows(spark.createDataFrame(rows, CLICKS), batches=5) == want
 
 
+def test_batches_without_rows(spark):
+    at = lambda day: EPOCH + dt.timedelta(days=19_700 + day)
+    rows = [(3 * i, None, at(day), 1, "a", 1.0, None, None, None) for i, day in enumerate([0, 1, 2, 2, 40, 41, 90, 91])]
+    want = plain_windows(rows, batches=8)
+    assert len({w[2] for w in want}) == 2
+    assert windows(spark.createDataFrame(rows, CLICKS), batches=8) == want
+
+
 def test_hot_click_one_time_and_no_rows(spark):
     at = EPOCH + dt.timedelta(days=-400)
     rows = [(2, at, at, 1, "view", 1.5, "p" * 100_000, None, None)] * 50 + [(1, None, at, None, None, None, None, None, None)]
