@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions import distance
 from linkwright.operators import blocking as B
+from linkwright.operators import linkage as L
 from linkwright.operators import topk
+from linkwright.operators.scoring import Algorithm, FieldMapping
 
 
 def texts(seed, n):
@@ -61,3 +64,20 @@ def test_copies_are_not_multiplied_for_the_best(spark, monkeypatch):
     want = {tuple(r) for r in kept(topk.similarity_pairs(q, c, 0.6), 5).select("q_id", "c_id", "rank").collect()}
     assert got == want and len(got) == 301 * 5 + 1
     assert topk.pair_statistics(q, c, 0.6, 303).collect() == topk.match_statistics(topk.similarity_pairs(q, c, 0.6), 303).collect()
+
+
+@pytest.mark.parametrize("uzbek", [False, True])
+def test_matches_of_one_field_by_near_texts_alone(spark, monkeypatch, uzbek):
+    params = {"normalize_uzbek": uzbek, "compose": False}
+    config = L.LinkageConfig((FieldMapping("t", "t"),), (Algorithm("exact", params), Algorithm("fuzzy", {"method": "levenshtein", **params})), 75.0, strategies=("exact_prefix", "ngram"))
+    some = [*texts(4, 25), None, "o'zbek", "o`zbek", "ўзбек шаҳар", "o'zbek shahar", "O'ZBEK  SHAHAR", "!!", "!!?"] * 2
+    a, b = (spark.createDataFrame([(i, t) for i, t in enumerate(x)], "id long, t string") for x in (some, some[::3]))
+    stored, kept = {}, L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name="table", **more: (stored.__setitem__(name, df.count()), kept(df, name, **more))[1])
+    rows = lambda df: sorted((r["id1"], r["id2"], r["algorithm"], round(r["similarity"], 6), round(r["confidence"], 6)) for r in df.collect())
+    for other in (a, b):
+        found = L.find_matches(a, other, "id", "id", config)
+        pairs = L.candidates(a, other, "id", "id", config)
+        want = rows(L.score_pairs(pairs, a, other, "id", "id", config))
+        assert rows(found.matched) == want and found.statistics.first()["total_comparisons"] == pairs.count()
+        assert stored.pop("pairs") < pairs.count() / 4  # of all that share a key
