@@ -220,10 +220,10 @@ def near_pairs(left: DataFrame, right: DataFrame, half: bool = False) -> DataFra
         x, y = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
         return _ordered(pa.table({"id1": x, "id2": y, "distance": pa.array(d, pa.int32())}), a, b, half)
 
-    return _in_cells(one, two, found, f"id1 {kind}, id2 {kind}, distance int")
+    return in_cells(one, two, found, f"id1 {kind}, id2 {kind}, distance int")
 
 
-def _in_cells(one: DataFrame, two: DataFrame, found, schema: str) -> DataFrame:
+def in_cells(one: DataFrame, two: DataFrame, found, schema: str) -> DataFrame:
     """What found() makes of the two tables of each cell."""
     two = two.withColumnsRenamed({c: f"{c}_" for c in CELL})  # both sides may be of one table
     return one.groupBy(*CELL).cogroup(two.groupBy(*[f"{c}_" for c in CELL])).applyInArrow(found, schema)
@@ -266,7 +266,7 @@ def reaching_pairs(left: DataFrame, right: DataFrame, weights: list[float], loss
         out = pa.table({"id1": a["id1"].combine_chunks().take(pa.array(i)), "id2": b["id2"].combine_chunks().take(pa.array(j))})
         return _ordered(out, a, b, half)
 
-    return _in_cells(one, two, found, f"id1 {kinds[0]}, id2 {kinds[1]}")
+    return in_cells(one, two, found, f"id1 {kinds[0]}, id2 {kinds[1]}")
 
 
 def _alike(a: pa.ChunkedArray, b: pa.ChunkedArray, known: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
