@@ -17,7 +17,8 @@ TO, FROM = "абцдегҳиклмнопрстуз", "abcdeghiklmnoprstuz"
 
 def title(text):
     """The first four words of a text, letters without marks."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    # five pieces hold them, six after white space at the beginning: the rest stays whole
+    words = F.filter(F.split(text, r"\s+", 6), lambda w: w != "")
     return F.translate(F.array_join(F.slice(words, 1, 4), " "), MARKED, PLAIN)
 
 

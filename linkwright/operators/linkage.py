@@ -16,6 +16,8 @@ from .ordering import neighbour_pairs
 from .scoring import BOOST, MATCHED, ORDER, Algorithm, FieldMapping, loss, prepared, prepared_columns, scored
 
 CARDINALITIES = ("many_to_many", "one_to_one", "one_to_many", "many_to_one", "stable_one_to_one")
+#: The sides whose records keep only their best partner.
+BEST = {"many_to_one": (0,), "one_to_many": (1,), "one_to_one": (0, 1)}
 METHODS = ("keys", "adaptive", "sorted_neighbourhood", "canopy")
 HIGH = 85.0
 #: Bytes of stored normal forms that are sent to all executors; pairs that a task scores at least, and tasks at most; members of a class in a list.
@@ -149,12 +151,15 @@ def score_near(k1: DataFrame, k2: DataFrame, config: LinkageConfig, strategies:
         ready = stored(ready.withColumns(more).where(filled), "ready")
         sides.append((ready, columns, list(more)))
     indexes = [blocking.index(ready, "__number", [f[k] for f in on], strategies, True, more) for k, (ready, _, more) in enumerate(sides)]
-    if share is None:
+    best = BEST.get(config.cardinality, ()) if share is not None else ()
+    if best:
+        pairs = best_near(sides, indexes, on, strategies, best)
+    elif share is None:
         pairs = blocking.reaching_pairs(indexes[0], indexes[-1], [m.weight for m in config.mappings], loss(algorithms), config.threshold, BOOST, MATCHED, same)
     else:
         pairs = blocking.near_pairs(indexes[0], indexes[-1], same).select("id1", "id2")
-    pairs = pairs if len(on) == 1 and strategies == ["exact_prefix"] else pairs.distinct()
-    if same:
+    pairs = pairs if not best and len(on) == 1 and strategies == ["exact_prefix"] else pairs.distinct()
+    if same and not best:
         turned = F.struct(F.col("id2").alias("id1"), F.col("id1").alias("id2"))
         pairs = pairs.select(F.explode(F.when(F.col("id1") == F.col("id2"), F.array(turned)).otherwise(F.array(F.struct("id1", "id2"), turned))).alias("p")).select("p.*")
     both = stored(pairs, "pairs")
@@ -164,6 +169,32 @@ def score_near(k1: DataFrame, k2: DataFrame, config: LinkageConfig, strategies:
     return scored(both, list(config.mappings), algorithms, config.strict, config.threshold)
 
 
+def best_near(sides: list[tuple], indexes: list[DataFrame], on: list[tuple[str, str]], strategies: list[str], best: tuple[int, ...]) -> DataFrame:
+    """Pairs (id1, id2) of one field among which is the best of each record of the sides in best.
+
+    Equal exact or fuzzy forms score 100, and nothing else does: a record with such a
+    partner has its best in the one with the smallest id, found by grouping.  Only
+    records without one are compared with all others of their keys.
+    """
+    forms = []
+    for k, (ready, columns, _) in enumerate((sides[0], sides[-1])):
+        side = "a" if len(sides) == 1 or not k else "b"
+        known = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c[1:-1]).alias("kind"), F.col(c).alias("form"))) for c in columns if c[1:] in ("ex0", "fz0")]
+        kept = ready.withColumn("form_", F.array_compact(F.array(*known)))
+        rows = blocking.index(kept, "__number", [f[k] for f in on], strategies, True, ["__id", "form_"])
+        forms.append(rows.select("strategy", "key", F.explode("form_").alias("form"), F.struct("__id", "id").alias("own")))
+    found, indexes = [], [indexes[0], indexes[-1]]
+    for k in best:
+        first = forms[1 - k].groupBy("strategy", "key", "form").agg(F.min("own").alias("other"))
+        met = forms[k].join(first, ["strategy", "key", "form"]).groupBy(F.col("own.id").alias("mine")).agg(F.min("other").alias("other"))
+        full = stored(met.select("mine", F.col("other.id").alias("theirs")), "full")
+        found.append(full.select(F.col("mine").alias(f"id{k + 1}"), F.col("theirs").alias(f"id{2 - k}")).select("id1", "id2"))
+        left = stored(indexes[k].join(full.select(F.col("mine").alias("id")), "id", "left_anti"), "rest")
+        if not left.isEmpty():
+            found.append(blocking.near_pairs(*((left, indexes[1]) if k == 0 else (indexes[0], left))).select("id1", "id2"))
+    return reduce(DataFrame.union, found)
+
+
 def score_blocks(d1: DataFrame, d2: DataFrame, config: LinkageConfig, strategies: list[str]) -> tuple[DataFrame, DataFrame]:
     """The scores of score_pairs for classes of records that share a key; and how many pairs of records have a key in common (one row: n)."""
     on = config.block_on or [(m.source, m.target) for m in config.mappings]
