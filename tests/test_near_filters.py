@@ -35,3 +35,12 @@ def test_cuts_leave_less_to_compare(monkeypatch):
     for _ in distance.near(a, b, np.full(500, 0.35)):
         pass
     assert sum(compared) < 0.4 * 250_000
+
+
+def test_bounds_of_records_take_four_bytes():
+    """Before, eight; lengths that don't fit the short form keep their pairs."""
+    a, b = (distance.Values(t, [1, 2, 3], [1.0] * 3, [0.0] * 3) for t in (["abc", "x" * 40_000, ""], ["abd", "x" * 35_000, "q"]))
+    i, j = np.arange(3)[:, None], np.arange(3)[None, :]
+    top, weight = a.top(b, i, j, a.fewest(b, i, j), 1.0)
+    assert top.dtype == weight.dtype == np.float32
+    assert all(a.fewest(b, i, j)[x, y] <= distance.long_distance(s, t) for x, s in enumerate(a.texts.texts) for y, t in enumerate(b.texts.texts) if max(len(s), len(t)) < 9 or not min(len(s), len(t)))
